@@ -25,7 +25,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sedimark.llm.common import cut, doc_rows, fan_out, filesystem, scratch_path, text_bytes
 from sedimark.llm.elias_fano import EliasFano
@@ -63,49 +62,78 @@ class MemoEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = _settled_pattern().findall
         self.settled = re.compile(f"[\\x00-\\u{_SETTLED - 1:04x}]*").fullmatch
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbered()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def learn(self, words: list[str]) -> None:
+        self.n = self.used = 0
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of pre-tokens.
+
+        One call encodes many, a line feed between them: it is a pre-token of its own before any
+        character but white space, so it never joins what stands beside it.
+        """
+        mark = self.line_feed
+        ids = np.asarray(self.tokenizer.encode("\n".join(["", *words, "a"]), add_special_tokens=False).ids, np.uint32)
+        at = np.flatnonzero(ids == mark)
+        if len(at) == len(words) + 1:
+            return ids[at[0] : at[-1]][ids[at[0] : at[-1]] != mark], np.diff(at) - 1
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        n = len(self.known)
-        while len(self.starts) < n + len(words):
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self) -> None:
+        """Ids of the words that were numbered since the last call."""
+        words, self.known.fresh = self.known.fresh, []
+        plain = [not w.lstrip(" ").isspace() and len(w.lstrip(" ")) > 0 for w in words]
+        sizes, parts = np.zeros(len(words), np.int64), {}
+        for wanted in (True, False):
+            places = [i for i, x in enumerate(plain) if x is wanted]
+            if not places:
+                continue
+            if wanted:
+                flat, n = self._encode_words([words[i] for i in places])
+            else:
+                found = [self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in places]
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+            sizes[places] = n
+            parts[wanted] = (np.asarray(places), flat, n)
+        first = self.used + np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        while len(self.starts) < self.n + len(words):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while len(self.ids) < self.used + len(flat):
+        while len(self.ids) < self.used + total:
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.sizes[n : n + len(words)] = sizes
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
-        self.known.update(zip(words, range(n, n + len(words))))
+        for places, flat, n in parts.values():
+            self.ids[np.repeat(first[places] - (np.cumsum(n) - n), n) + np.arange(len(flat))] = flat
+        self.sizes[self.n : self.n + len(words)] = sizes
+        self.starts[self.n : self.n + len(words)] = first
+        self.n += len(words)
+        self.used += total
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
-        if len(self.known) > MEMO_WORDS:
+        if self.n > MEMO_WORDS:
             self.forget()
         out, counts = [], np.zeros(len(texts), np.int64)
         easy = [i for i, x in enumerate(texts) if self.settled(x)]
         words = [self.split(texts[i]) for i in easy]
-        flat = list(chain.from_iterable(words))
-        new = [w for w in dict.fromkeys(flat) if w not in self.known]
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        n_words = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
+        if self.known.fresh:
+            self._learn()
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        word_ends = np.cumsum([0, *map(len, words)])
-        id_ends = np.concatenate([[0], ends])[word_ends]
+        id_ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
         if len(easy) == len(texts):
             return ids, np.diff(id_ends)
         parts = dict(zip(easy, np.split(ids, id_ends[1:-1]))) if easy else {}
@@ -116,6 +144,19 @@ class MemoEncoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
 
 
+class _Numbered(dict):
+    """Numbers words as they are first looked up; ``fresh`` has those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 _encoders: dict[str, MemoEncoder] = {}
 
 
