@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sedimark.llm.common import table
+from sedimark.llm.jaccard import jaccard_components
 from sedimark.llm.language import language_id
 from sedimark.llm.media import media_columns
 from sedimark.llm.quality import quality
+from sedimark.llm.repeats import repeats
 from sedimark.llm.secrets import secret_scan
 from sedimark.llm.token_binary import token_binary
 
@@ -25,6 +27,14 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -42,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op6_language_id, op8_quality, op9_media_columns, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_token_binary, op3_repeats, op5_jaccard, op6_language_id, op8_quality, op9_media_columns, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
