@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sedimark.llm.common import table
 from sedimark.llm.jaccard import jaccard_components
 from sedimark.llm.language import language_id
+from sedimark.llm.lines import LINE_REPORT_SQL, line_report
 from sedimark.llm.media import media_columns
 from sedimark.llm.quality import quality
 from sedimark.llm.repeats import repeats
@@ -27,6 +28,10 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
@@ -52,8 +57,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op3_repeats, op5_jaccard, op6_language_id, op8_quality, op9_media_columns, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op3_repeats, op5_jaccard, op6_language_id, op8_quality, op9_media_columns, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": LINE_REPORT_SQL}
