@@ -7,6 +7,8 @@ bucket answers to parts.  One exchange deals the documents, and every pass reads
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,10 +26,13 @@ NO_ID = np.iinfo(np.int64).min
 
 
 def deal(docs: DataFrame, n: int) -> DataFrame:
-    """(part, doc_id, text) in ``n`` parts; rows without an id are dealt by their text."""
+    """(part, doc_id, print, text) in ``n`` parts; rows without an id are dealt by their text.
+
+    ``print`` is a hash of the text, to find a row again where ids repeat.
+    """
     rows = doc_rows(docs)
     key = F.coalesce(F.col("doc_id"), F.xxhash64(F.lit(7), "text"))
-    return rows.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("part"), "doc_id", "text").repartition(n, "part")
+    return rows.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("part"), "doc_id", F.xxhash64("text").alias("print"), "text").repartition(n, "part")
 
 
 def in_order(part: pa.Table) -> pa.Table:
@@ -40,16 +45,29 @@ def ids_of(part: pa.Table) -> np.ndarray:
 
 
 def pack(columns: dict[str, np.ndarray], dtypes: dict[str, str]) -> bytes:
-    return b"".join(np.ascontiguousarray(columns[c], t).tobytes() for c, t in dtypes.items())
+    """The columns with as few bytes a value as their range needs: count, then base, width, values."""
+    n = len(next(iter(columns[c] for c in dtypes)))
+    out = [struct.pack("<I", n)]
+    for c, t in dtypes.items():
+        values = np.ascontiguousarray(columns[c]).astype(t, copy=False)
+        base = int(values.min()) if n else 0
+        reach = int(values.max()) - base if n else 0
+        width = 0 if reach == 0 else 1 if reach < 1 << 8 else 2 if reach < 1 << 16 else 4 if reach < 1 << 32 else 8
+        out.append(struct.pack("<QB", base & (1 << 64) - 1, width))
+        if width:
+            out.append((values.astype("u8") - np.uint64(base & (1 << 64) - 1)).astype(f"<u{width}").tobytes())
+    return b"".join(out)
 
 
 def unpack(raw, dtypes: dict[str, str]) -> dict[str, np.ndarray]:
     """The columns; ``raw`` is an Arrow buffer or bytes."""
-    n = len(raw) // sum(np.dtype(t).itemsize for t in dtypes.values())
-    out, at = {}, 0
+    n, at, out = int(np.frombuffer(raw, "<u4", 1)[0]), 4, {}
     for c, t in dtypes.items():
-        out[c] = np.frombuffer(raw, t, n, at)
-        at += n * np.dtype(t).itemsize
+        base, width = int(np.frombuffer(raw, "<u8", 1, at)[0]), int(np.frombuffer(raw, "u1", 1, at + 8)[0])
+        at += 9
+        values = np.frombuffer(raw, f"<u{width}", n, at).astype("u8") if width else np.zeros(n, "u8")
+        at += n * width
+        out[c] = (values + np.uint64(base)).astype(t, copy=False)
     return out
 
 

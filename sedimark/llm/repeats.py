@@ -16,7 +16,7 @@ and what remains becomes a level; levels of like size merge, so there are O(log
 Two passes: whole segments first; then, for anchors whose K-byte string has several different segments,
 the single windows.  A part sends an entry once however often it holds it, and sends one mark for an
 anchor string that it holds with several segments: a passage in a third of all documents makes at most
-one entry a part in any bucket.  Fingerprints have 128 bits.
+one entry a part in any bucket.  Fingerprints have 96 bits between parts.
 
 Edge cases: null or short texts lose nothing; null ``doc_id`` counts as smaller than all others; rows
 that repeat a ``doc_id`` are ordered by text; an empty table gives no rows; other columns are ignored.
@@ -38,7 +38,7 @@ K = 32
 SLICE = 1 << 19
 REMOVED, WINDOWS, SEGMENT, MARK = range(4)
 SPAN = {"row": "u4", "start": "u4", "length": "u4"}
-ENTRY = {"key": "u8", "check": "u8", "doc": "i8", "row": "u4", "start": "u4", "more": "u1"}
+ENTRY = {"key": "u8", "check": "u4", "doc": "i8", "row": "u4", "start": "u4", "more": "u1"}
 HELD = ENTRY | {"part": "i4", "mark": "?"}
 RESULT = "doc_id long, kept binary, n_bytes long, spans array<struct<start: long, end: long>>"
 
@@ -188,8 +188,10 @@ def _spans(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 ASKED = {"row": "u4", "start": "u4", "more": "u1"}
 
 
-def _own(part: int) -> np.ndarray:
-    return np.array([part])
+def _entry_rows(part: int, kind: int, entries: dict[str, np.ndarray], by: str, n: int) -> list[tuple]:
+    """Entries to their buckets; the half of the check that chose no bucket travels along."""
+    bucket = (entries[by] % np.uint64(n)).astype(np.int64)
+    return ask_rows(part, kind, entries | {"check": entries["check"] >> np.uint64(32)}, bucket, ENTRY)
 
 
 def _entries(docs: pa.Table, work) -> dict[str, np.ndarray]:
@@ -220,10 +222,8 @@ def _to_buckets(n: int):
         several = times[back] > 1
         if several.any():
             rows.append((part, part, WINDOWS, pack(take(found, several), ASKED)))
-            marks = take(found, where[times > 1])
-            rows += ask_rows(part, MARK, marks, (marks["check"] % np.uint64(n)).astype(np.int64), ENTRY)
-        found = take(found, ~several)
-        rows += ask_rows(part, SEGMENT, found, (found["check"] % np.uint64(n)).astype(np.int64), ENTRY)
+            rows += _entry_rows(part, MARK, take(found, where[times > 1]), "check", n)
+        rows += _entry_rows(part, SEGMENT, take(found, ~several), "check", n)
         return ask_table(rows)
 
     return ask
@@ -286,7 +286,7 @@ def _ask_windows(n: int):
         all_spans = dict(zip(SPAN, runs_of(*(np.concatenate([removed[c].astype(np.int64), spans[c].astype(np.int64)]) for c in SPAN))))
         rows = [(part, part, REMOVED, pack(all_spans, SPAN))] if len(all_spans["row"]) else []
         found = take(found, first)
-        return ask_table(rows + ask_rows(part, SEGMENT, found, (found["key"] % np.uint64(n)).astype(np.int64), ENTRY))
+        return ask_table(rows + _entry_rows(part, SEGMENT, found, "key", n))
 
     return ask
 
