@@ -1,21 +1,55 @@
-"""Five stages from raw documents to encoded training text."""
+"""Five stages from raw documents to encoded training text.
+
+Every stage takes all documents that the one before kept, as rows of ``documents``, and its decisions
+take effect: rejected, emptied, duplicate and contaminated documents go, deleted lines are gone from the
+text.  The last stage returns token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sedimark.llm import quality
+from sedimark.llm import decontaminate, jaccard, lines, pieces, quality
 from sedimark.llm.common import cut, table
+from sedimark.llm.registry import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from all labelled documents."""
-    return quality.keep_good(docs, quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    """Documents that the quality classifier accepts (score of at least 0.7)."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs deleted; documents that had nothing else go."""
+    told = lines.dedup_lines(docs).where("n_deleted = 0 or n_deleted < n_lines")
+    return told.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids, their number and crc32, and the digest of the text decoded from them."""
+    return pieces.encoding_report(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=True)
 
 
-STAGES = [("quality", quality_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("jaccard", jaccard_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", encoding_stage),
+]
 
-#: SQL can't express the stages; they are tested against brute force.
+#: SQL can't express the classifier and the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

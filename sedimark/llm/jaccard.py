@@ -43,8 +43,8 @@ SLICE = 1 << 19
 SIZES, GRAMS, SHARED = range(3)
 _SIZE_OF = {"row": "u4", "n": "u4", "same": "u4", "shared": "u4"}
 _SHARED_OF = {"row": "u4", "shared": "u4"}
-NODES = "part int, node long, doc_id long, n long, same long, fragment int, grams array<long>"
-_NODES = pa.schema([("part", pa.int32()), ("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+NODES = "part int, node long, doc_id long, print long, n long, same long, fragment int, grams array<long>"
+_NODES = pa.schema([("part", pa.int32()), ("node", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 PREFIX = "gram long, node long, n long"
 
 
@@ -168,7 +168,7 @@ def _nodes(docs: pa.Table, answers: pa.Table) -> pa.Table:
             of["shared"][got["row"]] += got["shared"]
     first = part << 32
     node = first + np.arange(docs.num_rows)
-    info = pa.table([pa.array(np.full(docs.num_rows, part), pa.int32()), pa.array(node), docs.column("doc_id"), pa.array(of["n"]), pa.array(first + of["same"]), pa.array(np.full(docs.num_rows, -1), pa.int32()), pa.nulls(docs.num_rows, pa.list_(pa.int64()))], schema=_NODES)
+    info = pa.table([pa.array(np.full(docs.num_rows, part), pa.int32()), pa.array(node), docs.column("doc_id"), docs.column("print"), pa.array(of["n"]), pa.array(first + of["same"]), pa.array(np.full(docs.num_rows, -1), pa.int32()), pa.nulls(docs.num_rows, pa.list_(pa.int64()))], schema=_NODES)
     may = np.flatnonzero((of["same"] == np.arange(docs.num_rows)) & (of["n"] > 0) & (100 * of["shared"] >= PERCENT * of["n"]))
     if not len(may):
         return info
@@ -179,7 +179,7 @@ def _nodes(docs: pa.Table, answers: pa.Table) -> pa.Table:
     filled = np.flatnonzero(sizes)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[filled])]).astype(np.int32)), pa.array(grams.view(np.int64)))
     who = may[filled // FRAGMENTS]
-    more = pa.table([pa.array(np.full(len(filled), part), pa.int32()), pa.array(node[who]), docs.column("doc_id").take(pa.array(who)), pa.array(of["n"][who]), pa.array(node[who]), pa.array(filled % FRAGMENTS, pa.int32()), lists], schema=_NODES)
+    more = pa.table([pa.array(np.full(len(filled), part), pa.int32()), pa.array(node[who]), docs.column("doc_id").take(pa.array(who)), docs.column("print").take(pa.array(who)), pa.array(of["n"][who]), pa.array(node[who]), pa.array(filled % FRAGMENTS, pa.int32()), lists], schema=_NODES)
     return pa.concat_tables([info, more])
 
 
@@ -266,7 +266,10 @@ def _near_sizes(a: str, b: str):
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, n_links (links found at its node)."""
+    """Per document: doc_id, print (hash of the text), n_shingles, component_id, stays.
+
+    ``stays`` marks one row of each component: the least id, the first of rows that repeat it.
+    """
     n = fan_out(docs)
     parts = deal(docs, n)
     shared = parts.groupBy("part").applyInArrow(_arrow(_ask_shared(n)), ASK).repartition(n, "bucket").mapInArrow(_count_shared, ANSWER)
@@ -299,8 +302,42 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     between = late.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     tops = components(between, "jaccard-second").select(F.col("node").alias("root"), F.col("root").alias("top"))
 
-    n_links = found.union(late).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = info.select("doc_id", "n", F.col("same").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(tops, "root", "left").withColumn("top", F.coalesce("top", "root")).join(n_links, "node", "left")
-    least = named.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "top").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = info.select("doc_id", "print", "n", F.col("node").alias("own"), F.col("same").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(tops, "root", "left").withColumn("top", F.coalesce("top", "root"))
+    least = named.groupBy("top").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("stays"))
+    return named.join(least, "top").select("doc_id", "print", F.col("n").alias("n_shingles"), "component_id", (F.col("own") == F.col("stays.own")).alias("stays"))
+
+
+def jaccard_report(docs: DataFrame) -> DataFrame:
+    return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one document of each component: the one with the least id."""
+    stays = jaccard_components(docs).where("stays").select(F.col("doc_id").cast("long").alias("__doc"), F.col("print").alias("__print"))
+    keyed = docs.withColumn("__print", F.xxhash64(F.col("text").cast("string")))
+    same = keyed["doc_id"].cast("long").eqNullSafe(stays["__doc"]) & (keyed["__print"] == stays["__print"])
+    held = keyed.join(stays.hint("shuffle_hash"), same, "left_semi")
+    return held.dropDuplicates(["doc_id", "__print"]).select(*docs.columns)
+
+
+#: The same by definition: all pairs that share a shingle, then reachability.
+JACCARD_SQL = """
+with recursive split as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+grams as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from split),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (
+  select p.a, p.b from pairs p join sizes x on x.doc_id = p.a join sizes y on y.doc_id = p.b where 100 * shared >= 80 * (x.n + y.n - shared)),
+sides as (select a, b from links union select b, a from links),
+reach as (
+  select doc_id as d, doc_id as r from documents
+  union
+  select s.b, reach.r from reach join sides s on s.a = reach.d)
+select d.doc_id, coalesce(n, 0) as n_shingles, least_id as component_id
+from documents d join (select d, min(r) as least_id from reach group by d) c on c.d = d.doc_id left join sizes z on z.doc_id = d.doc_id
+"""

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sedimark.llm.common import table
-from sedimark.llm.jaccard import jaccard_components
+from sedimark.llm.decontaminate import matches
+from sedimark.llm.jaccard import JACCARD_SQL, jaccard_report
 from sedimark.llm.language import language_id
 from sedimark.llm.lines import LINE_REPORT_SQL, line_report
 from sedimark.llm.media import media_columns
+from sedimark.llm.pieces import encoding_report
 from sedimark.llm.quality import quality
 from sedimark.llm.repeats import repeats
 from sedimark.llm.secrets import secret_scan
@@ -36,14 +38,22 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_report(table(spark, sf_dir, "documents"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,9 +66,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_token_binary, op2_line_dedup, op3_repeats, op4_sentencepiece, op5_jaccard,
+    op6_language_id, op7_decontaminate, op8_quality, op9_media_columns, op10_secret_scan,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op3_repeats, op5_jaccard, op6_language_id, op8_quality, op9_media_columns, op10_secret_scan)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_REPORT_SQL}
+    return {"op2_line_dedup": LINE_REPORT_SQL, "op5_jaccard": JACCARD_SQL}
