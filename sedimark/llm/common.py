@@ -36,10 +36,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends there.
+
+    The shuffle files behind it are then garbage; Spark deletes them once the driver collects its own.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,9 +8,12 @@ The global order of n-grams is the order of their 64-bit fingerprints, cut into
    one node, and an n-gram is sent once however many documents hold it.
 2. The rest count document frequencies by fragment.  A document's prefix is its ``n - ceil(0.8 n) + 1``
    rarest n-grams: two linked documents share one of them.
-3. Candidate pairs: first every node with the least node of the prefix lists it is in; components of
-   the links found.  Then only pairs of different components that share a prefix n-gram, so a group of
-   copies never becomes all its pairs.  A list with several components gives pairs between these.
+3. Candidate pairs: first every node with one leader, the node that has fewest rarer n-grams in the
+   prefix lists they share, so the least altered of a group of copies; components of the links found.
+   Then only pairs of different components that share a prefix n-gram at places that still allow a link:
+   with i and j rarer n-grams before the first shared one, the overlap is at most min(n_a - i, n_b - j).
+   So a group of copies never becomes all its pairs: the copies of a leader are one component, and those
+   too far from it have too many n-grams of their own.
 4. Verification counts partial overlaps for each fragment of the order separately and sums them per
    pair.  ``100 * overlap >= 80 * union`` is a link.
 
@@ -45,7 +48,7 @@ _SIZE_OF = {"row": "u4", "n": "u4", "same": "u4", "shared": "u4"}
 _SHARED_OF = {"row": "u4", "shared": "u4"}
 NODES = "part int, node long, doc_id long, print long, n long, same long, fragment int, grams array<long>"
 _NODES = pa.schema([("part", pa.int32()), ("node", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
-PREFIX = "gram long, node long, n long"
+PREFIX = "gram long, node long, n long, place long"
 
 
 def _fragment(grams: np.ndarray, n: int) -> np.ndarray:
@@ -222,7 +225,7 @@ def _count_frequency(batches):
 
 def _prefixes(rows: pa.Table, answers: pa.Table) -> pa.Table:
     """The prefix n-grams of each node that another node has too."""
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
     if not rows.num_rows:
         return schema.empty_table()
     grams, node, n, fresh = _held_grams(rows)
@@ -234,7 +237,7 @@ def _prefixes(rows: pa.Table, answers: pa.Table) -> pa.Table:
     place = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
     least = -(-PERCENT * n // 100)
     wanted = (place <= n - least) & (frequency > 1)
-    return pa.table([pa.array(grams[wanted].view(np.int64)), pa.array(node[wanted]), pa.array(n[wanted])], schema=schema)
+    return pa.table([pa.array(grams[wanted].view(np.int64)), pa.array(node[wanted]), pa.array(n[wanted]), pa.array(place[wanted])], schema=schema)
 
 
 def _arrow(work):
@@ -280,8 +283,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     counted = dealt.groupBy("part").applyInArrow(_arrow(_ask_frequency(n)), ASK).repartition(n, "bucket").mapInArrow(_count_frequency, ANSWER)
     prefix = cut(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_arrows(_prefixes), PREFIX), "jaccard-prefixes")
 
-    # each node with the least node of the list in which it meets that one most often
-    lead = prefix.groupBy("gram").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"))).alias("lead"))
+    # each node with the leader that it meets in most of its lists
+    lead = prefix.groupBy("gram").agg(F.min(F.struct("place", F.col("node").alias("a"), F.col("n").alias("n_a"))).alias("lead"))
     met = prefix.join(lead, "gram").where("lead.a <> node").groupBy(F.col("node").alias("b"), F.col("n").alias("n_b"), "lead.a", "lead.n_a").agg(F.count("*").alias("times"))
     met = met.where(_near_sizes("n_a", "n_b"))
     star = met.groupBy("b", "n_b").agg(F.max_by(F.struct("a", "n_a"), F.struct("times", -F.col("a"))).alias("lead")).select("lead.a", "b", "lead.n_a", "n_b")
@@ -289,12 +292,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = components(found, "jaccard-first")
 
     # what is left: pairs of different components that share a prefix n-gram
-    placed = prefix.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = prefix.join(roots, "node", "left").select("gram", "node", "n", "place", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    rest = placed.join(mixed, "gram")
-    other = rest.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    pairs = rest.select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")).join(other, "gram")
-    pairs = pairs.where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _near_sizes("n_a", "n_b")).select("a", "b", "n_a", "n_b").distinct()
+    rest = cut(placed.join(mixed, "gram"), "jaccard-mixed")
+    one, other = (rest.select("gram", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "root"))) for x in "ab")
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    enough = F.lit(100 + PERCENT) * room >= F.lit(PERCENT) * (F.col("n_a") + F.col("n_b"))
+    pairs = one.join(other, (one["gram"] == other["gram"]) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _near_sizes("n_a", "n_b") & enough)
+    pairs = cut(pairs.select("a", "b", "n_a", "n_b").distinct(), "jaccard-pairs")
     late = cut(_links(pairs, held), "jaccard-rest")
 
     # links between components join them
