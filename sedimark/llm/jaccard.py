@@ -17,7 +17,8 @@ The global order of n-grams is the order of their 64-bit fingerprints, cut into
 4. Verification counts partial overlaps for each fragment of the order separately and sums them per
    pair.  ``100 * overlap >= 80 * union`` is a link.
 
-Step 1 compares 48 bits of a fingerprint (an accident only keeps a document longer), the others 64.
+Step 1 compares the place in the fragment and 40 bits (an accident only keeps a document longer), the
+others all 64.
 
 Edge cases: a text without words, empty or null, has no shingle and is linked with nothing; one with
 fewer than five words has one shingle, all its words; rows that repeat a ``doc_id`` are separate nodes,
@@ -46,8 +47,11 @@ SLICE = 1 << 19
 SIZES, GRAMS, SHARED = range(3)
 _SIZE_OF = {"row": "u4", "n": "u4", "same": "u4", "shared": "u4"}
 _SHARED_OF = {"row": "u4", "shared": "u4"}
-NODES = "part int, node long, doc_id long, print long, n long, same long, fragment int, grams array<long>"
-_NODES = pa.schema([("part", pa.int32()), ("node", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+_GRAMS_OF = {"row": "u4", "times": "u4"}
+#: Bits of an n-gram, beyond its fragment, that step 1 compares.
+_BITS = 40
+NODES = "part int, node long, doc_id long, print long, n long, same long, grams array<array<long>>"
+_NODES = pa.schema([("part", pa.int32()), ("node", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("grams", pa.list_(pa.list_(pa.int64())))])
 PREFIX = "gram long, node long, n long, place long"
 
 
@@ -80,10 +84,12 @@ def _same_sets(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _ask_shared(n: int):
-    """Payload to a fragment: number of rows, rows, their numbers of n-grams, n-grams (low 4, high 2 bytes).
+    """Payload to a fragment: packed rows with their numbers of n-grams, then the n-grams (4 and 1 bytes).
 
-    Row 2**32 - 1 stands for n-grams that several documents of the part have.
+    An n-gram is its distance from the fragment's start, cut to ``_BITS`` bits.  Row 2**32 - 1 stands
+    for n-grams that several documents of the part have.
     """
+    shift = np.uint64(max(0, 64 - (n.bit_length() - 1) - _BITS))
 
     def ask(docs: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -109,11 +115,13 @@ def _ask_shared(n: int):
         grams, row, where = grams[order], row[order], where[order]
         cuts = np.searchsorted(where, np.arange(n + 1))
         for b in range(n):
-            x, r = grams[cuts[b] : cuts[b + 1]] >> np.uint64(16), row[cuts[b] : cuts[b + 1]]
+            x, r = grams[cuts[b] : cuts[b + 1]], row[cuts[b] : cuts[b + 1]]
             if len(x):
+                x = (x - np.uint64(-(-(b << 32) // n) << 32)) >> shift
                 names, times = np.unique(r, return_counts=True)
-                head = np.array([len(names)], "u4").tobytes() + names.astype("u4").tobytes() + times.astype("u4").tobytes()
-                rows.append((b, part, GRAMS, head + (x & np.uint64(0xFFFFFFFF)).astype("u4").tobytes() + (x >> np.uint64(32)).astype("u2").tobytes()))
+                head = pack({"row": names, "times": times}, _GRAMS_OF)
+                tail = (x & np.uint64(0xFFFFFFFF)).astype("u4").tobytes() + (x >> np.uint64(32)).astype("u1").tobytes()
+                rows.append((b, part, GRAMS, len(head).to_bytes(4, "little") + head + tail))
         return ask_table(rows)
 
     return ask
@@ -130,9 +138,10 @@ def _count_shared(batches):
                 through.append((part, kind, raw.to_pybytes()))
                 continue
             k = int(np.frombuffer(raw, "u4", 1)[0])
-            names, times = np.frombuffer(raw, "u4", k, 4), np.frombuffer(raw, "u4", k, 4 + 4 * k)
+            head = unpack(raw.slice(4, k), _GRAMS_OF)
+            names, times = head["row"], head["times"]
             m = int(times.sum())
-            low, high = np.frombuffer(raw, "u4", m, 4 + 8 * k), np.frombuffer(raw, "u2", m, 4 + 8 * k + 4 * m)
+            low, high = np.frombuffer(raw, "u4", m, 4 + k), np.frombuffer(raw, "u1", m, 4 + k + 4 * m)
             grams.append(high.astype(np.uint64) << np.uint64(32) | low)
             rows.append(np.repeat(names, times))
             parts.append(np.full(m, part, np.int32))
@@ -171,7 +180,7 @@ def _nodes(docs: pa.Table, answers: pa.Table) -> pa.Table:
             of["shared"][got["row"]] += got["shared"]
     first = part << 32
     node = first + np.arange(docs.num_rows)
-    info = pa.table([pa.array(np.full(docs.num_rows, part), pa.int32()), pa.array(node), docs.column("doc_id"), docs.column("print"), pa.array(of["n"]), pa.array(first + of["same"]), pa.array(np.full(docs.num_rows, -1), pa.int32()), pa.nulls(docs.num_rows, pa.list_(pa.int64()))], schema=_NODES)
+    info = pa.table([pa.array(np.full(docs.num_rows, part), pa.int32()), pa.array(node), docs.column("doc_id"), docs.column("print"), pa.array(of["n"]), pa.array(first + of["same"]), pa.nulls(docs.num_rows, _NODES.field("grams").type)], schema=_NODES)
     may = np.flatnonzero((of["same"] == np.arange(docs.num_rows)) & (of["n"] > 0) & (100 * of["shared"] >= PERCENT * of["n"]))
     if not len(may):
         return info
@@ -179,18 +188,20 @@ def _nodes(docs: pa.Table, answers: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(len(may)), counts)
     group = row * FRAGMENTS + _fragment(grams, FRAGMENTS)  # ascending: grams ascend in each row
     sizes = np.bincount(group, minlength=len(may) * FRAGMENTS)
-    filled = np.flatnonzero(sizes)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[filled])]).astype(np.int32)), pa.array(grams.view(np.int64)))
-    who = may[filled // FRAGMENTS]
-    more = pa.table([pa.array(np.full(len(filled), part), pa.int32()), pa.array(node[who]), docs.column("doc_id").take(pa.array(who)), docs.column("print").take(pa.array(who)), pa.array(of["n"][who]), pa.array(node[who]), pa.array(filled % FRAGMENTS, pa.int32()), lists], schema=_NODES)
-    return pa.concat_tables([info, more])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(grams.view(np.int64)))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(may) + 1, dtype=np.int32) * FRAGMENTS), lists)
+    spread = np.full(docs.num_rows, -1)
+    spread[may] = np.arange(len(may))
+    column = lists.take(pa.array(spread, pa.int64(), mask=spread < 0))
+    return info.set_column(info.schema.get_field_index("grams"), "grams", column)
 
 
 def _held_grams(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram, node, n) of a part's fragment rows sorted by n-gram then node, and where n-grams begin."""
+    """(n-gram, node, n) of a part's rows sorted by n-gram then node, and where n-grams begin."""
     lists = rows.column("grams").combine_chunks()
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    grams = lists.flatten().to_numpy().view(np.uint64)
+    grams = lists.flatten().flatten().to_numpy().view(np.uint64)
+    inner = lists.flatten().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = inner.reshape(-1, FRAGMENTS).sum(axis=1)
     node = np.repeat(rows.column("node").to_numpy(), sizes)
     n = np.repeat(rows.column("n").to_numpy(), sizes)
     order = np.lexsort((node, grams))
@@ -255,12 +266,16 @@ def _arrows(work):
 
 
 def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that are links: overlaps counted by fragment and summed per pair."""
-    left = held.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left"))
-    right = held.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right"))
-    parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("left", "right")).alias("both"))
-    summed = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
-    return summed.where(F.lit(100) * F.col("both") >= F.lit(PERCENT) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    """The pairs (a, b, n_a, n_b) that are links: overlaps counted by fragment and summed per pair.
+
+    Both sides read one exchange of the n-grams by node.
+    """
+    dealt = held.select("node", "grams").repartition(fan_out(held), "node")
+    left, right = dealt.select(F.col("node").alias("a"), F.col("grams").alias("left")), dealt.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+    by_fragment = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
+    summed = F.aggregate(by_fragment, F.lit(0), lambda total, n: total + n)
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", summed.alias("both"))
+    return both.where(F.lit(100) * F.col("both") >= F.lit(PERCENT) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def _near_sizes(a: str, b: str):
@@ -277,9 +292,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     parts = deal(docs, n)
     shared = parts.groupBy("part").applyInArrow(_arrow(_ask_shared(n)), ASK).repartition(n, "bucket").mapInArrow(_count_shared, ANSWER)
     rows = cut(parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_arrows(_nodes), NODES), "jaccard-nodes")
-    info, held = rows.where("fragment = -1"), rows.where("fragment >= 0")
+    info, held = rows.drop("grams"), rows.where("grams is not null")
 
-    dealt = held.select("part", "node", "n", "fragment", "grams").repartition(n, "part")
+    dealt = held.select("part", "node", "n", "grams").repartition(n, "part")
     counted = dealt.groupBy("part").applyInArrow(_arrow(_ask_frequency(n)), ASK).repartition(n, "bucket").mapInArrow(_count_frequency, ANSWER)
     prefix = cut(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_arrows(_prefixes), PREFIX), "jaccard-prefixes")
 
