@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.functions import media, paths
+from sedimark.functions import blake3, media, paths
 from sedimark.operators import account, cache, diagnostics, graph, layers, relate, stability
 from sedimark.plans import duplicates
 from sedimark.sources import pages as page_source
@@ -125,6 +125,17 @@ def exact_duplicate_members(spark, sf_dir):
     return relate.exact_members(_observed(spark, sf_dir)).select("group_id", "observation_id", "primary_path", "observed_path_count", "allocated_size_bytes")
 
 
+@_register()
+def blake3_groups(spark, sf_dir):
+    """Exact groups with true BLAKE3 digests: only size candidates are hashed, the rest never reach Python."""
+    candidates, alone = relate.split_candidates(_table(spark, sf_dir, "documents").withColumn("size_bytes", F.octet_length("text").cast("long")))
+    digest = blake3.blake3_udf()
+    hashed = candidates.withColumn("blake3", digest("text")).select("doc_id", "blake3")
+    hashed = hashed.unionByName(alone.select("doc_id", F.lit(None).cast("string").alias("blake3")))
+    rows = _observed(spark, sf_dir).drop("content_hash").join(hashed.withColumnRenamed("blake3", "content_hash"), "doc_id")
+    return relate.exact_groups(rows, digest).select("group_id", "size_bytes", "content_hash", "member_count", "observed_path_count", "reclaimable_bytes", "keep_path")
+
+
 @_register(_over_observed("select group_id, reasons, case when reasons = '' then 'estimated' else 'unknown' end as status from groups"))
 def group_reclaimability(spark, sf_dir):
     return relate.exact_groups(_observed(spark, sf_dir)).select("group_id", F.array_join("reasons", ",").alias("reasons"), F.col("reclaim_status").alias("status"))

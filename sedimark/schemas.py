@@ -56,6 +56,19 @@ def struct_type(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+def column_names(ddl: str) -> list[str]:
+    """The top-level column names; needs no session, so workers can ask."""
+    out, depth, word = [], 0, ""
+    for c in ddl + ",":
+        depth += (c == "<") + (c == "(") - (c == ">") - (c == ")")
+        if c == "," and depth == 0:
+            out.append(word.split()[0].strip())
+            word = ""
+        else:
+            word += c
+    return out
+
+
 def with_defaults(rows: DataFrame, ddl: str, defaults: dict[str, object]) -> DataFrame:
     """``rows`` in the columns of ``ddl``: those absent or null get their default, else null."""
     out = []
