@@ -211,7 +211,8 @@ def resolve(command_line: dict[str, object] | None = None, config: str | None =
             if not text:
                 raise Refused(blocking("configuration_environment_invalid", "input", f"{variable} is empty", environment_variable=variable))
             out.apply(name, _boolean(variable, text) if kind is bool else os.path.join(folder, text) if name.endswith("state_directory") else text, "environment", variable)
-    for name, value in (command_line or {}).items():
+    for told, value in (command_line or {}).items():
+        name = canonical(told)
         if value is not None:
-            out.apply(canonical(name), os.path.join(folder, value) if name.endswith("state_directory") else value, "command_line")
+            out.apply(name, os.path.join(folder, value) if name.endswith("state_directory") else value, "command_line")
     return out
