@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.llm import decontaminate, jaccard, lines, pieces, quality
-from sedimark.llm.common import cut, table
+from sedimark.llm.common import cut, release, table
 from sedimark.llm.registry import tokenizer_path
 
 
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return docs

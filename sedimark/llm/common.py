@@ -1,16 +1,18 @@
-"""Shared pieces: scratch storage, fan-out, and reading Arrow text as bytes."""
+"""Shared pieces: fan-out, file systems of executors, and reading Arrow text as bytes."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimark.storage import cut, release, scratch_path
+
+__all__ = ["cut", "doc_rows", "fan_out", "filesystem", "mix64", "release", "scratch_path", "slices", "table", "text_bytes"]
+
 #: Uncompressed text that one task should hold.
 PART_BYTES = 16 << 20
 
@@ -19,39 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sedimark-"))
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there.
-
-    The shuffle files behind it are then garbage; Spark deletes them once the driver collects its own.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def filesystem(uri: str):
     """(pyarrow filesystem, path in it) for a folder URI or a plain path."""
     from pyarrow import fs

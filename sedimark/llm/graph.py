@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import cut
+from sedimark.llm.common import cut, release
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -24,7 +24,9 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         moved = state.join(near, state.node == near.a).select("node", F.least("root", "least").alias("up"), F.col("root").alias("was"))
         jump = state.select(F.col("node").alias("up"), F.col("root").alias("top"))
         new = cut(moved.join(jump, "up", "left").select("node", F.least("up", "top").alias("root"), "was"), f"{label}-{step}")
+        release(state)
         changed = new.where("root <> was").limit(1).count()
-        state = new.select("node", "root")
+        state = new
         if not changed:
-            return state
+            release(both)
+            return state.select("node", "root")

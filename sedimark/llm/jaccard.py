@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import cut, fan_out, slices, text_bytes
+from sedimark.llm.common import cut, fan_out, release, slices, text_bytes
 from sedimark.llm.graph import components
 from sedimark.llm.parts import ANSWER, ASK, answer_batches, ask_table, deal, in_order, pack, unpack
 from sedimark.llm.shingles import shingle_sets
@@ -299,23 +299,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     prefix = cut(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_arrows(_prefixes), PREFIX), "jaccard-prefixes")
 
     # each node with the leader that it meets in most of its lists
-    lead = prefix.groupBy("gram").agg(F.min(F.struct("place", F.col("node").alias("a"), F.col("n").alias("n_a"))).alias("lead"))
+    # (sums are tables of their own before they are joined: then a hot key of the other side can be split)
+    lead = cut(prefix.groupBy("gram").agg(F.min(F.struct("place", F.col("node").alias("a"), F.col("n").alias("n_a"))).alias("lead")), "jaccard-leads")
     met = prefix.join(lead, "gram").where("lead.a <> node").groupBy(F.col("node").alias("b"), F.col("n").alias("n_b"), "lead.a", "lead.n_a").agg(F.count("*").alias("times"))
     met = met.where(_near_sizes("n_a", "n_b"))
     star = met.groupBy("b", "n_b").agg(F.max_by(F.struct("a", "n_a"), F.struct("times", -F.col("a"))).alias("lead")).select("lead.a", "b", "lead.n_a", "n_b")
     found = cut(_links(star, held), "jaccard-star")
+    release(lead)
     roots = components(found, "jaccard-first")
 
     # what is left: pairs of different components that share a prefix n-gram
     placed = prefix.join(roots, "node", "left").select("gram", "node", "n", "place", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+    mixed = cut(mixed, "jaccard-mixed-grams")
     rest = cut(placed.join(mixed, "gram"), "jaccard-mixed")
+    release(prefix, mixed)
     one, other = (rest.select("gram", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "root"))) for x in "ab")
     room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     enough = F.lit(100 + PERCENT) * room >= F.lit(PERCENT) * (F.col("n_a") + F.col("n_b"))
     pairs = one.join(other, (one["gram"] == other["gram"]) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _near_sizes("n_a", "n_b") & enough)
     pairs = cut(pairs.select("a", "b", "n_a", "n_b").distinct(), "jaccard-pairs")
+    release(rest)
     late = cut(_links(pairs, held), "jaccard-rest")
+    release(pairs)
 
     # links between components join them
     a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
@@ -324,7 +330,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     named = info.select("doc_id", "print", "n", F.col("node").alias("own"), F.col("same").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(tops, "root", "left").withColumn("top", F.coalesce("top", "root"))
+    named = cut(named, "jaccard-named")
     least = named.groupBy("top").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("stays"))
+    least = cut(least, "jaccard-least")
     return named.join(least, "top").select("doc_id", "print", F.col("n").alias("n_shingles"), "component_id", (F.col("own") == F.col("stays.own")).alias("stays"))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import mix64
+from sedimark.llm.common import cut, mix64
 
 MIN_BYTES = 100
 RUNS = "doc long, print long, first int, last int, name long, check long"
@@ -98,12 +98,13 @@ def later_lines(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_OF_ALL)).alias("doc"), F.xxhash64("text").alias("print"), F.col("text").cast("string").alias("text")).where("text is not null")
     lines = keyed.select("doc", "print", F.posexplode(F.split("text", "\n", -1)).alias("place", "t")).select("doc", "print", "place", F.xxhash64("t").alias("line"), F.octet_length("t").alias("size"))
-    # a map-side sum for each line; only lines that occur twice go on
-    twice = lines.groupBy("line").agg(F.count("*").alias("times")).where("times > 1").select("line")
+    # a map-side sum for each line; only lines that occur twice go on.  The sums are tables of their own
+    # before they are joined, so that a line in a third of all documents can be split over tasks
+    twice = cut(lines.groupBy("line").agg(F.count("*").alias("times")).where("times > 1").select("line"), "lines-twice")
     repeated = lines.join(twice, "line", "left_semi")
     by_doc = repeated.groupBy("doc", "print").agg(F.array_sort(F.collect_set(F.struct("place", "line", "size"))).alias("lines"))
-    runs = by_doc.mapInArrow(_runs, RUNS)
-    firsts = runs.groupBy("name", "check").agg(F.min(_position()).alias("at"), F.count("*").alias("times")).where("times > 1").drop("times")
+    runs = cut(by_doc.mapInArrow(_runs, RUNS), "lines-runs")
+    firsts = cut(runs.groupBy("name", "check").agg(F.min(_position()).alias("at"), F.count("*").alias("times")).where("times > 1").drop("times"), "lines-firsts")
     later = runs.join(firsts, ["name", "check"]).where(_position() > F.col("at"))
     return later.groupBy("doc", "print").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("gone"))
 
