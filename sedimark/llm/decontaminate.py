@@ -207,3 +207,19 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in item_blocks(benchmark):
         docs = less(docs, block)
     return docs
+
+
+#: The same by definition: every window that shares a shingle with an item, compared exactly.
+MATCHES_SQL = """
+with doc_words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+item_words as (select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from benchmark where item_id is not null and text is not null),
+items as (select item_id, w, len(w) as n, least(5, len(w)) as k from item_words where len(w) > 0),
+item_grams as (select item_id, n, k, array_to_string(w[p:p + k - 1], ' ') as g, count(*) as weight from (select *, unnest(generate_series(1, n - k + 1)) as p from items) group by all),
+doc_grams as (select doc_id, len(w) as n_words, k, p, array_to_string(w[p:p + k - 1], ' ') as g from (select d.*, s.k, unnest(generate_series(1, len(d.w) - s.k + 1)) as p from doc_words d, (select distinct k from items) s where len(d.w) >= s.k)),
+hits as (select doc_id, item_id, n, i.k, n_words, p from doc_grams d join item_grams i on i.g = d.g and i.k = d.k),
+starts as (select distinct doc_id, item_id, n, k, s from (select *, unnest(generate_series(greatest(1, p - n + k), least(p, n_words - n + 1))) as s from hits)),
+counted as (select t.doc_id, t.item_id, t.s, t.n, t.k, d.g, count(*) as weight from starts t join doc_grams d on d.doc_id = t.doc_id and d.k = t.k and d.p between t.s and t.s + t.n - t.k group by all),
+near as (select c.doc_id, c.item_id, c.s, c.n, c.k, cast(sum(least(c.weight, i.weight)) as double) as shared from counted c join item_grams i on i.item_id = c.item_id and i.g = c.g group by all),
+scored as (select doc_id, item_id, s - 1 as start_word, n as n_words, shared / (2 * (n - k + 1) - shared) as similarity from near)
+select * from scored where similarity >= 0.8 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start_word) = 1
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sedimark.llm.common import table
-from sedimark.llm.decontaminate import matches
+from sedimark.llm.decontaminate import MATCHES_SQL, matches
 from sedimark.llm.jaccard import JACCARD_SQL, jaccard_report
 from sedimark.llm.language import language_id
 from sedimark.llm.lines import LINE_REPORT_SQL, line_report
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_REPORT_SQL, "op5_jaccard": JACCARD_SQL}
+    return {"op2_line_dedup": LINE_REPORT_SQL, "op5_jaccard": JACCARD_SQL, "op7_decontaminate": MATCHES_SQL}
