@@ -32,9 +32,10 @@ ROW = 192
 #: Payload bytes of one archive, about.
 ARCHIVE_BYTES = 32 << 20
 #: Stored bytes of one read partition, about.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 24 << 20
 ATTEMPTS = 3
 _PNG = b"\x89PNG\r\n\x1a\n"
+_DIRECTORY = b"PK\1\2"
 _LOCAL = struct.Struct("<4sHHHHHIIIHH")
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 MEMBERS = "name string, offset long, media binary"
@@ -162,6 +163,9 @@ class ArchiveReader(DataSourceReader):
         """Byte ranges; the directory of an archive is read only where it needs more than one."""
         out = []
         for path, size in self.paths:
+            if size <= self.range_bytes:
+                out.append(ByteRange(path, 0, size))
+                continue
             files, at = filesystem(path)
             with files.open_input_file(at) as f, zipfile.ZipFile(f) as z:
                 starts = sorted(m.header_offset for m in z.infolist())
@@ -181,6 +185,8 @@ class ArchiveReader(DataSourceReader):
         with files.open_input_file(at) as whole:
             block = _retried(lambda: io.BytesIO(whole.read_at(partition.last - partition.first, partition.first)))
             while offset < partition.last:
+                if block.getbuffer()[offset - partition.first :][:4] == _DIRECTORY:
+                    break
                 try:
                     name, media, after = member_at(block, offset - partition.first)
                     after += partition.first
