@@ -268,10 +268,9 @@ def _arrows(work):
 def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that are links: overlaps counted by fragment and summed per pair.
 
-    Both sides read one exchange of the n-grams by node.
+    Both sides read one exchange of the n-grams by node; a leader with very many pairs can be split.
     """
-    dealt = held.select("node", "grams").repartition(fan_out(held), "node")
-    left, right = dealt.select(F.col("node").alias("a"), F.col("grams").alias("left")), dealt.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+    left, right = held.select(F.col("node").alias("a"), F.col("grams").alias("left")), held.select(F.col("node").alias("b"), F.col("grams").alias("right"))
     by_fragment = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
     summed = F.aggregate(by_fragment, F.lit(0), lambda total, n: total + n)
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", summed.alias("both"))
