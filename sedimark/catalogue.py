@@ -337,6 +337,34 @@ def inventory_union_distinct(spark, sf_dir):
     return rows.where("doc_id % 2 = 0").unionByName(rows.where("doc_id % 3 = 0")).select("path_key").distinct()
 
 
+@_register("select doc_id, to_base64(encode(substr(text, 1, 90))) as base64, octet_length(encode(substr(text, 1, 90))) as n from documents where text is not null")
+def base64_text(spark, sf_dir):
+    raw = F.substring("text", 1, 90).cast("binary")
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", paths.base64_text(raw).alias("base64"))
+    return rows.withColumn("n", F.octet_length(paths.base64_bytes(F.col("base64"))).cast("long"))
+
+
+_MESSAGES = ("the file was Replaced", "path not found", "a SYMLINK now", "size changed", "no metadata", "permission denied")
+
+
+@_register(
+    "select event_id, case event_id % 6 when 0 then 'replaced_during_scan' when 1 then 'disappeared_during_scan' when 2 then 'became_symlink' when 3 then 'changed_during_hash' "
+    "when 4 then 'metadata_unavailable' else 'unreadable' end as stability from events"
+)
+def instability_of_message(spark, sf_dir):
+    messages = F.array(*map(F.lit, _MESSAGES))
+    return _table(spark, sf_dir, "events").select("event_id", stability.instability_of(messages[(F.col("event_id") % 6).cast("int")]).alias("stability"))
+
+
+@_register(
+    "with allocated as (select doc_id, octet_length(encode(text)) as size_bytes, case when doc_id % 11 = 0 then null else doc_id * 512 end as b from documents) "
+    "select doc_id, least(9223372036854775807::hugeint, size_bytes::hugeint * 9000000000000000)::bigint as clamped, b from allocated"
+)
+def saturating_sizes(spark, sf_dir):
+    size = F.octet_length("text").cast("decimal(19,0)")
+    return _table(spark, sf_dir, "documents").select("doc_id", relate.clamped(size * F.lit(9000000000000000).cast("decimal(19,0)")).alias("clamped"), F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") * 512).alias("b"))
+
+
 # --- diagnostics and policy
 
 _EVENT_CLASS = {"error": "internal", "purchase": "state", "signup": "capability", "view": "input", "click": "observation"}
