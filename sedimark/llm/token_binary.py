@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sedimark.llm.common import cut, doc_rows, fan_out, filesystem, scratch_path, text_bytes
+from sedimark.llm.common import cut, doc_rows, fan_out, filesystem, scratch_path
 from sedimark.llm.elias_fano import EliasFano
 
 _MAGIC = b"SMTB"
