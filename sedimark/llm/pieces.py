@@ -37,7 +37,7 @@ from sedimark.llm.common import doc_rows, mix64
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words that one worker remembers before it starts anew; longer ones than LONG aren't remembered.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 600_000
 LONG = 64
 #: Characters of words whose lattices are made at once.
 LATTICE_CHARS = 1 << 17
