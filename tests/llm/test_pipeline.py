@@ -70,3 +70,29 @@ def test_ids_equal_the_library(stages):
 def test_run_is_its_stages(stages, spark, data):
     expected = sorted((r.doc_id, r.ids_crc32) for r in stages["sentencepiece"][1].collect())
     assert sorted((r.doc_id, r.ids_crc32) for r in corpus_pipeline.run(spark, data).collect()) == expected
+
+
+@pytest.fixture(scope="module")
+def rough_dir(spark, tmp_path_factory):
+    """Labels and a benchmark for the rough rows, with nulls, repeats and unknown ids."""
+    folder = tmp_path_factory.mktemp("rough")
+    spark.createDataFrame([(9, 1, 0), (11, 1, 0), (9, 1, 1), (20, 0, 0), (19, 0, 0), (None, 1, 0), (999, 0, 0), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "lead in nothing else to find here"), (2, None), (None, "x"), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_rough_rows_and_nothing(spark, rough, nothing, rough_dir, name, stage):
+    after = stage(spark, rough, rough_dir)
+    assert stage(spark, nothing, rough_dir).collect() == []
+    if name == "sentencepiece":
+        assert after.count() == rough.count()
+        return
+    assert after.columns == rough.columns
+    found = [(r.doc_id, r.text) for r in after.collect()]
+    if name == "line_dedup":
+        assert (1, None) in found and (2, "") in found and len([t for _, t in found if t and "shared0 " in t]) == 2
+    if name == "jaccard":
+        assert len(found) == len(set(found)) and (None, None) in found
+    if name == "decontamination":
+        assert len(found) == rough.count()
