@@ -14,7 +14,7 @@ from sedimark.storage import cut, release, scratch_path
 __all__ = ["cut", "doc_rows", "fan_out", "filesystem", "mix64", "release", "scratch_path", "slices", "table", "text_bytes"]
 
 #: Uncompressed text that one task should hold.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

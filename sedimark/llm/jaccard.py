@@ -97,10 +97,10 @@ def _ask_shared(n: int):
         part = docs.column("part")[0].as_py()
         grams, counts = _sets(in_order(docs))
         same = _same_sets(grams, counts)
-        row = np.repeat(np.arange(len(counts)), counts)
+        row = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
         mine = (same == np.arange(len(counts)))[row]
         grams, row = grams[mine], row[mine]
-        order = np.argsort(grams, kind="stable")
+        order = np.argsort(grams, kind="stable").astype(np.uint32)
         g = grams[order]
         again = np.zeros(len(g) + 1, np.bool_)
         again[1:-1] = g[1:] == g[:-1]
@@ -109,7 +109,7 @@ def _ask_shared(n: int):
         rows = [(part, part, SIZES, pack({"row": np.arange(len(counts)), "n": counts, "same": same, "shared": shared}, _SIZE_OF))]
         marks = g[several & ~again[:-1]]
         single = np.sort(order[~several])
-        grams, row = np.concatenate([grams[single], marks]), np.concatenate([row[single], np.full(len(marks), 0xFFFFFFFF)])
+        grams, row = np.concatenate([grams[single], marks]), np.concatenate([row[single], np.full(len(marks), 0xFFFFFFFF, np.uint32)])
         where = _fragment(grams, n)
         order = np.argsort(where, kind="stable")
         grams, row, where = grams[order], row[order], where[order]

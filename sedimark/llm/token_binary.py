@@ -35,6 +35,8 @@ _HEAD = struct.Struct("<4sBBHQq")
 MEMO_WORDS = 1_500_000
 #: Characters below this have had the same classes in all Unicode versions since 5.0.
 _SETTLED = 0x250
+#: Text of one shard, about.
+SHARD_BYTES = 16 << 20
 MANIFEST = "path string, first_doc long, n_docs long, n_ids long"
 BOUNDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -206,7 +208,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0)
     executor or a speculative copy leaves at most a file that nothing reads.
     """
     rows = doc_rows(docs)
-    ranged = rows.repartitionByRange(fan_out(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = rows.repartitionByRange(fan_out(docs, SHARD_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
         own = encoder(vocabulary)
