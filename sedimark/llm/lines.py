@@ -15,7 +15,8 @@ suffixes.  The least position of each name is the interval's first copy.
 Edge cases: a null text stays null and has no lines; an empty text has one empty line; equal lines of
 one document count like those of two; null ``doc_id`` is smaller than all others; rows with one
 ``doc_id`` are ordered by a hash of their text, and rows equal in both are one document (both keep
-their lines); an empty table gives no rows.  Other columns pass through unchanged.
+their lines); an empty table gives no rows.  Other columns pass through unchanged, but for those named n_lines and
+n_deleted, which are replaced.
 """
 
 from __future__ import annotations
@@ -87,12 +88,29 @@ def _runs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, f.type) for x, f in zip(columns, _RUNS)], schema=_RUNS)
 
 
+def _masks(batches):
+    """Ranges of lines as one byte a line, 1 for those that go; the lines after the last stay."""
+    for batch in batches:
+        masks = []
+        lists = batch.column("ranges")
+        cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
+        flat = lists.flatten()
+        first, last = (flat.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+        for a, b in zip(cuts, cuts[1:]):
+            n = int(last[a:b].max()) + 1
+            steps = np.bincount(first[a:b], minlength=n + 1) - np.bincount(last[a:b] + 1, minlength=n + 1)
+            masks.append((np.cumsum(steps[:n]) > 0).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc"), batch.column("print"), pa.array([m.tobytes() for m in masks], pa.binary()), pa.array([int(m.sum()) for m in masks], pa.int64())], names=["doc", "print", "gone", "n_gone"]
+        )
+
+
 def _position():
     return F.struct("doc", "print", "first")
 
 
 def later_lines(docs: DataFrame) -> DataFrame:
-    """(doc, print, gone): the places of the lines to delete, for documents that lose any.
+    """(doc, print, gone, n_gone): a byte for each line, 1 where it goes, for documents that lose any.
 
     ``doc`` is the id with the least long for null, ``print`` the hash of the text.
     """
@@ -106,19 +124,21 @@ def later_lines(docs: DataFrame) -> DataFrame:
     runs = cut(by_doc.mapInArrow(_runs, RUNS), "lines-runs")
     firsts = cut(runs.groupBy("name", "check").agg(F.min(_position()).alias("at"), F.count("*").alias("times")).where("times > 1").drop("times"), "lines-firsts")
     later = runs.join(firsts, ["name", "check"]).where(_position() > F.col("at"))
-    return later.groupBy("doc", "print").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("gone"))
+    ranges = later.groupBy("doc", "print").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    return ranges.mapInArrow(_masks, "doc long, print long, gone binary, n_gone long")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the later copies deleted from ``text``, and n_lines and n_deleted beside it."""
-    gone = later_lines(docs).select(F.col("doc").alias("__doc"), F.col("print").alias("__print"), F.col("gone").alias("__gone"))
+    gone = later_lines(docs).select(F.col("doc").alias("__doc"), F.col("print").alias("__print"), F.col("gone").alias("__gone"), F.col("n_gone").alias("__n_gone"))
     keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_OF_ALL))).withColumn("__print", F.xxhash64("text"))
     held = keyed.join(gone.hint("shuffle_hash"), ["__doc", "__print"], "left")
     split = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    gone = F.col("__gone")
+    rest = F.array_join(F.filter(split, lambda _, i: (i >= F.octet_length(gone)) | (F.substring(gone, i + 1, F.lit(1)) == F.lit(b"\0"))), "\n")
     rest = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)
-    counted = held.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("n_deleted", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return counted.withColumn("text", rest).select(*docs.columns, "n_lines", "n_deleted")
+    counted = held.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("n_deleted", F.coalesce("__n_gone", F.lit(0)).cast("long"))
+    return counted.withColumn("text", rest).select(*(c for c in docs.columns if c not in ("n_lines", "n_deleted")), "n_lines", "n_deleted")
 
 
 def line_report(docs: DataFrame) -> DataFrame:

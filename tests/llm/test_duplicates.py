@@ -240,3 +240,11 @@ def test_blocks_reach_every_fingerprint_within_the_radius():
     for i, own in enumerate(prints.tolist()):
         flips = draw.choice(64, decontaminate.RADIUS, replace=False)
         assert i in items.candidates(12, own ^ sum(1 << int(b) for b in flips))
+
+
+def test_a_document_of_very_many_lines(spark):
+    """Time stays in proportion to the lines, however many of them go."""
+    text = "\n".join(f"line {i}" for i in range(60_000))
+    rows = [(1, text), (2, text + "\nnew"), (3, "own\n" + text)]
+    got = {r.doc_id: (r.n_lines, r.n_deleted, len(r.text)) for r in lines.dedup_lines(frame(spark, rows, False)).collect()}
+    assert got == {1: (60_000, 0, len(text)), 2: (60_001, 60_000, 3), 3: (60_001, 60_000, 3)}
