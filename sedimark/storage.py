@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The shuffle files behind it are then garbage; Spark deletes them once the driver collects its own.
+    The plan that was just run goes with the second collection: ``free`` makes it come at once, for
+    tables with large shuffles behind them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
     spark._jvm.System.gc()
+    if free:
+        time.sleep(0.2)
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
