@@ -290,12 +290,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     n = fan_out(docs)
     parts = deal(docs, n)
     shared = parts.groupBy("part").applyInArrow(_arrow(_ask_shared(n)), ASK).repartition(n, "bucket").mapInArrow(_count_shared, ANSWER)
-    rows = cut(parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_arrows(_nodes), NODES), "jaccard-nodes")
+    rows = cut(parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_arrows(_nodes), NODES), "jaccard-nodes", free=True)
     info, held = rows.drop("grams"), rows.where("grams is not null")
 
     dealt = held.select("part", "node", "n", "grams").repartition(n, "part")
     counted = dealt.groupBy("part").applyInArrow(_arrow(_ask_frequency(n)), ASK).repartition(n, "bucket").mapInArrow(_count_frequency, ANSWER)
-    prefix = cut(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_arrows(_prefixes), PREFIX), "jaccard-prefixes")
+    prefix = cut(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_arrows(_prefixes), PREFIX), "jaccard-prefixes", free=True)
 
     # each node with the leader that it meets in most of its lists
     # (sums are tables of their own before they are joined: then a hot key of the other side can be split)
@@ -303,7 +303,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     met = prefix.join(lead, "gram").where("lead.a <> node").groupBy(F.col("node").alias("b"), F.col("n").alias("n_b"), "lead.a", "lead.n_a").agg(F.count("*").alias("times"))
     met = met.where(_near_sizes("n_a", "n_b"))
     star = met.groupBy("b", "n_b").agg(F.max_by(F.struct("a", "n_a"), F.struct("times", -F.col("a"))).alias("lead")).select("lead.a", "b", "lead.n_a", "n_b")
-    found = cut(_links(star, held), "jaccard-star")
+    found = cut(_links(star, held), "jaccard-star", free=True)
     release(lead)
     roots = components(found, "jaccard-first")
 
