@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import fan_out, mix64, slices, text_bytes
+from sedimark.llm.common import cut, fan_out, mix64, slices, text_bytes
 from sedimark.llm.parts import ANSWER, ASK, answer_batches, ask_rows, ask_table, deal, ids_of, in_order, joined, pack, payloads, runs_of, split_by, take, unpack
 
 LENGTH = 100
@@ -319,6 +319,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = fan_out(docs)
     parts = deal(docs, n)
     by_segment = parts.groupBy("part").applyInArrow(_to_buckets(n), ASK).repartition(n, "bucket").mapInArrow(_match(False), ANSWER)
+    by_segment = cut(by_segment, "repeats-segments", free=True)  # its asks need not stay beside the next ones
     by_window = _with_answers(parts, by_segment, _ask_windows(n), ASK).repartition(n, "bucket").mapInArrow(_match(True), ANSWER)
     return _with_answers(parts, by_window, _finish, RESULT)
 
