@@ -3,7 +3,8 @@
 A run of consecutive lines of a document counts if it has at least ``MIN_BYTES`` bytes of text in its
 lines.  A line is deleted if it lies in a run that counts and that also starts earlier: in a document
 with a smaller ``doc_id``, or in the same document at an earlier line.  So all later copies of the
-maximal repeated runs go, and the first copy stays.
+maximal repeated runs go, and the first copy stays.  With ``every_run`` a run counts from one non-blank
+line, however short; a line of ASCII white space is blank, and goes only beside a line that isn't.
 
 A line's ID is a 64-bit hash of it.  Only suffixes that start at a line with a second occurrence can
 share a run.  From each of these the least run that counts is taken, forwards and backwards; a maximal
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from sedimark.llm.common import cut, mix64
 
 MIN_BYTES = 100
+#: A line that isn't blank, for Java and RE2 alike.
+_NON_BLANK = r"[^ \t\r\f\x0B]"
 RUNS = "doc long, print long, first int, last int, name long, check long"
 _RUNS = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("name", pa.int64()), ("check", pa.int64())])
 _FIRST_OF_ALL = -(1 << 63)
@@ -68,7 +71,7 @@ def _names(lines: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
         k += 1
 
 
-def _runs(batches):
+def _runs(batches, least):
     """The least runs of each document (doc, print, lines: its repeated lines in order)."""
     for batch in batches:
         out = []
@@ -78,7 +81,7 @@ def _runs(batches):
         place, line, size = (flat.field(c).to_numpy() for c in ("place", "line", "size"))
         docs, prints = batch.column("doc").to_numpy(), batch.column("print").to_numpy()
         for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            first, last = _least_runs(place[a:b].astype(np.int64), size[a:b].astype(np.int64), MIN_BYTES)
+            first, last = _least_runs(place[a:b].astype(np.int64), size[a:b].astype(np.int64), least)
             if len(first):
                 ids = line[a:b].view(np.uint64)
                 n = len(first)
@@ -109,28 +112,29 @@ def _position():
     return F.struct("doc", "print", "first")
 
 
-def later_lines(docs: DataFrame) -> DataFrame:
+def later_lines(docs: DataFrame, every_run: bool = False) -> DataFrame:
     """(doc, print, gone, n_gone): a byte for each line, 1 where it goes, for documents that lose any.
 
     ``doc`` is the id with the least long for null, ``print`` the hash of the text.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_OF_ALL)).alias("doc"), F.xxhash64("text").alias("print"), F.col("text").cast("string").alias("text")).where("text is not null")
-    lines = keyed.select("doc", "print", F.posexplode(F.split("text", "\n", -1)).alias("place", "t")).select("doc", "print", "place", F.xxhash64("t").alias("line"), F.octet_length("t").alias("size"))
+    size, least = (F.col("t").rlike(_NON_BLANK).cast("int"), 1) if every_run else (F.octet_length("t"), MIN_BYTES)
+    lines = keyed.select("doc", "print", F.posexplode(F.split("text", "\n", -1)).alias("place", "t")).select("doc", "print", "place", F.xxhash64("t").alias("line"), size.alias("size"))
     # a map-side sum for each line; only lines that occur twice go on.  The sums are tables of their own
     # before they are joined, so that a line in a third of all documents can be split over tasks
     twice = cut(lines.groupBy("line").agg(F.count("*").alias("times")).where("times > 1").select("line"), "lines-twice")
     repeated = lines.join(twice, "line", "left_semi")
     by_doc = repeated.groupBy("doc", "print").agg(F.array_sort(F.collect_set(F.struct("place", "line", "size"))).alias("lines"))
-    runs = cut(by_doc.mapInArrow(_runs, RUNS), "lines-runs")
+    runs = cut(by_doc.mapInArrow(lambda batches: _runs(batches, least), RUNS), "lines-runs")
     firsts = cut(runs.groupBy("name", "check").agg(F.min(_position()).alias("at"), F.count("*").alias("times")).where("times > 1").drop("times"), "lines-firsts")
     later = runs.join(firsts, ["name", "check"]).where(_position() > F.col("at"))
     ranges = later.groupBy("doc", "print").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     return ranges.mapInArrow(_masks, "doc long, print long, gone binary, n_gone long")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, every_run: bool = False) -> DataFrame:
     """``docs`` with the later copies deleted from ``text``, and n_lines and n_deleted beside it."""
-    gone = later_lines(docs).select(F.col("doc").alias("__doc"), F.col("print").alias("__print"), F.col("gone").alias("__gone"), F.col("n_gone").alias("__n_gone"))
+    gone = later_lines(docs, every_run).select(F.col("doc").alias("__doc"), F.col("print").alias("__print"), F.col("gone").alias("__gone"), F.col("n_gone").alias("__n_gone"))
     keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_OF_ALL))).withColumn("__print", F.xxhash64("text"))
     held = keyed.join(gone.hint("shuffle_hash"), ["__doc", "__print"], "left")
     split = F.split("text", "\n", -1)
@@ -141,9 +145,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return counted.withColumn("text", rest).select(*(c for c in docs.columns if c not in ("n_lines", "n_deleted")), "n_lines", "n_deleted")
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, every_run: bool = False) -> DataFrame:
     """Per document: doc_id, n_lines, n_deleted and the digest of the text that stays."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text"), every_run).select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 #: The same by definition, over the least runs as strings.
@@ -172,3 +176,6 @@ kept as (
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted, sha256(coalesce(rest, '')) as kept_sha256
 from documents d left join kept k on k.doc_id = d.doc_id
 """
+
+#: The same where a run counts from one non-blank line.
+EVERY_RUN_SQL = LINE_REPORT_SQL.replace("strlen(t)", f"cast(regexp_matches(t, '{_NON_BLANK}') as int)").replace(f">= {MIN_BYTES}", ">= 1")

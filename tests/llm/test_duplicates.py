@@ -185,6 +185,13 @@ def test_lines_of_long_runs(spark):
     assert got[2][2] == "own" and got[4][1] == 0 and got[5][2] == ""
 
 
+def test_every_run_of_lines(spark):
+    """Short lines that recur alone go, blank lines only beside them, and the first copy stays."""
+    rows = [(1, "(c) short\nown 1"), (2, "own 2\n(c) short"), (3, "\n\nown 3\n"), (4, "own 4\n \t\n(c) short\n(c) short"), (5, "x\n\ny"), (6, "x\n\nz"), (7, None)]
+    got = {r.doc_id: (r.n_deleted, r.text) for r in lines.dedup_lines(frame(spark, rows, False), every_run=True).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (1, "own 2"), 3: (0, rows[2][1]), 4: (2, "own 4\n \t"), 5: (0, rows[4][1]), 6: (2, "z"), 7: (0, None)}
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_its_sql(name, same):
     same(registry.queries()[name], registry.oracle_sql()[name])
