@@ -344,6 +344,12 @@ def base64_text(spark, sf_dir):
     return rows.withColumn("n", F.octet_length(paths.base64_bytes(F.col("base64"))).cast("long"))
 
 
+@_register("select doc_id, to_base64(encode(text)) as base64, octet_length(encode(text)) as n from documents where text is not null")
+def base64_whole_text(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", paths.base64_text(F.col("text").cast("binary")).alias("base64"))
+    return rows.withColumn("n", F.octet_length(paths.base64_bytes(F.col("base64"))).cast("long"))
+
+
 _MESSAGES = ("the file was Replaced", "path not found", "a SYMLINK now", "size changed", "no metadata", "permission denied")
 
 

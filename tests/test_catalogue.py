@@ -18,3 +18,9 @@ def test_true_digests_give_the_same_groups(spark, data):
 def test_every_query_is_over_whole_tables(spark, data):
     plan = catalogue.queries()["size_candidates"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Sample" not in plan and "LocalLimit" not in plan
+
+
+def test_base64_of_whole_texts(spark, data):
+    """Nothing of a text is left out: the longest round trip is that of the longest text."""
+    longest = spark.read.parquet(f"{data}/documents.parquet").selectExpr("max(octet_length(text))").first()[0]
+    assert longest > 360 and catalogue.queries()["base64_whole_text"](spark, data).agg({"n": "max"}).first()[0] == longest
