@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.functions import blake3
-from sedimark.operators import account, cache, relate
+from sedimark.operators import account, cache, diagnostics, relate
 from sedimark.plans import duplicates
 from sedimark.runs import policy as policies
 from sedimark.runs import publish
@@ -141,7 +141,7 @@ class Engine:
         names = (("effective_policy", "effective-policy.json"), ("run", "run.json"), ("report", "report.json"), ("artifact_set", publish.MARKER))
         artifacts = [{"kind": k, "run_id": run_id, "path": os.path.join(folder, n)} for k, n in names]
         store.finalize(run_id, tables, folder)
-        return self._scanned(found, options, report, artifacts)
+        return self._scanned(store.table("diagnostics", run_id), options, report, artifacts)
 
     def _observe(self, store: StateStore, found: filesystem.Discovery, options, run_id: str) -> tuple[DataFrame, dict[str, DataFrame]]:
         probe = tool_status("ffprobe", "media metadata")["version"] if options.probe_media else None
@@ -151,6 +151,7 @@ class Engine:
         # stored before anything reads it: observing again could give other evidence
         observe.observe(looked, options, run_id).write.mode("overwrite").parquet(where)
         observed = self.spark.read.parquet(where)
+        diagnostics.from_issues(found.issues, True).write.mode("overwrite").parquet(store._at("tables", "diagnostics", f"run_id={run_id}"))
         facts = relate.facts(observed).withColumn("changed_unix_ns", F.lit(None))
         digest = blake3.blake3_udf()
         groups = relate.exact_groups(facts, digest)
@@ -183,8 +184,8 @@ class Engine:
         }
         return report, {"schema": RUN, "artifact_set_id": set_id, **run}
 
-    def _scanned(self, found, options, report, artifacts) -> CommandResult:
-        issues = [Diagnostic("partial_inventory", "warning", "input" if i.kind == "input_excluded_by_policy" else "observation", "degrades_coverage", i.message, {"path": i.path}) for i in found.issues.limit(10_000).collect()]
+    def _scanned(self, issued, options, report, artifacts) -> CommandResult:
+        issues = [Diagnostic(i.code, i.severity, i.classification, i.impact, i.message, {"path": i.path}) for i in issued.collect()]
         if options.probe_media and shutil.which("ffprobe") is None:
             issues.append(Diagnostic("optional_capability_unavailable", "warning", "capability", "none", "ffprobe is unavailable; optional stream metadata was not collected"))
         if unstable := report["summary"]["unstable_observation_count"]:

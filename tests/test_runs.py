@@ -63,6 +63,14 @@ def test_partial_and_invalid_inputs(engine, collection, tmp_path):
     assert (none.exit_code, none.artifacts) == (2, []) and not (tmp_path / "state").exists()
 
 
+def test_every_issue_is_a_diagnostic(engine, collection, tmp_path):
+    missing = [str(tmp_path / f"missing-{i}") for i in range(10_050)]
+    scan = engine.scan([str(collection), *missing])
+    told = {d["context"]["path"] for d in scan.diagnostics if d["code"] == "partial_inventory"}
+    assert told == set(missing) and scan.outcome == "partial_success"
+    assert engine._store().table("diagnostics").count() == len(missing)
+
+
 def test_a_crash_after_publication_is_recovered(engine, collection):
     class Crash(BaseException):
         pass
