@@ -504,6 +504,22 @@ def broken_links(spark, sf_dir):
     return page_source.broken(page_source.links(_table(spark, sf_dir, "pages")), words)
 
 
+@_register(
+    "with site as (select page_id, '/' || page_id || '.html' as path, html || '<h1 id=\"a' || page_id % 3 || '\"><a href=\"#a0\"><a href=\"/' || (page_id + 1) || '.html?q#a%31\">' as html from pages), "
+    "l as (select page_id, path as own, unnest(list_distinct(regexp_extract_all(html, '<(?:a|link|script|img)\\b[^>]*?\\b(?:href|src)\\s*=\\s*\"([^\"]*)\"', 1))) as link from site), "
+    "asked as (select page_id, own, link, url_decode(regexp_replace(link, '[?#].*$', '')) as p, url_decode(regexp_extract(link, '#(.*)$', 1)) as anchor from l "
+    "where not (regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') or starts_with(link, '//'))), "
+    "aimed as (select page_id, link, case when p = '' then own when ends_with(p, '/') then p || 'index.html' else p end as path, anchor from asked where anchor <> ''), "
+    "held as (select distinct path, unnest(regexp_extract_all(html, '<[a-zA-Z][^>]*?\\bid\\s*=\\s*\"([^\"]*)\"', 1)) as anchor from site) "
+    "select page_id, link, path, anchor from aimed a where path in (select path from site) and not exists (select 1 from held h where h.path = a.path and h.anchor = a.anchor)"
+)
+def broken_anchors(spark, sf_dir):
+    n = F.col("page_id")
+    more = F.concat(F.lit('<h1 id="a'), (n % 3).cast("string"), F.lit('"><a href="#a0"><a href="/'), (n + 1).cast("string"), F.lit('.html?q#a%31">'))
+    site = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/"), n.cast("string"), F.lit(".html")).alias("path"), F.concat("html", more).alias("html"))
+    return page_source.broken_anchors(site)
+
+
 @_register(
     "with d as (select sha256(cast(doc_id as varchar) || chr(0) || text) as d from documents), k as (select d, ('0x' || substr(d, 1, 8))::bigint % 256 as bucket from d), "
     "b as (select bucket, sha256(string_agg(d, '' order by d)) as h from k group by bucket) select sha256(string_agg(h, '' order by bucket)) as fingerprint from b"

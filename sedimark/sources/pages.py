@@ -30,3 +30,25 @@ def anchors(pages: DataFrame) -> DataFrame:
 def broken(links_table: DataFrame, targets: DataFrame) -> DataFrame:
     """Local references whose path isn't among ``targets`` (path)."""
     return links_table.where("is_local and path <> ''").join(targets.select("path").distinct(), "path", "left_anti")
+
+
+def broken_anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, link, path, anchor): local references to an anchor that its page doesn't have.
+
+    ``pages`` has page_id, path (from the root) and html.  An empty path is the page itself, one without a
+    leading slash starts at the page's folder.  Paths that no page has are for ``broken``.
+    """
+    found = links(pages.select(F.struct("page_id", F.col("path").alias("own")).alias("page_id"), "html")).where("is_local")
+    raw = F.regexp_extract("link", "(?s)#(.*)$", 1)
+    own, path = F.col("page_id.own"), F.col("path")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace(own, "[^/]*$", ""), path))
+    steps = F.aggregate(
+        F.split(whole, "/"), F.array().cast("array<string>"),
+        lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s.isin("", "."), a).otherwise(F.concat(a, F.array(s))),
+    )
+    target = F.when(path == "", own).otherwise(F.concat(F.lit("/"), F.array_join(steps, "/")))
+    asked = found.select("page_id", "link", target.alias("path"), F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw).alias("anchor"), own.alias("own"))
+    # the site generator's 404 page keeps a skip link without its target
+    asked = asked.where("anchor <> '' and not (own like '%/404.html' and anchor = '__skip')").join(pages.select("path").distinct(), "path", "left_semi")
+    held = anchors(pages.select(F.col("path").alias("page_id"), "html")).withColumnRenamed("page_id", "path")
+    return asked.join(held, ["path", "anchor"], "left_anti").select("page_id.page_id", "link", "path", "anchor")

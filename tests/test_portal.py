@@ -64,3 +64,14 @@ def test_page_links(spark):
     assert [r.anchor for r in pages.anchors(rows).collect()] == ["top"]
     targets = spark.createDataFrame([("/other",)], "path string")
     assert [r.path for r in pages.broken(pages.links(rows), targets).collect()] == ["/a b/index.html"]
+
+
+def test_broken_anchors(spark):
+    one = '<h1 id="top"><h2 id="a b"><a href="#top"><a href="#x"><a href="/d/q.html?v#a%20b"><a href="d/q.html#in"><a href="/none.html#x"><a href="https://e.org/#x"><a href="#">'
+    two = '<h1 id="in"><a href="../p.html#a%20b"><a href="../p.html#y"><a href="./#z"><a href="/d/#in">'
+    rows = [(1, "/p.html", one), (2, "/d/q.html", two), (3, "/d/index.html", "<p>"), (4, "/404.html", '<a href="#__skip">'), (5, "/e.html", None)]
+    found = pages.broken_anchors(spark.createDataFrame(rows, "page_id long, path string, html string")).collect()
+    assert sorted(map(tuple, found)) == [
+        (1, "#x", "/p.html", "x"), (1, "/d/q.html?v#a%20b", "/d/q.html", "a b"), (2, "../p.html#y", "/p.html", "y"),
+        (2, "./#z", "/d/index.html", "z"), (2, "/d/#in", "/d/index.html", "in"),
+    ]
