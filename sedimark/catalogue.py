@@ -337,6 +337,12 @@ def inventory_union_distinct(spark, sf_dir):
     return rows.where("doc_id % 2 = 0").unionByName(rows.where("doc_id % 3 = 0")).select("path_key").distinct()
 
 
+@_register(_over_observed("select path_key from obs union select path_key from obs where doc_id % 2 = 0"))
+def inventory_union_whole(spark, sf_dir):
+    rows = _observed(spark, sf_dir)
+    return rows.unionByName(rows.where("doc_id % 2 = 0")).select("path_key").distinct()
+
+
 @_register("select doc_id, to_base64(encode(substr(text, 1, 90))) as base64, octet_length(encode(substr(text, 1, 90))) as n from documents where text is not null")
 def base64_text(spark, sf_dir):
     raw = F.substring("text", 1, 90).cast("binary")
