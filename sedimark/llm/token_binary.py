@@ -6,7 +6,8 @@ A shard file holds the documents of one ``doc_id`` range in ascending order::
     Elias-Fano doc ids (less the least one), Elias-Fano ends (ids up to each document's end)
     ids, little-endian
 
-Offsets are answered by select on the coded ends; no table of 64-bit offsets exists.
+No table of 64-bit offsets is stored.  A single document's span is answered by select on the coded ends;
+``read_shards`` wants every span and decodes the ends of a shard to an array in memory.
 
 Edge cases: null text is empty; every document ends with the end id, so an empty one has that id
 alone; null ``doc_id`` sorts before all others; rows that repeat a ``doc_id`` stay separate, ordered by
