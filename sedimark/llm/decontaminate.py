@@ -7,8 +7,10 @@ similarity (sum of least weights over sum of greatest) of at least 0.8.
 
 Candidates come from 64-bit SimHashes: multi-index blocks of 8 bits.  Two fingerprints within RADIUS
 bits agree in some block up to RADIUS // 8 bits, so looking up all block values that near finds every
-fingerprint within the radius; each candidate is verified exactly.  Shingles of weighted similarity 0.8
-differ in about 10 bits of 64, spread 3; the radius of 26 is over five spreads away.
+fingerprint within the radius; each candidate is verified exactly.  Where all shingles of window and item
+are distinct, a similarity of 0.8 differs in about 10 bits of 64, spread 3; the radius of 26 is over five
+spreads away.  A repeated shingle can outvote the others, so where window or item has one, candidates come
+from the shingles themselves: a match lacks at most a ninth of the window's, so it has one of any more.
 
 Windows are fingerprinted only where they can match at all: a match needs 0.8 n of its shingles to be
 shingles of some item, which one pass over the text counts.  Nothing is shuffled; items come to the
@@ -59,6 +61,21 @@ def simhash(shingle_rows: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes.sum(axis=1, dtype=np.int32) > shingle_rows.shape[1], axis=1).view("<u8").ravel()
 
 
+def _repeats(shingle_rows: np.ndarray) -> np.ndarray:
+    """Which rows have a shingle twice."""
+    inorder = np.sort(shingle_rows, axis=1)
+    return (inorder[:, 1:] == inorder[:, :-1]).any(axis=1)
+
+
+def _by_shingle(shingle_rows: np.ndarray, numbers) -> dict[int, list[int]]:
+    """For each shingle, those of the numbered rows that have it."""
+    out = defaultdict(list)
+    for i in numbers:
+        for s in set(shingle_rows[i].tolist()):
+            out[s].append(i)
+    return dict(out)
+
+
 class Items:
     """A block of items by number of words, with the blocks of their fingerprints."""
 
@@ -79,6 +96,8 @@ class Items:
                 "ids": [i for i, _ in some],
                 "weights": [Counter(s.tolist()) for _, s in some],
                 "prints": prints,
+                "by_shingle": _by_shingle(shingles, range(len(some))),
+                "by_shingle_repeated": _by_shingle(shingles, np.flatnonzero(_repeats(shingles)).tolist()),
                 # for each block and value, the items whose block is near that value
                 "posted": [[np.flatnonzero(_NEAR[v][parts[:, j]]) for v in range(256)] for j in range(BLOCKS)],
             }
@@ -93,6 +112,18 @@ class Items:
         found = np.unique(np.concatenate([own["posted"][j][(fingerprint >> 8 * j) & 255] for j in range(BLOCKS)]))
         return [i for i in found.tolist() if (int(own["prints"][i]) ^ fingerprint).bit_count() <= RADIUS]
 
+    def candidates_by_shingle(self, n: int, window: Counter, repeated: bool) -> set[int]:
+        """Numbers of all items of n words that can match; only of those with a repeated shingle if the window has none."""
+        held = self.by_size[n]["by_shingle" if repeated else "by_shingle_repeated"]
+        found, weight = set(), 0
+        if held:
+            for s in sorted(window, key=lambda s: len(held.get(s, ()))):
+                found.update(held.get(s, ()))
+                weight += window[s]
+                if 9 * weight > window.total():
+                    break
+        return found
+
 
 def similarity(a: Counter, b: Counter) -> float:
     both = sum(min(w, b[s]) for s, w in a.items() if s in b)
@@ -136,8 +167,11 @@ def _search(items: Items):
                         if not len(part):
                             continue
                         rows = own[part[:, None] + np.arange(m)]
-                        for start, row, fingerprint in zip(part.tolist(), rows, simhash(rows).tolist()):
-                            for i in items.candidates(n, fingerprint):
+                        for start, row, fingerprint, repeated in zip(part.tolist(), rows, simhash(rows).tolist(), _repeats(rows).tolist()):
+                            some = items.candidates(n, fingerprint)
+                            if repeated or block["by_shingle_repeated"]:
+                                some = sorted(items.candidates_by_shingle(n, Counter(row.tolist()), repeated).union(some))
+                            for i in some:
                                 near = similarity(block["weights"][i], Counter(row.tolist()))
                                 if near >= SIMILARITY and near > best.get((n, i), (0.0,))[0]:
                                     best[n, i] = (near, start, n)

@@ -234,6 +234,16 @@ def test_decontamination(spark, rough, nothing):
     assert decontaminate.matches(nothing, benchmark).collect() == [] and decontaminate.matches(docs, benchmark.limit(0)).collect() == []
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    """A shingle that outvotes the others, in both, in the item alone or in the text alone, loses no match."""
+    item, other = [f"i{i}" for i in range(304)], [f"o{i}" for i in range(304)]
+    rows = [(1, " ".join("ba"[i % 2] for i in range(13))), (2, " ".join([*item[:274], *["z"] * 34])), (3, " ".join(other)), (4, " ".join("abc"[i % 3] for i in range(17)))]
+    items = [(1, " ".join("ab"[i % 2] for i in range(13))), (2, " ".join(item)), (3, " ".join([*other[:274], *["y"] * 30])), (4, " ".join("bca"[i % 3] for i in range(17)))]
+    expected = brute_matches(rows, items)
+    got = sorted((str(r.doc_id), *r[1:4], round(r[4], 9)) for r in decontaminate.matches(frame(spark, rows, False), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == expected and {("1", 1), ("2", 2), ("3", 3)} <= {(d, i) for d, i, *_ in got}
+
+
 def test_decontamination_on_documents(spark, data, documents, rows_of):
     benchmark = spark.read.parquet(f"{data}/benchmark.parquet")
     got = sorted((str(r.doc_id), *r[1:4], round(r[4], 9)) for r in decontaminate.matches(documents, benchmark).collect())
