@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm.common import cut, fan_out, mix64, slices, text_bytes
+from sedimark.llm.prints import span_names, window_names
 from sedimark.llm.parts import ANSWER, ASK, answer_batches, ask_rows, ask_table, deal, ids_of, in_order, joined, pack, payloads, runs_of, split_by, take, unpack
 
 LENGTH = 100
@@ -42,40 +43,6 @@ ENTRY = {"key": "u8", "check": "u4", "doc": "i8", "row": "u4", "start": "u4", "m
 HELD = ENTRY | {"part": "i4", "mark": "?"}
 RESULT = "doc_id long, kept binary, n_bytes long, spans array<struct<start: long, end: long>>"
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = [mix64(np.arange(256, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed)) for seed in (11, 29)]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for at least n places."""
-    have = _powers.get(0)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(20, n.bit_length())
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        _powers[0] = have = (both[0], both[1])
-    return have
-
-
-class Prints:
-    """Fingerprints of any substring of one slice of bytes, from prefix sums."""
-
-    def __init__(self, raw: np.ndarray, table: int = 0):
-        up, self.down = _power_tables(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[table][raw] * up[: len(raw)], out=self.sums[1:])
-
-    def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def all(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n])
-
 
 def segments(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The segments of a slice of documents: key, check, row, start (in the document), more.
@@ -86,8 +53,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(raw)
     if n < LENGTH:
         return none
-    prints = Prints(raw)
-    strings = prints.all(K)
+    strings = window_names(raw, K)
     low = np.uint64((1 << n.bit_length()) - 1)
     least = strings & ~low | np.arange(len(strings), dtype=np.uint64)
     width, wanted = 1, LENGTH - K + 1
@@ -110,7 +76,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     anchor = anchors[fresh]
     row = np.searchsorted(offsets, first, "right") - 1
     shape = (anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
-    key = mix64(prints.at(first, last + LENGTH) + shape)
+    key = mix64(span_names(strings, K, first, last - first + LENGTH) + shape)
     return {"key": key, "check": strings[anchor], "row": row, "start": first - offsets[row], "more": last - first}
 
 
@@ -121,7 +87,9 @@ def windows(raw: np.ndarray, offsets: np.ndarray, asked: dict[str, np.ndarray])
     row = np.repeat(asked["row"].astype(np.int64), sizes)
     start = np.repeat(asked["start"].astype(np.int64) - (ends - sizes), sizes) + np.arange(int(ends[-1]))
     at = start + offsets[row]
-    return {"key": Prints(raw).at(at, at + LENGTH), "check": Prints(raw, 1).at(at, at + LENGTH), "row": row, "start": start, "more": np.zeros(len(row), np.int64)}
+    size = np.full(len(at), LENGTH)
+    key, check = (span_names(window_names(raw, K, table), K, at, size) for table in (0, 1))
+    return {"key": key, "check": check, "row": row, "start": start, "more": np.zeros(len(row), np.int64)}
 
 
 def first_of_each(entries: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,11 +1,15 @@
-"""Words and word shingles of byte texts as 64-bit fingerprints, in numpy."""
+"""Words and word shingles of byte texts as 64-bit fingerprints, in numpy.
+
+Edge cases: null, empty and blank texts have no words and no shingles; a text with fewer words than a
+shingle has one shingle of all of them; equal texts give equal results wherever they stand.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 from sedimark.llm.common import mix64
-from sedimark.llm.repeats import Prints
+from sedimark.llm.prints import word_names
 
 _SEPARATOR = np.zeros(256, np.bool_)
 _SEPARATOR[[32, *range(9, 14)]] = True
@@ -28,7 +32,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     cut = offsets[1:] - 1
     before_gap[cut[cut >= 0]] = True
     end = np.flatnonzero(before_gap & ~gap) + 1
-    return Prints(_FOLD[raw]).at(start, end), np.searchsorted(offsets, start, "right") - 1, start, end
+    return word_names(_FOLD[raw], start, gap), np.searchsorted(offsets, start, "right") - 1, start, end
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sedimark.llm import media, pieces
+from sedimark.llm import token_binary as token_binary_module
 from sedimark.llm.elias_fano import EliasFano
 from sedimark.llm.registry import tokenizer_path
 from sedimark.llm.token_binary import MemoEncoder, Shard, pack_shard, read_shards, token_binary, write_shards
@@ -24,7 +25,7 @@ from tests.llm.conftest import ROUGH, ordered
 def test_elias_fano(values):
     values = sorted(values)
     coded, used = EliasFano.from_bytes(memoryview(EliasFano.encode(np.array(values, np.uint64)).to_bytes() + b"more"))
-    assert coded.decode().tolist() == values
+    assert coded.decode().tolist() == values and len(values) == sum(map(len, coded.blocks()))
     assert [coded.select(i) for i in range(0, len(values), 7)] == values[::7]
     if len(values) > 100:
         assert 8 * used < len(values) * (2 + max(values).bit_length()) + 400
@@ -34,7 +35,6 @@ def expected_tokens(rows):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     at, out = 0, []
     for doc_id, text in ordered(rows):
         ids = library.encode(text or "", add_special_tokens=False).ids + [0]
@@ -60,6 +60,16 @@ def test_orphan_files_are_not_read(spark, documents, tmp_path):
     assert read_shards(manifest).count() == documents.count()
 
 
+def test_full_shards_are_closed(spark, documents, rows_of, monkeypatch, tmp_path):
+    """A task with more ids than a shard holds writes several; starts go on from one to the next."""
+    monkeypatch.setattr(token_binary_module, "SHARD_BYTES", 5_000)
+    monkeypatch.setattr(token_binary_module, "SUMMED", 2)
+    rows = documents.coalesce(1).repartitionByRange(3, "doc_id")
+    manifest = write_shards(rows, tokenizer_path("byte_bpe_50k.json"), str(tmp_path))
+    assert manifest.count() > 3
+    assert sorted(map(tuple, read_shards(manifest).collect()), key=lambda r: r[1]) == expected_tokens(rows_of)
+
+
 def test_shards_hold_documents():
     shard = Shard(pack_shard([None, 3, 9], np.array([5, 0, 0, 7, 8, 0]), np.array([2, 1, 3]), 2))
     assert shard.doc_ids == [None, 3, 9] and [shard.document(i).tolist() for i in range(3)] == [[5, 0], [0], [7, 8, 0]]
@@ -71,12 +81,14 @@ def odd_texts(n, letters):
 
 
 def test_memo_equals_the_library_on_odd_texts():
-    own = MemoEncoder(tokenizer_path("byte_bpe_50k.json"))
-    texts = ["", " ", "it's we'll don't'", "a\tb \x1c x\xa0y", "<|endoftext|> hi", "x²y ½", "\r\n \r\nfoo", *odd_texts(800, "ab' \n\t!é1²_s.\xa0\r日")]
+    from tokenizers import Tokenizer
+
+    own, library = MemoEncoder(tokenizer_path("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["", "a<|endoftext|>b", "<|endoftext|>", "  <|endoftext|> <|endoftext", " ", "it's we'll don't'", "a\tb \x1c x\xa0y", "<|endoftext|> hi", "x²y ½", "\r\n \r\nfoo", *odd_texts(800, "ab' \n\t!é1²_s.\xa0\r日")]
     ids, counts = own.encode(texts)
     parts = np.split(ids, np.cumsum(counts)[:-1])
     for text, part in zip(texts, parts):
-        assert part.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert part.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def check_media(frame, rows):
