@@ -1,40 +1,50 @@
-"""Line dedup: repeated runs of lines, by suffixes of line-ID sequences and prefix doubling.
-
-A run of consecutive lines of a document counts if it has at least ``MIN_BYTES`` bytes of text in its
-lines.  A line is deleted if it lies in a run that counts and that also starts earlier: in a document
-with a smaller ``doc_id``, or in the same document at an earlier line.  So all later copies of the
-maximal repeated runs go, and the first copy stays.  With ``every_run`` a run counts from one non-blank
-line, however short; a line of ASCII white space is blank, and goes only beside a line that isn't.
-
-A line's ID is a 64-bit hash of it.  Only suffixes that start at a line with a second occurrence can
-share a run.  From each of these the least run that counts is taken, forwards and backwards; a maximal
-run is the union of those inside it.  Prefix doubling names the first 2**k lines of each suffix from two
-names of 2**(k-1) lines, and a run of any length from two names that overlap; equal names are equal
-runs, so a name stands for an interval of the suffix array with that common prefix, without sorting all
-suffixes.  The least position of each name is the interval's first copy.
+"""Line dedup: repeated runs of lines, from suffix ranks by distributed prefix doubling.
+
+A run of consecutive lines of a document counts if it holds one line that isn't blank (ASCII white space
+alone), or, where ``least_bytes`` is given, so many bytes of text in its lines.  A line is deleted if it
+lies in a run that counts and that also starts earlier: in a document with a smaller ``doc_id``, or in the
+same document at an earlier line.  So all later copies of the maximal repeated runs go, the first stays.
+
+1. A line's ID is 128 bits, two hashes of it.  Only lines with a second occurrence can lie in a repeated
+   run; the distinct ones are sorted, and a line's rank is its ID's place in that order.
+2. Prefix doubling: the rank of the first 2**(k+1) lines of a suffix is the place of the pair (rank of its
+   first 2**k lines, rank of the 2**k lines after them) among all pairs in order.  Pairs come from a join
+   of the ranks with themselves, places from one range sort.  Suffixes in order of rank are the suffix
+   array to that depth, and those of one rank are an interval with that common prefix; an interval of one
+   suffix can't grow and goes no further.
+3. A maximal repeated run is the union of the least runs that count inside it: for each line the shortest
+   from it and the shortest up to it.  A run of n lines, 2**k <= n < 2**(k+1), is named by n and the ranks
+   of its first and its last 2**k lines.  Runs of one name are an interval of common prefix n; its least
+   position is the first copy, and the others are later ones.
+
+Doubling goes on while a least run is that long: once where each line counts by itself.  Ranks and first
+copies are sums by key, made before they are joined, and are tables of their own; so a line that a third of
+all documents hold is added up in parts, and its joins can be split.
 
 Edge cases: a null text stays null and has no lines; an empty text has one empty line; equal lines of
 one document count like those of two; null ``doc_id`` is smaller than all others; rows with one
 ``doc_id`` are ordered by a hash of their text, and rows equal in both are one document (both keep
-their lines); an empty table gives no rows.  Other columns pass through unchanged, but for those named n_lines and
-n_deleted, which are replaced.
+their lines); an empty table gives no rows.  Other columns pass through unchanged, whatever their names, but
+for those named n_lines and n_deleted, which are replaced.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import cut, mix64
+from sedimark.llm.common import cut, release
 
-MIN_BYTES = 100
 #: A line that isn't blank, for Java and RE2 alike.
 _NON_BLANK = r"[^ \t\r\f\x0B]"
-RUNS = "doc long, print long, first int, last int, name long, check long"
-_RUNS = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("name", pa.int64()), ("check", pa.int64())])
+RUNS = "doc long, print long, first int, last int"
+_RUNS = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 _FIRST_OF_ALL = -(1 << 63)
+_KEY = ["doc", "print"]
 
 
 def _least_runs(place: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,40 +65,25 @@ def _least_runs(place: np.ndarray, size: np.ndarray, least: int) -> tuple[np.nda
     return both // (n + 1), both % (n + 1)
 
 
-def _names(lines: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Names of the runs by prefix doubling: level k names 2**k lines from each place."""
-    length = last - first + 1
-    names = np.zeros(len(length), np.uint64)
-    now, k = lines, 0
-    while True:
-        mine = (length >> k) == 1
-        a, b = now[first[mine]], now[last[mine] - (1 << k) + 1]
-        names[mine] = mix64(a + np.uint64(0x9E3779B97F4A7C15) * mix64(b + length[mine].astype(np.uint64)))
-        if not (length >> (k + 1)).any():
-            return names
-        step = 1 << k
-        now = mix64(now[: len(now) - step] * np.uint64(0xD6E8FEB86659FD93) + now[step:]) if len(now) > step else now[:0]
-        k += 1
+def _runs(least: int):
+    """The least runs of each document (doc, print, lines: its repeated lines in order)."""
 
+    def work(batches):
+        for batch in batches:
+            out = []
+            lists = batch.column("lines")
+            cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            flat = lists.flatten()
+            place, size = (flat.field(c).to_numpy().astype(np.int64) for c in ("place", "size"))
+            docs, prints = batch.column("doc").to_numpy(), batch.column("print").to_numpy()
+            for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                first, last = _least_runs(place[a:b], size[a:b], least)
+                if len(first):
+                    out.append((np.full(len(first), docs[d]), np.full(len(first), prints[d]), place[a:b][first], place[a:b][last]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type, safe=False) for x, f in zip(zip(*out), _RUNS)], schema=_RUNS)
 
-def _runs(batches, least):
-    """The least runs of each document (doc, print, lines: its repeated lines in order)."""
-    for batch in batches:
-        out = []
-        lists = batch.column("lines")
-        cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        flat = lists.flatten()
-        place, line, size = (flat.field(c).to_numpy() for c in ("place", "line", "size"))
-        docs, prints = batch.column("doc").to_numpy(), batch.column("print").to_numpy()
-        for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            first, last = _least_runs(place[a:b].astype(np.int64), size[a:b].astype(np.int64), least)
-            if len(first):
-                ids = line[a:b].view(np.uint64)
-                n = len(first)
-                out.append((np.full(n, docs[d]), np.full(n, prints[d]), place[a:b][first], place[a:b][last], _names(ids, first, last), _names(mix64(ids ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first, last)))
-        if out:
-            columns = [np.concatenate(x) for x in zip(*out)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, f.type) for x, f in zip(columns, _RUNS)], schema=_RUNS)
+    return work
 
 
 def _masks(batches):
@@ -108,59 +103,102 @@ def _masks(batches):
         )
 
 
-def _position():
-    return F.struct("doc", "print", "first")
+def _keyed(docs: DataFrame) -> list:
+    """doc and print: the id with the least long for null, and the hash of the text."""
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(_FIRST_OF_ALL)).alias("doc"), F.xxhash64(docs["text"].cast("string")).alias("print")]
+
+
+def _in_order(keys: DataFrame, by: list[str]) -> DataFrame:
+    """``keys`` with ``rank``: numbers in the order of ``by``, from one range sort."""
+    return keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
 
 
-def later_lines(docs: DataFrame, every_run: bool = False) -> DataFrame:
+def line_ranks(lines: DataFrame) -> DataFrame:
+    """(doc, print, place, size, rank) of the lines (doc, print, place, id_a, id_b, size) that occur twice or more."""
+    by = ["id_a", "id_b"]
+    twice = lines.groupBy(*by).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    return lines.join(cut(_in_order(twice, by), "lines-ids"), by).select(*_KEY, "place", "size", "rank")
+
+
+def doubled(ranks: DataFrame, depth: int) -> DataFrame:
+    """Ranks (doc, print, place, rank) to twice the depth, of the suffixes that share so much with another."""
+    after = ranks.select(*_KEY, (F.col("place") - depth).alias("place"), F.col("rank").alias("next"))
+    pairs = cut(ranks.select(*_KEY, "place", "rank").join(after, [*_KEY, "place"]), f"lines-pairs-{depth}")
+    intervals = pairs.groupBy("rank", "next").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    intervals = cut(_in_order(intervals.withColumnsRenamed({"rank": "own"}), ["own", "next"]), f"lines-intervals-{depth}")
+    deeper = cut(pairs.withColumnRenamed("rank", "own").join(intervals, ["own", "next"]).select(*_KEY, "place", "rank"), f"lines-ranks-{2 * depth}")
+    release(pairs, intervals)
+    return deeper
+
+
+def _later(runs: DataFrame, ranks: DataFrame, depth: int) -> DataFrame:
+    """The runs of ``depth`` to 2 * ``depth`` - 1 lines that have an earlier copy."""
+    size = F.col("last") - F.col("first") + 1
+    some = runs.withColumn("size", size).where((F.col("size") >= depth) & (F.col("size") < 2 * depth))
+    head = ranks.select(*_KEY, F.col("place").alias("first"), F.col("rank").alias("head"))
+    named = some.join(head, [*_KEY, "first"])
+    if depth > 1:
+        tail = ranks.select(*_KEY, (F.col("place") + (depth - 1)).cast("int").alias("last"), F.col("rank").alias("tail"))
+        named = cut(named.join(tail, [*_KEY, "last"]), f"lines-named-{depth}")
+    else:
+        named = named.withColumn("tail", F.col("head"))
+    at = F.struct("doc", "print", "first")
+    firsts = cut(named.groupBy("size", "head", "tail").agg(F.min(at).alias("at"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), f"lines-firsts-{depth}")
+    return named.join(firsts, ["size", "head", "tail"]).where(at > F.col("at")).select(*_KEY, "first", "last")
+
+
+def later_lines(docs: DataFrame, least_bytes: int | None = None) -> DataFrame:
     """(doc, print, gone, n_gone): a byte for each line, 1 where it goes, for documents that lose any.
 
     ``doc`` is the id with the least long for null, ``print`` the hash of the text.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_OF_ALL)).alias("doc"), F.xxhash64("text").alias("print"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size, least = (F.col("t").rlike(_NON_BLANK).cast("int"), 1) if every_run else (F.octet_length("t"), MIN_BYTES)
-    lines = keyed.select("doc", "print", F.posexplode(F.split("text", "\n", -1)).alias("place", "t")).select("doc", "print", "place", F.xxhash64("t").alias("line"), size.alias("size"))
-    # a map-side sum for each line; only lines that occur twice go on.  The sums are tables of their own
-    # before they are joined, so that a line in a third of all documents can be split over tasks
-    twice = cut(lines.groupBy("line").agg(F.count("*").alias("times")).where("times > 1").select("line"), "lines-twice")
-    repeated = lines.join(twice, "line", "left_semi")
-    by_doc = repeated.groupBy("doc", "print").agg(F.array_sort(F.collect_set(F.struct("place", "line", "size"))).alias("lines"))
-    runs = cut(by_doc.mapInArrow(lambda batches: _runs(batches, least), RUNS), "lines-runs")
-    firsts = cut(runs.groupBy("name", "check").agg(F.min(_position()).alias("at"), F.count("*").alias("times")).where("times > 1").drop("times"), "lines-firsts")
-    later = runs.join(firsts, ["name", "check"]).where(_position() > F.col("at"))
-    ranges = later.groupBy("doc", "print").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    text = F.col("text").cast("string")
+    keyed = docs.select(*_keyed(docs), text.alias("text")).where("text is not null")
+    size, least = (F.col("t").rlike(_NON_BLANK).cast("int"), 1) if least_bytes is None else (F.octet_length("t"), max(least_bytes, 1))
+    split = keyed.select(*_KEY, F.posexplode(F.split("text", "\n", -1)).alias("place", "t"))
+    lines = split.select(*_KEY, "place", F.xxhash64("t").alias("id_a"), F.xxhash64(F.lit(0x51ED27), "t").alias("id_b"), size.alias("size"))
+    ranks = cut(line_ranks(lines), "lines-ranks-1")
+    by_doc = ranks.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("place", "size"))).alias("lines"))
+    runs = cut(by_doc.mapInArrow(_runs(least), RUNS), "lines-runs")
+    longest = runs.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 0
+    found, depth = [], 1
+    while depth == 1 or depth <= longest:
+        found.append(cut(_later(runs, ranks, depth), f"lines-later-{depth}"))
+        deeper = doubled(ranks, depth) if 2 * depth <= longest else None
+        release(ranks)
+        ranks, depth = deeper, 2 * depth
+    release(runs)
+    ranges = functools.reduce(DataFrame.union, found).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     return ranges.mapInArrow(_masks, "doc long, print long, gone binary, n_gone long")
 
 
-def dedup_lines(docs: DataFrame, every_run: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_bytes: int | None = None) -> DataFrame:
     """``docs`` with the later copies deleted from ``text``, and n_lines and n_deleted beside it."""
-    gone = later_lines(docs, every_run).select(F.col("doc").alias("__doc"), F.col("print").alias("__print"), F.col("gone").alias("__gone"), F.col("n_gone").alias("__n_gone"))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_OF_ALL))).withColumn("__print", F.xxhash64("text"))
-    held = keyed.join(gone.hint("shuffle_hash"), ["__doc", "__print"], "left")
-    split = F.split("text", "\n", -1)
-    gone = F.col("__gone")
-    rest = F.array_join(F.filter(split, lambda _, i: (i >= F.octet_length(gone)) | (F.substring(gone, i + 1, F.lit(1)) == F.lit(b"\0"))), "\n")
-    rest = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)
-    counted = held.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("n_deleted", F.coalesce("__n_gone", F.lit(0)).cast("long"))
-    return counted.withColumn("text", rest).select(*(c for c in docs.columns if c not in ("n_lines", "n_deleted")), "n_lines", "n_deleted")
-
-
-def line_report(docs: DataFrame, every_run: bool = False) -> DataFrame:
+    gone = later_lines(docs, least_bytes)
+    held = docs.select(*_keyed(docs), F.struct(*docs.columns).alias("row")).join(gone, _KEY, "left")
+    split = F.split(F.col("row.text").cast("string"), "\n", -1)
+    kept = F.filter(split, lambda _, i: (i >= F.octet_length("gone")) | (F.substring(F.col("gone"), i + 1, F.lit(1)) == F.lit(b"\0")))
+    rest = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    own = [rest.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    return held.select(*own, F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_deleted"))
+
+
+def line_report(docs: DataFrame, least_bytes: int | None = None) -> DataFrame:
     """Per document: doc_id, n_lines, n_deleted and the digest of the text that stays."""
-    return dedup_lines(docs.select("doc_id", "text"), every_run).select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text"), least_bytes).select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 #: The same by definition, over the least runs as strings.
-LINE_REPORT_SQL = f"""
+_RUNS_SQL = """
 with lines as (
   select doc_id, cast(unnest(generate_series(1, len(string_split(text, chr(10))))) as bigint) as i, unnest(string_split(text, chr(10))) as t
   from documents where text is not null),
 sized as (
-  select *, strlen(t) as size, sum(strlen(t)) over (partition by doc_id order by i) as total from lines),
+  select *, WEIGHT as size, sum(WEIGHT) over (partition by doc_id order by i) as total from lines),
 runs as (
-  select a.doc_id, a.i as first, min(b.i) as last from sized a join sized b on a.doc_id = b.doc_id and b.i >= a.i and b.total - a.total + a.size >= {MIN_BYTES} group by all
+  select a.doc_id, a.i as first, min(b.i) as last from sized a join sized b on a.doc_id = b.doc_id and b.i >= a.i and b.total - a.total + a.size >= LEAST group by all
   union
-  select b.doc_id, max(a.i) as first, b.i as last from sized a join sized b on a.doc_id = b.doc_id and b.i >= a.i and b.total - a.total + a.size >= {MIN_BYTES} group by b.doc_id, b.i),
+  select b.doc_id, max(a.i) as first, b.i as last from sized a join sized b on a.doc_id = b.doc_id and b.i >= a.i and b.total - a.total + a.size >= LEAST group by b.doc_id, b.i),
 named as (
   select r.doc_id, r.first, r.last, string_agg(l.t, chr(10) order by l.i) as run
   from runs r join lines l on l.doc_id = r.doc_id and l.i between r.first and r.last group by all),
@@ -177,5 +215,7 @@ select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_de
 from documents d left join kept k on k.doc_id = d.doc_id
 """
 
-#: The same where a run counts from one non-blank line.
-EVERY_RUN_SQL = LINE_REPORT_SQL.replace("strlen(t)", f"cast(regexp_matches(t, '{_NON_BLANK}') as int)").replace(f">= {MIN_BYTES}", ">= 1")
+
+def line_sql(least_bytes: int | None = None) -> str:
+    weight = f"cast(regexp_matches(t, '{_NON_BLANK}') as int)" if least_bytes is None else "strlen(t)"
+    return _RUNS_SQL.replace("WEIGHT", weight).replace("LEAST", str(least_bytes or 1))

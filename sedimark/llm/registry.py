@@ -10,7 +10,7 @@ from sedimark.llm.common import table
 from sedimark.llm.decontaminate import MATCHES_SQL, matches
 from sedimark.llm.jaccard import JACCARD_SQL, jaccard_report
 from sedimark.llm.language import language_id
-from sedimark.llm.lines import EVERY_RUN_SQL, LINE_REPORT_SQL, line_report
+from sedimark.llm.lines import line_report, line_sql
 from sedimark.llm.media import media_columns
 from sedimark.llm.pieces import encoding_report
 from sedimark.llm.quality import quality
@@ -18,6 +18,9 @@ from sedimark.llm.repeats import repeats
 from sedimark.llm.secrets import secret_scan
 from sedimark.llm.token_binary import token_binary
 
+#: Bytes of text from which a run counts in op2_line_dedup_long_runs.
+LONG_RUN = 100
+
 
 def tokenizer_path(name: str) -> str:
     """Where the installed public tokenizers keep a file."""
@@ -34,8 +37,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
-def op2_line_dedup_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"), every_run=True)
+def op2_line_dedup_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"), least_bytes=LONG_RUN)
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +74,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_token_binary, op2_line_dedup, op2_line_dedup_every_run, op3_repeats, op4_sentencepiece, op5_jaccard,
+    op1_token_binary, op2_line_dedup, op2_line_dedup_long_runs, op3_repeats, op4_sentencepiece, op5_jaccard,
     op6_language_id, op7_decontaminate, op8_quality, op9_media_columns, op10_secret_scan,
 )
 
@@ -81,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_REPORT_SQL, "op2_line_dedup_every_run": EVERY_RUN_SQL, "op5_jaccard": JACCARD_SQL, "op7_decontaminate": MATCHES_SQL}
+    return {"op2_line_dedup": line_sql(), "op2_line_dedup_long_runs": line_sql(LONG_RUN), "op5_jaccard": JACCARD_SQL, "op7_decontaminate": MATCHES_SQL}

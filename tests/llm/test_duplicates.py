@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedimark.llm import decontaminate, jaccard, lines, registry, repeats
 from sedimark.llm.graph import components
@@ -140,8 +141,8 @@ def test_components(spark):
     assert components(links.limit(0)).collect() == []
 
 
-def brute_lines(rows):
-    """Any run of lines with 100 bytes or more that also starts earlier loses its lines."""
+def brute_lines(rows, least_bytes=None):
+    """Any run of lines that counts (a non-blank line, or so many bytes) and also starts earlier loses its lines."""
     documents = sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     first, out = {}, {}
 
@@ -150,8 +151,8 @@ def brute_lines(rows):
         for i in range(len(found)):
             size = 0
             for j in range(i, len(found)):
-                size += len(found[j].encode())
-                if size >= lines.MIN_BYTES:
+                size += bool(found[j].strip(" \t\r\f\x0b")) if least_bytes is None else len(found[j].encode())
+                if size >= (least_bytes or 1):
                     yield i, j, "\n".join(found[i : j + 1])
 
     for d, t in documents:
@@ -167,31 +168,66 @@ def brute_lines(rows):
     return out
 
 
-def test_lines_on_rough_rows(rough, nothing):
+@pytest.mark.parametrize("least", [None, 100])
+def test_lines_on_rough_rows(rough, nothing, least):
     rows = [r for r in ROUGH if r[0] != 15]  # two texts of one id are ordered by their hash
-    expected = brute_lines(rows)
-    got = lines.dedup_lines(rough.where("doc_id is null or doc_id <> 15"))
-    assert [c for c in got.columns if c not in ("n_lines", "n_deleted")] == [c for c in rough.columns if c != "n_lines"]
-    assert sorted((str(r.doc_id), r.n_lines, r.n_deleted, r.text or "") for r in got.collect()) == sorted((str(d), *expected.get((d, t), (0, 0, ""))) for d, t in rows)
-    assert lines.line_report(nothing).collect() == []
+    expected = brute_lines(rows, least)
+    clash = rough.withColumn("doc", F.lit(77)).withColumn("gone", F.col("text")).withColumn("row", F.lit("r"))
+    got = lines.dedup_lines(clash.where("doc_id is null or doc_id <> 15"), least)
+    assert [c for c in got.columns if c not in ("n_lines", "n_deleted")] == [c for c in clash.columns if c != "n_lines"]
+    found = got.collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_deleted, r.text or "") for r in found) == sorted((str(d), *expected.get((d, t), (0, 0, ""))) for d, t in rows)
+    assert {r.doc for r in found} == {77} and {r.row for r in found} == {"r"} and {r.print for r in found} == {3}
+    assert lines.line_report(nothing, least).collect() == []
 
 
 def test_lines_of_long_runs(spark):
     text = "\n".join(f"short {i}" for i in range(70))
     rows = [(1, text), (2, "own\n" + text), (3, "\n".join(text.split("\n")[5:40]) + "\nown"), (4, "short 1\nshort 2"), (5, text + "\n" + text)]
-    expected = brute_lines(rows)
-    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in lines.dedup_lines(frame(spark, rows, False)).collect()}
+    expected = brute_lines(rows, 100)
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in lines.dedup_lines(frame(spark, rows, False), 100).collect()}
     assert got == {d: expected[d, t] for d, t in rows}
     assert got[2][2] == "own" and got[4][1] == 0 and got[5][2] == ""
 
 
+def test_runs_at_every_depth(spark):
+    """Least runs of 1 to 40 lines: doubling goes as deep as the longest of them, and no deeper run is lost."""
+    draw = np.random.default_rng(8)
+    source = ["" if draw.random() < 0.9 else f"l{draw.integers(6)}" for _ in range(400)]
+    rows = [(i, "\n".join(source[(a := int(draw.integers(300))) : a + int(draw.integers(5, 100))])) for i in range(25)]
+    for least in (None, 7, 30):
+        expected = brute_lines(rows, least)
+        got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in lines.dedup_lines(frame(spark, rows, False), least).collect()}
+        assert got == {d: expected[d, t] for d, t in rows}, least
+
+
 def test_every_run_of_lines(spark):
     """Short lines that recur alone go, blank lines only beside them, and the first copy stays."""
     rows = [(1, "(c) short\nown 1"), (2, "own 2\n(c) short"), (3, "\n\nown 3\n"), (4, "own 4\n \t\n(c) short\n(c) short"), (5, "x\n\ny"), (6, "x\n\nz"), (7, None)]
-    got = {r.doc_id: (r.n_deleted, r.text) for r in lines.dedup_lines(frame(spark, rows, False), every_run=True).collect()}
+    got = {r.doc_id: (r.n_deleted, r.text) for r in lines.dedup_lines(frame(spark, rows, False)).collect()}
     assert got == {1: (0, rows[0][1]), 2: (1, "own 2"), 3: (0, rows[2][1]), 4: (2, "own 4\n \t"), 5: (0, rows[4][1]), 6: (2, "z"), 7: (0, None)}
 
 
+def test_ranks_are_a_suffix_array(spark):
+    """Ranks to depth 2 and 4 order the suffixes by their lines' ranks, and equal ranks are equal runs."""
+    texts = {1: "abcabcabd", 2: "bcabcab", 3: "zabc"}
+    rows = spark.createDataFrame([(d, 0, i, ord(c), ord(c), 1) for d, t in texts.items() for i, c in enumerate(t)], "doc long, print long, place int, id_a long, id_b long, size int")
+    ranks, depth = lines.line_ranks(rows), 1
+    while depth <= 4:
+        found = {(r.doc, r.place): r["rank"] for r in ranks.collect()}
+        run = {at: texts[at[0]][at[1] : at[1] + depth] for at in found}
+        everywhere = [t[i : i + depth] for t in texts.values() for i in range(len(t) - depth + 1)]
+        assert sorted(run.values()) == sorted(x for x in everywhere if everywhere.count(x) > 1)
+        assert sorted(found, key=lambda at: (found[at], at)) == sorted(found, key=lambda at: (run[at], at))
+        ranks, depth = lines.doubled(ranks, depth), 2 * depth
+
+
+def test_line_ids_have_two_independent_halves(spark):
+    """Lines that agree in one 64-bit half of their ID only aren't the same line."""
+    rows = spark.createDataFrame([(1, 0, 0, 5, 6, 1), (2, 0, 0, 5, 7, 1), (3, 0, 0, 4, 6, 1), (4, 0, 0, 5, 6, 1)], "doc long, print long, place int, id_a long, id_b long, size int")
+    assert sorted(r.doc for r in lines.line_ranks(rows).collect()) == [1, 4]
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_its_sql(name, same):
     same(registry.queries()[name], registry.oracle_sql()[name])
