@@ -14,8 +14,9 @@ The global order of n-grams is the order of their 64-bit fingerprints, cut into
    with i and j rarer n-grams before the first shared one, the overlap is at most min(n_a - i, n_b - j).
    So a group of copies never becomes all its pairs: the copies of a leader are one component, and those
    too far from it have too many n-grams of their own.
-4. Verification counts partial overlaps for each fragment of the order separately and sums them per
-   pair.  ``100 * overlap >= 80 * union`` is a link.
+4. Verification is vertical: for each pair and fragment of the order a row carries only that fragment's
+   n-grams; its partial overlap is counted apart from the others, and the counts are summed per pair.
+   ``100 * overlap >= 80 * union`` is a link.
 
 Step 1 compares the place in the fragment and 40 bits (an accident only keeps a document longer), the
 others all 64.
@@ -28,7 +29,6 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -266,15 +266,20 @@ def _arrows(work):
 
 
 def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that are links: overlaps counted by fragment and summed per pair.
+    """The pairs (a, b, n_a, n_b) that are links.
 
-    Both sides read one exchange of the n-grams by node; a leader with very many pairs can be split.
+    Vertical partitions: a row for each pair and fragment holds b's n-grams of that fragment alone and goes
+    to where a's n-grams of the same fragment are; each fragment's partial overlap is counted there, and the
+    partial overlaps of a pair are summed.  A node's n-grams travel once for each pair whose ``b`` it is, and
+    once as an ``a`` however many pairs it leads; a leader with very many pairs can be split.
     """
-    left, right = held.select(F.col("node").alias("a"), F.col("grams").alias("left")), held.select(F.col("node").alias("b"), F.col("grams").alias("right"))
-    by_fragment = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
-    summed = F.aggregate(by_fragment, F.lit(0), lambda total, n: total + n)
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", summed.alias("both"))
-    return both.where(F.lit(100) * F.col("both") >= F.lit(PERCENT) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    slices = held.select("node", F.posexplode("grams").alias("fragment", "some"))
+    leaders = slices.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    left = leaders.select(F.col("node").alias("a"), "fragment", F.col("some").alias("left"))
+    right = pairs.join(slices.select(F.col("node").alias("b"), "fragment", F.col("some").alias("right")), "b")
+    partial = right.join(left, ["a", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("left", "right")).alias("both"))
+    summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
+    return summed.where(F.lit(100) * F.col("both") >= F.lit(PERCENT) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def _near_sizes(a: str, b: str):
@@ -290,12 +295,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     n = fan_out(docs)
     parts = deal(docs, n)
     shared = parts.groupBy("part").applyInArrow(_arrow(_ask_shared(n)), ASK).repartition(n, "bucket").mapInArrow(_count_shared, ANSWER)
-    rows = cut(parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_arrows(_nodes), NODES), "jaccard-nodes", free=True)
+    rows = cut(parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_arrows(_nodes), NODES), "jaccard-nodes")
     info, held = rows.drop("grams"), rows.where("grams is not null")
 
     dealt = held.select("part", "node", "n", "grams").repartition(n, "part")
     counted = dealt.groupBy("part").applyInArrow(_arrow(_ask_frequency(n)), ASK).repartition(n, "bucket").mapInArrow(_count_frequency, ANSWER)
-    prefix = cut(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_arrows(_prefixes), PREFIX), "jaccard-prefixes", free=True)
+    prefix = cut(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_arrows(_prefixes), PREFIX), "jaccard-prefixes")
 
     # each node with the leader that it meets in most of its lists
     # (sums are tables of their own before they are joined: then a hot key of the other side can be split)
@@ -303,7 +308,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     met = prefix.join(lead, "gram").where("lead.a <> node").groupBy(F.col("node").alias("b"), F.col("n").alias("n_b"), "lead.a", "lead.n_a").agg(F.count("*").alias("times"))
     met = met.where(_near_sizes("n_a", "n_b"))
     star = met.groupBy("b", "n_b").agg(F.max_by(F.struct("a", "n_a"), F.struct("times", -F.col("a"))).alias("lead")).select("lead.a", "b", "lead.n_a", "n_b")
-    found = cut(_links(star, held), "jaccard-star", free=True)
+    found = cut(_links(star, held), "jaccard-star")
     release(lead)
     roots = components(found, "jaccard-first")
 
@@ -341,11 +346,13 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each component: the one with the least id."""
-    stays = jaccard_components(docs).where("stays").select(F.col("doc_id").cast("long").alias("__doc"), F.col("print").alias("__print"))
-    keyed = docs.withColumn("__print", F.xxhash64(F.col("text").cast("string")))
-    same = keyed["doc_id"].cast("long").eqNullSafe(stays["__doc"]) & (keyed["__print"] == stays["__print"])
-    held = keyed.join(stays.hint("shuffle_hash"), same, "left_semi")
-    return held.dropDuplicates(["doc_id", "__print"]).select(*docs.columns)
+    stays = jaccard_components(docs).where("stays").select("doc_id", "print")
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.struct(*docs.columns).alias("row"))
+    # an id that is null stays null in the join; rows equal in id and text are one
+    same = keyed["doc_id"].eqNullSafe(stays["doc_id"]) & (keyed["print"] == stays["print"])
+    held = keyed.join(stays, same, "left_semi").dropDuplicates(["doc_id", "print"])
+    return held.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 #: The same by definition: all pairs that share a shingle, then reachability.

@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = fan_out(docs)
     parts = deal(docs, n)
     by_segment = parts.groupBy("part").applyInArrow(_to_buckets(n), ASK).repartition(n, "bucket").mapInArrow(_match(False), ANSWER)
-    by_segment = cut(by_segment, "repeats-segments", free=True)  # its asks need not stay beside the next ones
+    by_segment = cut(by_segment, "repeats-segments")  # its asks need not stay beside the next ones
     by_window = _with_answers(parts, by_segment, _ask_windows(n), ASK).repartition(n, "bucket").mapInArrow(_match(True), ANSWER)
     return _with_answers(parts, by_window, _finish, RESULT)
 

@@ -107,6 +107,27 @@ def test_jaccard_on_rough_rows(rough, nothing):
     assert jaccard.jaccard_report(nothing).collect() == []
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_cancel_in_a_polynomial_stay_apart(spark):
+    """Complementary Thue-Morse words are alike to any polynomial modulo 2**64; they are different words."""
+    one, other = thue_morse(1 << 11, "ab"), thue_morse(1 << 11, "ba")
+    rows = [(1, one + " x y z w"), (2, other + " x y z w"), (3, one + " x y z w")]
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_report(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+    items = spark.createDataFrame([(9, other + " x y z w")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.matches(frame(spark, rows), items).collect()] == [2]
+    check_repeats(frame(spark, [(1, one), (2, other)]), [(1, one), (2, other)])
+
+
+def test_a_leader_with_very_many_pairs(spark):
+    """A third of all documents are copies with an edit each: one component, without pairs among the copies."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: i % 110], f"edit{i}", *base[i % 110 + 1 :]])) for i in range(300)] + [(1000 + i, f"other {i} " + " ".join(f"o{i}x{j}" for j in range(30))) for i in range(600)]
+    check_jaccard(frame(spark, rows, False), rows)
+
+
 def test_jaccard_on_a_chain_of_edits(spark):
     """Neighbours in the chain are links, its ends aren't; a star about any one node misses some."""
     text, rows = [f"w{i}" for i in range(300)], []
@@ -126,9 +147,12 @@ def test_jaccard_at_the_very_limit(spark):
 
 
 def test_one_of_each_group_stays(rough):
-    kept = jaccard.keep_one(rough)
-    assert kept.columns == rough.columns
-    found = [(r.doc_id, r.text) for r in kept.collect()]
+    clash = rough.withColumn("__print", F.col("doc_id")).withColumn("row", F.lit("r")).withColumn("stays", F.lit(False))
+    kept = jaccard.keep_one(clash)
+    assert kept.columns == clash.columns
+    kept = kept.collect()
+    found = [(r.doc_id, r.text) for r in kept]
+    assert all(r["__print"] == r.doc_id and r.row == "r" for r in kept)
     assert sum(t in (BASE, BASE.replace("base7 ", "edit ")) for _, t in found) == 1 and (9, BASE) in found
     assert {t for d, t in found if d == 15} == {"same id, first text", "same id, second text"}
     assert {(1, None), (2, ""), (None, None), (4, "one two three")} <= set(found) and (5, "One TWO three") not in found
