@@ -2,53 +2,79 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Deletes the shuffle files of a query when it has ended.
+_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def work_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where one machine does all."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sedimark-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; it goes when the driver ends, if not before."""
+    path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    files, where = _place(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession):
+    before = spark.conf.get(_CLEANS, None)
+    spark.conf.set(_CLEANS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANS) if before is None else spark.conf.set(_CLEANS, before)
 
 
-def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its lineage ends there.
 
-    The shuffle files behind it are then garbage; Spark deletes them once the driver collects its own.
-    The plan that was just run goes with the second collection: ``free`` makes it come at once, for
-    tables with large shuffles behind them.
+    Nothing reads the shuffles behind it again, so Spark deletes them as soon as the table is written.  A
+    table that can't be written is deleted at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    spark._jvm.System.gc()
-    if free:
-        time.sleep(0.2)
-        spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
+    try:
+        with _shuffles_cleaned(spark):
+            df.write.mode("overwrite").parquet(path)
+    except BaseException:
+        files, where = _place(spark, path)
+        files.delete(where, True)
+        raise
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
 
 
 def release(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing will read again."""
     for table in tables:
         if path := getattr(table, "_scratch", None):
-            spark = table.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            files, where = _place(table.sparkSession, path)
+            files.delete(where, True)
             del table._scratch
