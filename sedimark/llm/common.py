@@ -13,7 +13,7 @@ from sedimark.storage import cut, release, scratch_path
 
 __all__ = ["cut", "doc_rows", "fan_out", "filesystem", "mix64", "release", "scratch_path", "slices", "table", "text_bytes"]
 
-#: Uncompressed text that one task should hold.
+#: Uncompressed text that one task should hold, unless the session's spark.sedimark.partBytes says more or less.
 PART_BYTES = 8 << 20
 
 
@@ -32,12 +32,13 @@ def filesystem(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def fan_out(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
+def fan_out(df: DataFrame, part_bytes: int | None = None) -> int:
     """Partitions for a shuffle of ``df``: the session's number, more if parts would be too large.
 
     The size is the planner's estimate from file sizes, doubled for compression, so no job runs.
     """
     spark = df.sparkSession
+    part_bytes = part_bytes or int(spark.conf.get("spark.sedimark.partBytes", str(PART_BYTES)))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = 0 if size > 1 << 60 else math.ceil(2 * size / part_bytes)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), known, 1)

@@ -1,4 +1,8 @@
-"""Connected components by distributed label propagation with pointer jumping."""
+"""Connected components by distributed label propagation with pointer jumping.
+
+Edge cases: repeated links and links of a node with itself change nothing; a link with a null end is left out;
+an empty table has no nodes; columns other than a and b are ignored.
+"""
 
 from __future__ import annotations
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sedimark.llm.common import cut, fan_out, release, slices, text_bytes
 from sedimark.llm.graph import components
-from sedimark.llm.parts import ANSWER, ASK, answer_batches, ask_table, deal, in_order, pack, unpack
+from sedimark.llm.parts import answer_batches, ask_table, asked, deal, each_part, in_order, pack, unpack, with_answers
 from sedimark.llm.shingles import shingle_sets
 
 SIZE = 5
@@ -224,14 +224,14 @@ def _ask_frequency(n: int):
 
 def _count_frequency(batches):
     """In a fragment: the document frequency of each n-gram asked for, in the order of the ask."""
-    asked = [(p, k, unpack(x.as_buffer(), {"gram": "u8", "times": "u4"})) for batch in batches for p, k, x in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("payload"))]
-    if not asked:
+    found = [(p, k, unpack(x.as_buffer(), {"gram": "u8", "times": "u4"})) for batch in batches for p, k, x in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("payload"))]
+    if not found:
         return
-    grams = np.concatenate([x["gram"] for _, _, x in asked])
+    grams = np.concatenate([x["gram"] for _, _, x in found])
     names, back = np.unique(grams, return_inverse=True)
-    total = np.bincount(back, np.concatenate([x["times"] for _, _, x in asked]), len(names)).astype("u4")
-    at = np.cumsum([0, *(len(x["gram"]) for _, _, x in asked)])
-    yield from answer_batches([(p, k, total[back[a:b]].tobytes()) for (p, k, _), a, b in zip(asked, at, at[1:])])
+    total = np.bincount(back, np.concatenate([x["times"] for _, _, x in found]), len(names)).astype("u4")
+    at = np.cumsum([0, *(len(x["gram"]) for _, _, x in found)])
+    yield from answer_batches([(p, k, total[back[a:b]].tobytes()) for (p, k, _), a, b in zip(found, at, at[1:])])
 
 
 def _prefixes(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -251,20 +251,6 @@ def _prefixes(rows: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([pa.array(grams[wanted].view(np.int64)), pa.array(node[wanted]), pa.array(n[wanted]), pa.array(place[wanted])], schema=schema)
 
 
-def _arrow(work):
-    def apply(group: pa.Table) -> pa.Table:
-        return work(group)
-
-    return apply
-
-
-def _arrows(work):
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left, right)
-
-    return apply
-
-
 def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that are links.
 
@@ -294,13 +280,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     n = fan_out(docs)
     parts = deal(docs, n)
-    shared = parts.groupBy("part").applyInArrow(_arrow(_ask_shared(n)), ASK).repartition(n, "bucket").mapInArrow(_count_shared, ANSWER)
-    rows = cut(parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_arrows(_nodes), NODES), "jaccard-nodes")
+    shared = asked(each_part(parts, _ask_shared(n)), n, _count_shared)
+    rows = cut(with_answers(parts, shared, _nodes, NODES), "jaccard-nodes")
     info, held = rows.drop("grams"), rows.where("grams is not null")
 
-    dealt = held.select("part", "node", "n", "grams").repartition(n, "part")
-    counted = dealt.groupBy("part").applyInArrow(_arrow(_ask_frequency(n)), ASK).repartition(n, "bucket").mapInArrow(_count_frequency, ANSWER)
-    prefix = cut(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_arrows(_prefixes), PREFIX), "jaccard-prefixes")
+    dealt = held.select("part", "node", "n", "grams").repartitionById(n, F.col("part"))
+    counted = asked(each_part(dealt, _ask_frequency(n)), n, _count_frequency)
+    prefix = cut(with_answers(dealt, counted, _prefixes, PREFIX), "jaccard-prefixes")
 
     # each node with the leader that it meets in most of its lists
     # (sums are tables of their own before they are joined: then a hot key of the other side can be split)

@@ -1,8 +1,12 @@
 """Ask and answer between parts of a table and buckets of keys.
 
-Documents are dealt into parts by a hash of ``doc_id``; inside a part they are sorted, so a row number
-names the same document in every pass.  A pass sends asks, packed numpy arrays, to buckets by key; a
-bucket answers to parts.  One exchange deals the documents, and every pass reads that same exchange.
+Documents are dealt into parts by a hash of ``doc_id`` and text; inside a part they are sorted, so a row
+number names the same document in every pass.  A pass sends asks, packed numpy arrays, to buckets by key;
+a bucket answers to parts.  Part and bucket numbers are the partitions themselves: a task has one of them.
+
+Edge cases: null ids sort before all others and are spread by their texts; rows that repeat an id are
+spread too, and ordered by that hash in all parts together, since parts are ranges of it; rows equal in both
+are in one part; an empty table makes empty parts; columns other than id and text don't travel.
 """
 
 from __future__ import annotations
@@ -26,18 +30,39 @@ NO_ID = np.iinfo(np.int64).min
 
 
 def deal(docs: DataFrame, n: int) -> DataFrame:
-    """(part, doc_id, print, text) in ``n`` parts; rows without an id are dealt by their text.
+    """(part, doc_id, turn, print, text) in ``n`` parts, which are ranges of ``turn``, a hash of the row.
 
-    ``print`` is a hash of the text, to find a row again where ids repeat.
+    ``print`` is a hash of the text alone, to find a row again where ids repeat.
     """
-    rows = doc_rows(docs)
-    key = F.coalesce(F.col("doc_id"), F.xxhash64(F.lit(7), "text"))
-    return rows.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("part"), "doc_id", F.xxhash64("text").alias("print"), "text").repartition(n, "part")
+    rows = doc_rows(docs).withColumns({"turn": F.xxhash64(F.lit(7), "doc_id", "text"), "print": F.xxhash64("text")})
+    part = F.shiftright((F.shiftright("turn", 32) + F.lit(1 << 31)) * F.lit(n), 32).cast("int")
+    return rows.select(part.alias("part"), "doc_id", "turn", "print", "text").repartitionById(n, F.col("part"))
+
+
+def asked(parts: DataFrame, n: int, work) -> DataFrame:
+    """The answers (part, kind, payload) of ``work``, a map over the batches of a bucket, by part."""
+    return parts.repartitionById(n, F.col("bucket")).mapInArrow(work, ANSWER).repartitionById(n, F.col("part"))
+
+
+def with_answers(parts: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
+    """``work(rows of a part, answers to it)`` for every part."""
+
+    def apply(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        return work(rows, answered)
+
+    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(apply, schema)
+
+
+def each_part(parts: DataFrame, work, schema: str = ASK) -> DataFrame:
+    def apply(rows: pa.Table) -> pa.Table:
+        return work(rows)
+
+    return parts.groupBy("part").applyInArrow(apply, schema)
 
 
 def in_order(part: pa.Table) -> pa.Table:
-    """The rows of a part by (doc_id, text), nulls first: the same in every pass."""
-    return part.take(pc.sort_indices(part, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")) if part.num_rows else part
+    """The rows of a part by (doc_id, turn), nulls first: the same in every pass."""
+    return part.take(pc.sort_indices(part, [("doc_id", "ascending"), ("turn", "ascending")], null_placement="at_start")) if part.num_rows else part
 
 
 def ids_of(part: pa.Table) -> np.ndarray:

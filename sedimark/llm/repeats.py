@@ -19,7 +19,7 @@ anchor string that it holds with several segments: a passage in a third of all d
 one entry a part in any bucket.  Fingerprints have 96 bits between parts.
 
 Edge cases: null or short texts lose nothing; null ``doc_id`` counts as smaller than all others; rows
-that repeat a ``doc_id`` are ordered by text; an empty table gives no rows; other columns are ignored.
+that repeat a ``doc_id`` are ordered by a hash of id and text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm.common import cut, fan_out, mix64, slices, text_bytes
+from sedimark.llm.parts import ASK, answer_batches, ask_rows, ask_table, asked, deal, each_part, ids_of, in_order, joined, pack, payloads, runs_of, split_by, take, unpack, with_answers
 from sedimark.llm.prints import span_names, window_names
-from sedimark.llm.parts import ANSWER, ASK, answer_batches, ask_rows, ask_table, deal, ids_of, in_order, joined, pack, payloads, runs_of, split_by, take, unpack
 
 LENGTH = 100
 K = 32
@@ -80,12 +80,12 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"key": key, "check": strings[anchor], "row": row, "start": first - offsets[row], "more": last - first}
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray, asked: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def windows(raw: np.ndarray, offsets: np.ndarray, wanted: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The single windows of the asked segments (row, start, more) of a slice."""
-    sizes = asked["more"].astype(np.int64) + 1
+    sizes = wanted["more"].astype(np.int64) + 1
     ends = np.cumsum(sizes)
-    row = np.repeat(asked["row"].astype(np.int64), sizes)
-    start = np.repeat(asked["start"].astype(np.int64) - (ends - sizes), sizes) + np.arange(int(ends[-1]))
+    row = np.repeat(wanted["row"].astype(np.int64), sizes)
+    start = np.repeat(wanted["start"].astype(np.int64) - (ends - sizes), sizes) + np.arange(int(ends[-1]))
     at = start + offsets[row]
     size = np.full(len(at), LENGTH)
     key, check = (span_names(window_names(raw, K, table), K, at, size) for table in (0, 1))
@@ -227,8 +227,8 @@ def _match(last: bool):
                 look = times[back] > 1
                 if marks:
                     look |= np.isin(kept["check"], np.concatenate(marks))
-                asked = take(kept, look)
-                rows += [(p, WINDOWS, pack(x, ASKED)) for p, x in split_by(asked, asked["part"])]
+                again = take(kept, look)
+                rows += [(p, WINDOWS, pack(x, ASKED)) for p, x in split_by(again, again["part"])]
             # a mark alone is a string that two parts or more hold with several segments: both ask already
         yield from answer_batches(rows)
 
@@ -240,13 +240,13 @@ def _ask_windows(n: int):
         if not docs.num_rows or not answers.num_rows:
             return ask_table([])
         part = docs.column("part")[0].as_py()
-        asked = payloads(answers, WINDOWS, ASKED)
-        asked = take(asked, np.lexsort((asked["start"], asked["row"])))
+        wanted = payloads(answers, WINDOWS, ASKED)
+        wanted = take(wanted, np.lexsort((wanted["start"], wanted["row"])))
         removed = payloads(answers, REMOVED, SPAN)
 
         def work(first, last, raw, offsets):
-            a, b = np.searchsorted(asked["row"], [first, last])
-            return windows(raw, offsets, {"row": asked["row"][a:b].astype(np.int64) - first, "start": asked["start"][a:b], "more": asked["more"][a:b]}) if b > a else None
+            a, b = np.searchsorted(wanted["row"], [first, last])
+            return windows(raw, offsets, {"row": wanted["row"][a:b].astype(np.int64) - first, "start": wanted["start"][a:b], "more": wanted["more"][a:b]}) if b > a else None
 
         found = _entries(in_order(docs), work)
         first, again = first_of_each(found)
@@ -275,21 +275,14 @@ def _finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "kept": pieces, "n_bytes": pa.array(np.diff(offsets)), "spans": pa.ListArray.from_arrays(per_row, both)})
 
 
-def _with_answers(parts: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
-    def apply(docs: pa.Table, answered: pa.Table) -> pa.Table:
-        return work(docs, answered)
-
-    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(apply, schema)
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: the bytes that stay, and the removed spans (byte offsets, maximal)."""
     n = fan_out(docs)
     parts = deal(docs, n)
-    by_segment = parts.groupBy("part").applyInArrow(_to_buckets(n), ASK).repartition(n, "bucket").mapInArrow(_match(False), ANSWER)
-    by_segment = cut(by_segment, "repeats-segments")  # its asks need not stay beside the next ones
-    by_window = _with_answers(parts, by_segment, _ask_windows(n), ASK).repartition(n, "bucket").mapInArrow(_match(True), ANSWER)
-    return _with_answers(parts, by_window, _finish, RESULT)
+    by_segment = cut(asked(each_part(parts, _to_buckets(n)), n, _match(False)), "repeats-segments")  # its asks need not stay beside the next ones
+    by_segment = by_segment.repartitionById(n, F.col("part"))
+    by_window = asked(with_answers(parts, by_segment, _ask_windows(n), ASK), n, _match(True))
+    return with_answers(parts, by_window, _finish, RESULT)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
