@@ -5,12 +5,13 @@ lower-cased, split at white space).  Window and item are multisets of five-word
 for shorter items); a shingle's weight is its number of occurrences.  A match has a weighted Jaccard
 similarity (sum of least weights over sum of greatest) of at least 0.8.
 
-Candidates come from 64-bit SimHashes: multi-index blocks of 8 bits.  Two fingerprints within RADIUS
-bits agree in some block up to RADIUS // 8 bits, so looking up all block values that near finds every
-fingerprint within the radius; each candidate is verified exactly.  Where all shingles of window and item
-are distinct, a similarity of 0.8 differs in about 10 bits of 64, spread 3; the radius of 26 is over five
-spreads away.  A repeated shingle can outvote the others, so where window or item has one, candidates come
-from the shingles themselves: a match lacks at most a ninth of the window's, so it has one of any more.
+Candidates come from 256-bit SimHashes in eight blocks of 32 bits: two fingerprints within RADIUS bits agree
+in some block up to RADIUS // 8 bits, so the items whose block is that near, in any block, are all that are
+within the radius.  Of unrelated fingerprints 3 % have such a block, and next to none is within the radius.
+Each candidate is verified exactly.  Where all shingles of window and item are distinct, a similarity of 0.8
+differs in about 39 bits of 256, spread 6; the radius of 71 is over five spreads away.  A repeated shingle can
+outvote the others, so where window or item has one, candidates come from the shingles themselves: a match
+lacks at most a ninth of the window's, so it has one of any more.
 
 Windows are fingerprinted only where they can match at all: a match needs 0.8 n of its shingles to be
 shingles of some item, which one pass over the text counts.  Nothing is shuffled; items come to the
@@ -35,15 +36,16 @@ from sedimark.llm.shingles import words
 
 SIZE = 5
 SIMILARITY = 0.8
-RADIUS = 26
+RADIUS = 71
 BLOCKS = 8
+#: Seeds of the 64-bit quarters of a fingerprint; the first is the shingle itself.
+_QUARTERS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Items that are broadcast at once; MAX_ITEM_BYTES each at most on average.
 ITEMS_AT_ONCE = 20_000
 ITEM_BYTES_AT_ONCE = 32 << 20
 SLICE = 1 << 19
 MATCHES = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 _MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
-_NEAR = np.array([[(a ^ b).bit_count() <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
 
 
 def grams(names: np.ndarray, size: int) -> np.ndarray:
@@ -56,9 +58,13 @@ def grams(names: np.ndarray, size: int) -> np.ndarray:
 
 
 def simhash(shingle_rows: np.ndarray) -> np.ndarray:
-    """SimHashes of rows of shingles; each occurrence votes, so weights are counts."""
-    votes = np.unpackbits(np.ascontiguousarray(shingle_rows, "<u8").view(np.uint8).reshape(*shingle_rows.shape, 8), axis=2)
-    return np.packbits(2 * votes.sum(axis=1, dtype=np.int32) > shingle_rows.shape[1], axis=1).view("<u8").ravel()
+    """SimHashes (rows x BLOCKS) of rows of shingles; each occurrence votes, so weights are counts."""
+    out = []
+    for seed in _QUARTERS:
+        own = mix64(shingle_rows ^ seed) if seed else shingle_rows
+        votes = np.unpackbits(np.ascontiguousarray(own, "<u8").view(np.uint8).reshape(*own.shape, 8), axis=2)
+        out.append(np.packbits(2 * votes.sum(axis=1, dtype=np.int32) > own.shape[1], axis=1))
+    return np.ascontiguousarray(np.concatenate(out, axis=1)).view("<u4")
 
 
 def _repeats(shingle_rows: np.ndarray) -> np.ndarray:
@@ -90,27 +96,23 @@ class Items:
         self.known: dict[int, np.ndarray] = {}
         for n, some in held.items():
             shingles = np.array([s for _, s in some])
-            prints = simhash(shingles)
-            parts = prints.view(np.uint8).reshape(-1, BLOCKS)
             self.by_size[n] = {
                 "ids": [i for i, _ in some],
                 "weights": [Counter(s.tolist()) for _, s in some],
-                "prints": prints,
+                "prints": simhash(shingles),
                 "by_shingle": _by_shingle(shingles, range(len(some))),
                 "by_shingle_repeated": _by_shingle(shingles, np.flatnonzero(_repeats(shingles)).tolist()),
-                # for each block and value, the items whose block is near that value
-                "posted": [[np.flatnonzero(_NEAR[v][parts[:, j]]) for v in range(256)] for j in range(BLOCKS)],
             }
         for size in range(1, SIZE + 1):
             of = [s for n, some in held.items() if min(n, SIZE) == size for _, s in some]
             if of:
                 self.known[size] = np.unique(np.concatenate(of))
 
-    def candidates(self, n: int, fingerprint: int) -> list[int]:
-        """Numbers of the items of n words within RADIUS of the fingerprint, by the block index."""
-        own = self.by_size[n]
-        found = np.unique(np.concatenate([own["posted"][j][(fingerprint >> 8 * j) & 255] for j in range(BLOCKS)]))
-        return [i for i in found.tolist() if (int(own["prints"][i]) ^ fingerprint).bit_count() <= RADIUS]
+    def candidates(self, n: int, fingerprint: np.ndarray) -> list[int]:
+        """Numbers of the items of n words within RADIUS of the fingerprint, of those near in some block."""
+        apart = np.bitwise_count(self.by_size[n]["prints"] ^ fingerprint)
+        near = np.flatnonzero(apart.min(axis=1) <= RADIUS // BLOCKS)
+        return near[apart[near].sum(axis=1, dtype=np.int64) <= RADIUS].tolist()
 
     def candidates_by_shingle(self, n: int, window: Counter, repeated: bool) -> set[int]:
         """Numbers of all items of n words that can match; only of those with a repeated shingle if the window has none."""
@@ -167,7 +169,7 @@ def _search(items: Items):
                         if not len(part):
                             continue
                         rows = own[part[:, None] + np.arange(m)]
-                        for start, row, fingerprint, repeated in zip(part.tolist(), rows, simhash(rows).tolist(), _repeats(rows).tolist()):
+                        for start, row, fingerprint, repeated in zip(part.tolist(), rows, simhash(rows), _repeats(rows).tolist()):
                             some = items.candidates(n, fingerprint)
                             if repeated or block["by_shingle_repeated"]:
                                 some = sorted(items.candidates_by_shingle(n, Counter(row.tolist()), repeated).union(some))

@@ -310,13 +310,26 @@ def test_decontamination_on_documents(spark, data, documents, rows_of):
     assert got == brute_matches(rows_of, [(r.item_id, r.text) for r in benchmark.collect()]) and got
 
 
-def test_blocks_reach_every_fingerprint_within_the_radius():
+def test_blocks_reach_every_fingerprint_within_the_radius_and_few_others():
     draw = np.random.default_rng(3)
-    items = decontaminate.Items([(i, " ".join(f"w{draw.integers(1000)}" for _ in range(12))) for i in range(80)])
-    prints = items.by_size[12]["prints"]
-    for i, own in enumerate(prints.tolist()):
-        flips = draw.choice(64, decontaminate.RADIUS, replace=False)
-        assert i in items.candidates(12, own ^ sum(1 << int(b) for b in flips))
+    items = decontaminate.Items([(i, " ".join(f"w{draw.integers(10**6)}" for _ in range(40))) for i in range(2000)])
+    prints = items.by_size[40]["prints"]
+    for i, own in enumerate(prints[:300]):
+        flips = np.zeros(256, np.uint8)
+        flips[draw.choice(256, decontaminate.RADIUS, replace=False)] = 1
+        assert i in items.candidates(40, own ^ np.packbits(flips).view("<u4"))
+    apart = np.bitwise_count(prints[:200, None] ^ prints[None])
+    assert (apart.min(axis=2) <= decontaminate.RADIUS // decontaminate.BLOCKS).mean() < 0.05
+    assert all(items.candidates(40, own) == [i] for i, own in enumerate(prints[:200]))
+
+
+def test_similar_windows_are_within_the_radius():
+    """Recall of the fingerprints at a similarity of just 0.8, by windows of many sizes: all of 4,000."""
+    draw = np.random.default_rng(6)
+    for n in (9, 18, 45, 90):  # shared 8 in 9: similarity 8 / 10
+        shared, one, other = (draw.integers(0, 1 << 63, (1000, k), dtype=np.uint64) for k in (n * 8 // 9, n // 9, n // 9))
+        a, b = (decontaminate.simhash(np.concatenate([shared, x], axis=1)) for x in (one, other))
+        assert np.bitwise_count(a ^ b).sum(axis=1).max() <= decontaminate.RADIUS
 
 
 def test_a_document_of_very_many_lines(spark):
