@@ -2,12 +2,15 @@
 
 A document's payload is its UTF-8 bytes, filled with spaces (32) to a positive multiple of 192.  It is
 kept losslessly as an 8-bit greyscale PNG, 192 samples a row; equal texts give equal PNGs.  PNGs are
-members of ZIP archives.  ``ArchiveSource`` plans byte ranges of whole members from each archive's
-directory and streams the members of a range through Arrow; a member that doesn't pass its CRC, or whose
-read fails, is read again by its own offset, without its neighbours.
+members of ZIP archives.  ``ArchiveSource`` plans byte ranges of whole members from the directory of every
+archive, whatever its size, and compares the number of members with the manifest's.  A range's task takes
+the offsets, sizes and CRCs of its members from the directory and streams them through Arrow; a member that
+doesn't pass its CRC, or whose read fails, is read again by its own offset, without its neighbours.  A local
+header is only used to find where the data begins, and if it is damaged, the directory's names do.
 
 Edge cases: null text is empty (one row of 192 spaces); null ``doc_id`` and repeated rows are kept, one
-member each; an empty table writes no archive and gives no rows; other columns are ignored.
+member each; an empty table writes no archive and gives no rows; other columns are ignored.  A member whose
+data stays damaged after all attempts, or an archive that lacks members, fails the read: no row is left out.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import time
 import uuid
 import zipfile
 import zlib
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +36,17 @@ from sedimark.llm.common import cut, doc_rows, filesystem, scratch_path
 ROW = 192
 #: Payload bytes of one archive, about.
 ARCHIVE_BYTES = 32 << 20
+#: Members of one archive at most, so that its directory has the plain form.
+MOST_MEMBERS = 60_000
 #: Stored bytes of one read partition, about.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 4 << 20
+#: Directories that are read at once while ranges are planned.
+PLANNERS = 16
 ATTEMPTS = 3
 _PNG = b"\x89PNG\r\n\x1a\n"
-_DIRECTORY = b"PK\1\2"
 _LOCAL = struct.Struct("<4sHHHHHIIIHH")
+_ENTRY = struct.Struct("<4sHHHHHHIIIHHHHHII")
+_END = struct.Struct("<4sHHHHIIH")
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 MEMBERS = "name string, offset long, media binary"
 
@@ -115,7 +125,7 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
                 raw = text.as_buffer() if text.is_valid else b""
                 members.append((str(doc_id), to_png(bytes(raw))))
                 size += len(raw)
-                if size >= ARCHIVE_BYTES:
+                if size >= ARCHIVE_BYTES or len(members) >= MOST_MEMBERS:
                     yield flush()
                     members, size = [], 0
         if members:
@@ -125,83 +135,128 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
 
 
 class ByteRange(InputPartition):
-    """Whole members of one archive: bytes ``first`` to ``last`` of the file."""
+    """Whole members of one archive: those whose local headers are from ``first`` up to ``last``."""
 
     def __init__(self, path: str, first: int, last: int):
         self.path, self.first, self.last = path, first, last
 
 
+@dataclass(frozen=True)
+class Member:
+    """A directory entry of a stored member."""
+
+    name: str
+    offset: int
+    size: int
+    crc: int
+
+
 def _retried(work, attempts: int = ATTEMPTS):
     for attempt in range(attempts):
         try:
             return work()
-        except (OSError, ValueError):
+        except (OSError, ValueError, struct.error):
             if attempt + 1 == attempts:
                 raise
             time.sleep(0.1 * 2**attempt)
 
 
-def member_at(opened, offset: int) -> tuple[str, bytes, int]:
-    """(name, bytes, next offset) of the stored member whose local header is at ``offset``."""
-    opened.seek(offset)
-    head = opened.read(_LOCAL.size)
-    magic, _, _, method, _, _, crc, size, full, n, extra = _LOCAL.unpack(head)
-    if magic != b"PK\3\4" or method != 0 or size != full:
-        raise ValueError(f"no stored member at {offset}")
-    name = opened.read(n + extra)[:n].decode()
-    media = opened.read(size)
-    if zlib.crc32(media) != crc:
-        raise ValueError(f"member {name} is damaged")
-    return name, media, offset + _LOCAL.size + n + extra + size
+def directory(opened) -> tuple[list[Member], int]:
+    """(members in the order of their offsets, where the directory begins) of an archive written here."""
+    size = opened.size()
+    end = opened.read_at(_END.size, size - _END.size)
+    magic, _, _, _, count, n_bytes, start, _ = _END.unpack(end)
+    if magic != b"PK\5\6" or start + n_bytes + _END.size != size:
+        raise ValueError("no archive directory")
+    raw, at, out = opened.read_at(n_bytes, start), 0, []
+    while at < n_bytes:
+        magic, _, _, _, method, _, _, crc, stored, full, n, extra, comment, _, _, _, offset = _ENTRY.unpack_from(raw, at)
+        if magic != b"PK\1\2" or method != 0 or stored != full:
+            raise ValueError("no stored member")
+        out.append(Member(raw[at + _ENTRY.size : at + _ENTRY.size + n].decode(), offset, stored, crc))
+        at += _ENTRY.size + n + extra + comment
+    if len(out) != count:
+        raise ValueError("the directory is cut short")
+    return sorted(out, key=lambda m: m.offset), start
+
+
+def member_at(read_at, member: Member) -> bytes:
+    """The bytes of a member; ``read_at(size, offset)`` reads the archive or a block of it."""
+    head = read_at(_LOCAL.size, member.offset)
+    skip = len(member.name.encode())
+    if head[:4] == b"PK\3\4":
+        *_, n, extra = _LOCAL.unpack(head)
+        skip = n + extra
+    media = read_at(member.size, member.offset + _LOCAL.size + skip)
+    if zlib.crc32(media) != member.crc:
+        media = read_at(member.size, member.offset + _LOCAL.size + len(member.name.encode()))
+        if zlib.crc32(media) != member.crc:
+            raise ValueError(f"member {member.name} is damaged")
+    return media
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, paths: list[tuple[str, int]], range_bytes: int):
-        self.paths, self.range_bytes = paths, range_bytes
+    def __init__(self, archives: str, range_bytes: int):
+        self.archives, self.range_bytes = archives, range_bytes
 
-    def partitions(self):
-        """Byte ranges; the directory of an archive is read only where it needs more than one."""
-        out = []
-        for path, size in self.paths:
-            if size <= self.range_bytes:
-                out.append(ByteRange(path, 0, size))
-                continue
+    def _ranges(self, listed: tuple[str, int]) -> list[ByteRange]:
+        path, count = listed
+
+        def read():
             files, at = filesystem(path)
-            with files.open_input_file(at) as f, zipfile.ZipFile(f) as z:
-                starts = sorted(m.header_offset for m in z.infolist())
-                end = z.start_dir
-            first = starts[0] if starts else end
-            for start in [*starts[1:], end]:
-                if start - first >= self.range_bytes or start == end and start > first:
-                    out.append(ByteRange(path, first, start))
-                    first = start
+            with files.open_input_file(at) as f:
+                return directory(f)
+
+        members, end = _retried(read)
+        if len(members) != count:
+            raise ValueError(f"{path} has {len(members)} members, its manifest {count}")
+        out, first = [], 0
+        for start in [*(m.offset for m in members[1:]), end]:
+            if start - first >= self.range_bytes or start == end and start > first:
+                out.append(ByteRange(path, first, start))
+                first = start
+        return out
+
+    def partitions(self):
+        """Byte ranges from the directory of each archive in the list."""
+        files, at = filesystem(self.archives)
+        with files.open_input_stream(at) as f:
+            listed = [tuple(json.loads(line)) for line in f.read().splitlines()]
+        with ThreadPoolExecutor(PLANNERS) as pool:
+            out = [r for some in pool.map(self._ranges, listed) for r in some]
         return out or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange):
         if not partition.path:
             return
         files, at = filesystem(partition.path)
-        rows, size, offset = [], 0, partition.first
-        with files.open_input_file(at) as whole:
-            block = _retried(lambda: io.BytesIO(whole.read_at(partition.last - partition.first, partition.first)))
-            while offset < partition.last:
-                if block.getbuffer()[offset - partition.first :][:4] == _DIRECTORY:
-                    break
-                try:
-                    name, media, after = member_at(block, offset - partition.first)
-                    after += partition.first
-                except (OSError, ValueError, struct.error):
-                    def again(offset=offset):
-                        with files.open_input_file(at) as f:
-                            return member_at(f, offset)
-
-                    name, media, after = _retried(again)
-                rows.append((name, offset, media))
-                size += len(media)
-                offset = after
-                if size >= 4 << 20:
-                    yield self._batch(rows)
-                    rows, size = [], 0
+        rows, size = [], 0
+
+        def block():
+            with files.open_input_file(at) as f:
+                return directory(f)[0], f.read_at(partition.last - partition.first, partition.first)
+
+        members, held = _retried(block)
+
+        def from_block(n: int, offset: int) -> bytes:
+            return held[offset - partition.first : offset - partition.first + n]
+
+        def alone(member: Member) -> bytes:
+            with files.open_input_file(at) as f:
+                return member_at(lambda n, offset: f.read_at(n, offset), member)
+
+        for member in members:
+            if not partition.first <= member.offset < partition.last:
+                continue
+            try:
+                media = member_at(from_block, member)
+            except (OSError, ValueError, struct.error):
+                media = _retried(lambda: alone(member))  # noqa: B023
+            rows.append((member.name, member.offset, media))
+            size += len(media)
+            if size >= 4 << 20:
+                yield self._batch(rows)
+                rows, size = [], 0
         if rows:
             yield self._batch(rows)
 
@@ -212,9 +267,9 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("media_archive")``: members of the archives in option ``archives``.
+    """``spark.read.format("media_archive")``: members of the archives that the file in option ``archives`` lists.
 
-    ``archives`` is a JSON list of [path, bytes]; ``range_bytes`` is the size of a partition.
+    The list has a JSON line [path, members] for each archive; ``range_bytes`` is the size of a partition.
     """
 
     @classmethod
@@ -225,14 +280,19 @@ class ArchiveSource(DataSource):
         return MEMBERS
 
     def reader(self, schema):
-        return ArchiveReader([tuple(x) for x in json.loads(self.options["archives"])], int(self.options.get("range_bytes", RANGE_BYTES)))
+        return ArchiveReader(self.options["archives"], int(self.options.get("range_bytes", RANGE_BYTES)))
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The members of the manifest's archives; the driver sees one row for each archive (32 MB)."""
+    """The members of the manifest's archives; the driver streams one line for each archive (32 MB) to a list."""
     spark.dataSource.register(ArchiveSource)
-    listed = [[r.path, r.bytes] for r in manifest.select("path", "bytes").collect()]
-    return spark.read.format("media_archive").option("archives", json.dumps(listed)).option("range_bytes", range_bytes).load()
+    listed = f"{scratch_path(spark, 'media-list')}/archives.jsonl"
+    files, at = filesystem(listed)
+    files.create_dir(at.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(at) as out:
+        for r in manifest.select("path", "members").toLocalIterator():
+            out.write(json.dumps([r.path, r.members]).encode() + b"\n")
+    return spark.read.format("media_archive").option("archives", listed).option("range_bytes", range_bytes).load()
 
 
 def describe(members: DataFrame) -> DataFrame:

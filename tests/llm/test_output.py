@@ -1,7 +1,7 @@
 """Token files, media archives, SentencePiece: exact round trips."""
 
 import hashlib
-import io
+import json
 import random
 import zipfile
 import zlib
@@ -100,9 +100,32 @@ def check_media(frame, rows):
         payload = raw + b" " * (-len(raw) % 192 if raw else 192)
         expected.append((str(doc_id), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])))
     assert sorted((str(r.doc_id), *r[1:5]) for r in got) == sorted(expected)
-    by_payload = {}
-    for r in got:
-        assert by_payload.setdefault((r.payload_sha256, r.n_bytes), r[5:]) == r[5:]
+    shapes = {(t or "").encode(): plain_media((t or "").encode()) for _, t in rows}
+    stored = {hashlib.sha256(x).hexdigest(): (len(x), seen) for x, seen in shapes.values()}
+    assert sorted((str(r.doc_id), r.media_bytes, r.media_sha256, r.feature) for r in got) == sorted(
+        (str(d), stored[h][0], h, stored[h][1]) for d, t in rows for h in [hashlib.sha256(shapes[(t or "").encode()][0]).hexdigest()]
+    )
+
+
+def plain_media(raw):
+    """(PNG, feature) of a text by plain loops."""
+    payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+    lines = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+
+    def chunk(kind, body):
+        return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+    head = (192).to_bytes(4, "big") + len(lines).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"n_bytes\0" + str(len(raw)).encode())
+    png += chunk(b"IDAT", zlib.compress(b"".join(b"\0" + x for x in lines), 1)) + chunk(b"IEND", b"")
+    bounds = [k * len(lines) // 8 for k in range(8)] + [len(lines)]
+    means = []
+    for k in range(8):
+        # with fewer than eight lines a band may be empty; it then shows the line where it stands
+        band = lines[bounds[k] : max(bounds[k + 1], bounds[k] + 1)]
+        means += [sum(sum(x[24 * c : 24 * c + 24]) for x in band) * 1000 // (24 * len(band)) for c in range(8)]
+    bits = "".join(str(int(m > sum(means) // 64)) for m in means)
+    return png, f"{len(lines)}:{sum(payload) * 1000 // len(payload)}:{int(bits, 2):016x}"
 
 
 def test_media_round_trip(rough, documents, rows_of, nothing):
@@ -118,29 +141,63 @@ def test_ranges_cover_every_member_once(spark, documents, tmp_path):
         assert len(names) == len(set(names)) == documents.count()
 
 
-def test_a_damaged_member_is_read_again_alone(tmp_path, monkeypatch):
-    path = tmp_path / "a.zip"
+def archive_of(folder, n):
+    path = folder / "a.zip"
     with zipfile.ZipFile(path, "w") as z:
-        for i in range(3):
-            z.writestr(f"{i}/{i}.png", media.to_png(b"text %d" % i))
-    reader = media.ArchiveReader([(str(path), path.stat().st_size)], 1 << 30)
+        for i in range(n):
+            z.writestr(zipfile.ZipInfo(f"{i}/{i}.png"), media.to_png(b"text %d" % i))
+    (folder / "list").write_text(json.dumps([str(path), n]) + "\n")
+    return path, media.ArchiveReader(str(folder / "list"), 1 << 30)
+
+
+def names_of(reader, part):
+    return [n for b in reader.read(part) for n in b.column("name").to_pylist()]
+
+
+def test_a_damaged_member_is_read_again_alone(tmp_path, monkeypatch):
+    path, reader = archive_of(tmp_path, 3)
     (part,) = reader.partitions()
     whole, calls = media.member_at, []
 
-    def flaky(opened, offset):
-        calls.append(offset)
-        if isinstance(opened, io.BytesIO) and len(calls) == 2:
+    def flaky(read_at, member):
+        calls.append(member.offset)
+        if len(calls) == 2:
             raise ValueError("damaged")
-        return whole(opened, offset)
+        return whole(read_at, member)
 
     monkeypatch.setattr(media, "member_at", flaky)
-    names = [n for b in reader.read(part) for n in b.column("name").to_pylist()]
-    assert names == ["0/0.png", "1/1.png", "2/2.png"] and len(calls) == 4
+    assert names_of(reader, part) == ["0/0.png", "1/1.png", "2/2.png"]
+    assert len(calls) == 4 and calls[1] == calls[2]
     with path.open("r+b") as f:
         f.seek(60)
         f.write(b"\xff\xff")
     with pytest.raises(ValueError):
-        list(reader.read(part))
+        names_of(reader, part)
+
+
+def test_damaged_headers_hide_no_member(tmp_path):
+    """The directory names every member, so one whose local header is gone, and those after it, are read."""
+    path, reader = archive_of(tmp_path, 4)
+    (part,) = reader.partitions()
+    with path.open("r+b") as f:
+        raw = f.read()
+        f.seek(raw.index(b"PK\3\4", 10))
+        f.write(b"\0" * 30)
+    assert names_of(reader, part) == [f"{i}/{i}.png" for i in range(4)]
+
+
+def test_an_archive_that_lacks_members_is_refused(tmp_path):
+    path, reader = archive_of(tmp_path, 4)
+    (tmp_path / "list").write_text(json.dumps([str(path), 5]) + "\n")
+    with pytest.raises(ValueError):
+        reader.partitions()
+
+
+def test_small_archives_are_cut_by_their_directory(tmp_path):
+    _, reader = archive_of(tmp_path, 20)
+    reader.range_bytes = 700
+    parts = reader.partitions()
+    assert len(parts) > 3 and [n for p in parts for n in names_of(reader, p)] == [f"{i}/{i}.png" for i in range(20)]
 
 
 def test_pieces_equal_the_library(rows_of):
