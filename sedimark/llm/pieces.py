@@ -9,11 +9,13 @@ A unigram model folds Viterbi: the best path by the sum of piece scores.  A BPE
 public 32k one, doesn't take the best path but merges the best-scored adjacent pair again and again, so
 its fold is over merges, on the same edges.  Characters without a piece become their UTF-8 byte pieces.
 A piece never holds a space after another character, nor a line feed (checked when a model is loaded),
-so words can be encoded apart from each other, and each distinct one once for each worker.
+so words can be encoded apart from each other, and each distinct one once for each worker.  A model whose
+normalizer does more than put a space in front, or with pieces of the user's own, is refused.
 
-``lattice_fold`` is the same in Spark alone: explode, broadcast join to the piece table, group by word,
-fold with the higher-order function ``aggregate``.  It serves tables of distinct words; over whole
-corpora its rows (tens for each word) cost more than the limits allow, see the README.
+``lattice_fold`` (merges) and ``lattice_viterbi`` (best paths) are the same in Spark alone: explode, broadcast
+join to the piece table, group by word, fold with the higher-order function ``aggregate``.  They serve tables
+of distinct words; over whole corpora their rows (tens for each word) cost more than the limits allow, see
+the README.
 
 Edge cases: null and empty texts have no ids; null ``doc_id`` and repeated rows are kept; an empty
 table gives no rows; other columns are ignored.  Decoding gives back the text except that U+2581, which
@@ -36,8 +38,10 @@ from sedimark.llm.common import doc_rows, mix64
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Words that one worker remembers before it starts anew; longer ones than LONG aren't remembered.
+#: Words that one worker remembers before it starts anew, and characters in them.
 MEMO_WORDS = 600_000
+MEMO_CHARS = 16 << 20
+#: Words of more characters are folded alone, with a heap.
 LONG = 64
 #: Characters of words whose lattices are made at once.
 LATTICE_CHARS = 1 << 17
@@ -84,6 +88,12 @@ class Pieces:
         with open(path, "rb") as f:
             raw = f.read()
         trainer = next((v for k, v in _fields(raw) if k == 2), b"")
+        normalizer = dict(_fields(next((v for k, v in _fields(raw) if k == 3), b"")))
+        # fixed values: field numbers and defaults of the model format's normalizer, trainer and pieces
+        if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1) or dict(_fields(trainer)).get(24):
+            raise ValueError("the model's normalizer changes texts")
+        if any(dict(_fields(v)).get(3, 1) == 4 for k, v in _fields(raw) if k == 1):
+            raise ValueError("the model has pieces of the user's own")
         self.kind = next((v for k, v in _fields(trainer) if k == 3), UNIGRAM)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
@@ -335,11 +345,12 @@ class Encoder:
 
     def forget(self) -> None:
         self.known = _Numbered()
-        self.ids, self.used, self.n = np.zeros(1 << 16, np.int32), 0, 0
+        self.ids, self.used, self.n, self.chars = np.zeros(1 << 16, np.int32), 0, 0, 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self) -> None:
         words, self.known.fresh = self.known.fresh, []
+        self.chars += sum(map(len, words))
         marked = [w.replace(" ", SPACE) for w in words]
         some, size = [], 0
         for i, w in enumerate(marked):
@@ -372,7 +383,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
-        if self.n > MEMO_WORDS:
+        if self.n > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.forget()
         words = [self.split(" " + x.replace(SPACE, " ")) if x else [] for x in texts]
         n_words = np.fromiter(map(len, words), np.int64, len(words))
@@ -475,27 +486,37 @@ def encoding_report(docs: DataFrame, model: str, with_ids: bool = False) -> Data
 
 
 def piece_table(spark, model: str) -> DataFrame:
-    """The ordinary pieces as a table: piece, id, rank (greater is better); as many rows as pieces."""
+    """The ordinary pieces as a table: piece, id, rank (greater is better), score; as many rows as pieces."""
     own = Pieces(model)
-    rows = [(own.text[i], i, int(r)) for i, r in zip(own.ids.tolist(), own.rank.tolist())]
-    return spark.createDataFrame(rows, "piece string, id int, rank int")
+    rows = [(own.text[i], i, int(r), float(x)) for i, r, x in zip(own.ids.tolist(), own.rank.tolist(), own.scores.tolist())]
+    return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
 
 
-def lattice_fold(words: DataFrame, pieces: DataFrame, longest: int = 16) -> DataFrame:
-    """(word, symbols) for a table of distinct words, in Spark alone: BPE merges over the lattice.
+def _lattice(words: DataFrame, pieces: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct words, edges: word, start, length, rank, score) from the equi-join of substrings with pieces.
 
-    ``symbols`` are the final strings; those without a piece are single characters.  The piece table is
-    broadcast: it has a fixed number of rows, the vocabulary.
+    The piece table is broadcast: it has a fixed number of rows, the vocabulary.
     """
     one = words.select("word").where("word is not null and word <> ''").distinct()
     size = F.length("word")
     starts = one.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
     cuts = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start") + 1))).alias("length"))
     parts = cuts.select("word", "start", "length", F.col("word").substr(F.col("start"), F.col("length")).alias("piece"))
-    joined = parts.join(F.broadcast(pieces), "piece").where("length > 1")
-    graph = joined.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "start", (F.col("start") + F.col("length")).cast("string")), "rank"))).alias("edges"))
-    held = one.join(graph, "word", "left")
-    first = F.sequence(F.lit(1), size + 1)
+    return one, parts.join(F.broadcast(pieces), "piece").select("word", "start", "length", "rank", "score")
+
+
+_SYMBOLS = "transform(sequence(1, size(bounds) - 1), i -> substring(word, bounds[i - 1], bounds[i] - bounds[i - 1]))"
+
+
+def lattice_fold(words: DataFrame, pieces: DataFrame, longest: int = 16) -> DataFrame:
+    """(word, symbols) for a table of distinct words, in Spark alone: BPE merges over the lattice.
+
+    ``symbols`` are the final strings; those without a piece are single characters.  Null and empty words are
+    left out, repeated ones are one.
+    """
+    one, found = _lattice(words, pieces, longest)
+    name = F.concat_ws(":", "start", (F.col("start") + F.col("length")).cast("string"))
+    graph = found.where("length > 1").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct(name, "rank"))).alias("edges"))
     merge = """
       aggregate(sequence(1, length(word)), bounds, (b, k) -> aggregate(
         array(aggregate(sequence(1, greatest(size(b) - 2, 1)), struct(-1 as at, cast(null as int) as rank),
@@ -504,6 +525,32 @@ def lattice_fold(words: DataFrame, pieces: DataFrame, longest: int = 16) -> Data
                           best, struct(i as at, element_at(edges, concat_ws(':', b[i - 1], b[i + 1])) as rank)))),
         b, (x, top) -> if(top.at < 0, x, filter(x, (v, j) -> j <> top.at))))
     """
-    folded = held.withColumn("bounds", first).withColumn("bounds", F.when(F.col("edges").isNull(), F.col("bounds")).otherwise(F.expr(merge)))
-    symbols = F.expr("transform(sequence(1, size(bounds) - 1), i -> substring(word, bounds[i - 1], bounds[i] - bounds[i - 1]))")
-    return folded.select("word", symbols.alias("symbols"))
+    folded = one.join(graph, "word", "left").withColumn("bounds", F.sequence(F.lit(1), F.length("word") + 1))
+    folded = folded.withColumn("bounds", F.when(F.col("edges").isNull(), F.col("bounds")).otherwise(F.expr(merge)))
+    return folded.select("word", F.expr(_SYMBOLS).alias("symbols"))
+
+
+def lattice_viterbi(words: DataFrame, pieces: DataFrame, longest: int = 16) -> DataFrame:
+    """(word, symbols, score) for a table of distinct words, in Spark alone: the best path through the lattice.
+
+    The fold goes over the ends of the word; its state has the best score up to each end and the length of the
+    piece that reaches it (of equally good ones the longer).  A character without a piece costs 10 below the
+    least score.  Null and empty words are left out, repeated ones are one.
+    """
+    one, found = _lattice(words, pieces, longest)
+    ends = found.groupBy("word", (F.col("start") + F.col("length") - 1).alias("end")).agg(F.collect_list(F.struct("start", "length", "score")).alias("some"))
+    graph = ends.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("end", "some"))).alias("edges"))
+    least = pieces.agg(F.min("score") - 10).first()[0]
+    best = """
+      aggregate(sequence(1, length(word)), array(struct(cast(0 as double) as score, 0 as length)), (b, p) -> concat(b, array(array_max(concat(
+        transform(coalesce(edges[p], cast(array() as array<struct<start: int, length: int, score: double>>)),
+                  e -> struct(b[e.start - 1].score + e.score as score, e.length as length)),
+        if(exists(coalesce(edges[p], cast(array() as array<struct<start: int, length: int, score: double>>)), e -> e.length = 1),
+           cast(array() as array<struct<score: double, length: int>>), array(struct(b[p - 1].score + least as score, 1 as length))))))))
+    """
+    back = """
+      aggregate(sequence(1, length(word)), array(length(word) + 1),
+        (x, k) -> if(x[0] = 1, x, concat(array(x[0] - best[x[0] - 1].length), x)))
+    """
+    held = one.join(graph, "word", "left").withColumn("least", F.lit(least)).withColumn("best", F.expr(best)).withColumn("bounds", F.expr(back))
+    return held.select("word", F.expr(_SYMBOLS).alias("symbols"), F.expr("best[length(word)].score").alias("score"))

@@ -250,6 +250,44 @@ def test_the_lattice_in_spark_alone(spark):
     assert got == {f"▁{w}": library.encode(w, out_type=str) for w in words}
 
 
+def test_viterbi_in_spark_alone(spark):
+    """The fold in Spark picks the same pieces as the numpy fold, ties and characters without a piece too."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    own = pieces.Pieces(model)
+    own.kind = pieces.UNIGRAM
+    words = [f"▁{w}" for w in "the quick transformation ationth Über ñandú 日本 zzzz x aaaaaaaaaaaaaaaaaaaaaa".split()]
+    frame = spark.createDataFrame([(w,) for w in [*words, None, "", words[0]]], "word string")
+    got = {r.word: (r.symbols, r.score) for r in pieces.lattice_viterbi(frame, pieces.piece_table(spark, model)).collect()}
+    lattice, bounds = pieces.edges(own, words)
+    start = pieces.fold_viterbi(own, lattice, bounds)
+    assert set(got) == set(words)
+    score = {own.text[i]: x for i, x in zip(own.ids.tolist(), own.scores.tolist())}
+    for word, a, b in zip(words, bounds, bounds[1:]):
+        cuts = [*(start[(start >= a) & (start < b)] - a).tolist(), b - a]
+        symbols = [word[x:y] for x, y in zip(cuts, cuts[1:])]
+        assert got[word][0] == symbols and got[word][1] == pytest.approx(sum(score.get(x, min(score.values()) - 10) for x in symbols))
+
+
+def test_models_that_change_texts_are_refused(tmp_path):
+    """A normalizer that drops spaces, and one that puts none in front, by a message added at the model's end."""
+    raw = open(tokenizer_path("piece_bpe_32k.model"), "rb").read()
+    spec = dict(pieces._fields(raw))[3]
+    for field in (b"\x20\x01", b"\x18\x00"):
+        changed = spec + field
+        path = tmp_path / "other.model"
+        path.write_bytes(raw.replace(b"\x1a" + bytes([len(spec)]) + spec, b"\x1a" + bytes([len(changed)]) + changed))
+        with pytest.raises(ValueError, match="normalizer"):
+            pieces.Pieces(str(path))
+
+
+def test_the_memo_is_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO_CHARS", 1000)
+    own = pieces.Encoder(tokenizer_path("piece_bpe_32k.model"))
+    for i in range(20):
+        own.encode([f"{i}" * 300])
+        assert own.chars < 2000
+
+
 def test_encoding_frames(rough, nothing):
     model = tokenizer_path("piece_bpe_32k.model")
     encoded = pieces.encode_documents(rough, model)
