@@ -33,11 +33,15 @@ class Interrupted(Exception):
 
 
 class Signals:
-    """A flag that SIGINT and SIGTERM set; a scan looks at it between its stages and stops its jobs."""
+    """A flag that SIGINT and SIGTERM set; a scan looks at it between its stages and stops its jobs.
+
+    While a scan runs, ``stop`` is the path of a file whose presence ends its tasks' walks and hashes.
+    """
 
     def __init__(self, spark: SparkSession | None = None):
         self.caught: int | None = None
         self.spark = spark
+        self.stop: str | None = None
 
     def install(self) -> Signals:
         if threading.current_thread() is threading.main_thread():
@@ -47,6 +51,9 @@ class Signals:
 
     def _catch(self, number, _frame) -> None:
         self.caught = number
+        if self.stop:
+            with open(self.stop, "ab"):
+                pass
         if self.spark is not None:
             self.spark.sparkContext.cancelAllJobs()
 
@@ -82,7 +89,16 @@ class Engine:
         return self.resolution.values["operational_policy.state_directory"]
 
     def _store(self) -> StateStore:
-        return StateStore(self.spark, self.state_directory).open()
+        store = StateStore(self.spark, self.state_directory)
+        return store.open(lambda run_id, report: self._rebuilt(store, run_id, report))
+
+    def _rebuilt(self, store: StateStore, run_id: str, report: dict) -> dict[str, DataFrame]:
+        """The tables of a published run: from its stored observations, or from the report if those are gone."""
+        where = store._at("tables", "observations", f"run_id={run_id}")
+        if os.path.isdir(where):
+            observed = self.spark.read.parquet(where)
+            return self._tables(relate.facts(observed)) | {"observed": observed}
+        return self._tables(self.spark.createDataFrame([_fact(o) for o in report["observations"]], _FACTS))
 
     def _guard(self, command: str, work) -> CommandResult:
         try:
@@ -99,20 +115,30 @@ class Engine:
 
     def _scan(self, inputs, hook) -> CommandResult:
         options = filesystem.ScanOptions(**{k: self.resolution.values[f"evidence_policy.{k}"] for k in ("follow_symlinks", "include_hidden", "cross_filesystems", "probe_media")})
-        found = filesystem.discover(self.spark, inputs, options, self.state_directory)
+        accepted, refused = filesystem.accept(inputs, options)
         if self.signals.caught is not None:
             return CommandResult.resolve("scan", diagnostics=[_interruption(self.signals)])
-        if not found.accepted:
-            refused = [blocking("invalid_command_input", "input", i["message"], path=i["path"]) for i in found.root_issues]
-            return CommandResult.resolve("scan", diagnostics=refused or [blocking("invalid_command_input", "input", "no input could be scanned")])
+        if not accepted:
+            told = [blocking("invalid_command_input", "input", i["message"], path=i["path"]) for i in refused]
+            return CommandResult.resolve("scan", diagnostics=told or [blocking("invalid_command_input", "input", "no input could be scanned")])
         store = self._store()
         run_id, set_id, created = publish.uuid7(), publish.uuid7(), publish.now()
         store.begin(run_id, created)
         folder = store.run_folder(run_id)
+        self.signals.stop = store._at("status", f"{run_id}.stop")
         try:
             hook("begun")
             self.signals.check()
-            observed, tables = self._observe(store, found, options, run_id)
+
+            def keep(rows: DataFrame) -> DataFrame:
+                where = store._at("tables", "inventory", f"run_id={run_id}")
+                rows.write.mode("overwrite").parquet(where)
+                return self.spark.read.parquet(where)
+
+            found = filesystem.inventory(self.spark, accepted, refused, options, self.state_directory, self.signals.stop, keep)
+            hook("discovered")
+            self.signals.check()
+            tables = self._observe(store, found, options, run_id)
             hook("observed")
             self.signals.check()
             report, run = self._report(tables, inputs, options, run_id, set_id, created, folder)
@@ -138,29 +164,34 @@ class Engine:
                 store.mark(run_id, "failed", completed_at=publish.now())
             code = "artifact_validation_failed" if isinstance(error, ContractError) else "artifact_commit_failed" if isinstance(error, OSError) else "internal_invariant_violated"
             return CommandResult.resolve("scan", diagnostics=[blocking(code, "internal" if code.startswith("internal") else "artifact", f"the scan failed: {error}", run_id=run_id)])
+        finally:
+            if os.path.exists(self.signals.stop):
+                os.unlink(self.signals.stop)
+            self.signals.stop = None
         names = (("effective_policy", "effective-policy.json"), ("run", "run.json"), ("report", "report.json"), ("artifact_set", publish.MARKER))
         artifacts = [{"kind": k, "run_id": run_id, "path": os.path.join(folder, n)} for k, n in names]
         store.finalize(run_id, tables, folder)
         return self._scanned(store.table("diagnostics", run_id), options, report, artifacts)
 
-    def _observe(self, store: StateStore, found: filesystem.Discovery, options, run_id: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    def _observe(self, store: StateStore, found: filesystem.Discovery, options, run_id: str) -> dict[str, DataFrame]:
         probe = tool_status("ffprobe", "media metadata")["version"] if options.probe_media else None
         files = found.files.withColumn("filesystem_id", F.col("device_id").cast("string")).withColumn("file_id", F.col("inode").cast("string"))
         looked = cache.lookup(observe.with_needs(files), store.cache().drop("evidence_validity"), probe)
         where = store._at("tables", "observations", f"run_id={run_id}")
         # stored before anything reads it: observing again could give other evidence
-        observe.observe(looked, options, run_id).write.mode("overwrite").parquet(where)
+        observe.observe(looked, options, run_id, self.signals.stop).write.mode("overwrite").parquet(where)
         observed = self.spark.read.parquet(where)
         diagnostics.from_issues(found.issues, True).write.mode("overwrite").parquet(store._at("tables", "diagnostics", f"run_id={run_id}"))
-        facts = relate.facts(observed).withColumn("changed_unix_ns", F.lit(None))
-        digest = blake3.blake3_udf()
-        groups = relate.exact_groups(facts, digest)
         entries = observed.select(
             "path_key", "size_bytes", "modified_unix_ns", "content_type", "media_kind", "status", "content_hash", F.col("filesystem_identity.filesystem_id").alias("filesystem_id"),
             F.col("filesystem_identity.file_id").alias("file_id"), "evidence_validity", "warnings", "media", F.lit(probe).cast("string").alias("probe_signature"), "changed_unix_ns",
         )
         store.remember(entries)
-        return observed, {"facts": facts.drop("changed_unix_ns"), "duplicate_groups": groups, "plan_paths": duplicates.paths(facts, digest), "hard_link_groups": relate.hard_link_groups(facts), "observed": observed}
+        return self._tables(relate.facts(observed)) | {"observed": observed}
+
+    def _tables(self, facts: DataFrame) -> dict[str, DataFrame]:
+        digest = blake3.blake3_udf()
+        return {"facts": facts, "duplicate_groups": relate.exact_groups(facts, digest), "plan_paths": duplicates.paths(facts, digest), "hard_link_groups": relate.hard_link_groups(facts)}
 
     def _report(self, tables, inputs, options, run_id, set_id, created, folder) -> tuple[dict, dict]:
         """The report document.  It lists every observation, so it suits what one file can hold; the

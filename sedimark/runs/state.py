@@ -1,8 +1,8 @@
 """Persistent state as tables in one folder: runs, observations, groups and the analysis cache.
 
 Large tables are Parquet partitions by run, written before the run's status turns to completed, so a
-reader never sees half a run.  A run's status is one small file, replaced by rename only if it still has
-the status that the change expects.  The cache is a numbered table and a pointer to the current one.
+reader never sees half a run.  A run's status is one small file, and its end another that only one process
+can make.  The cache is a numbered table and a pointer to the current one.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +39,15 @@ class StateStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, os.path.abspath(folder)
 
-    def open(self) -> StateStore:
-        """Create, bring to the current layout, and finish or clear what a crash left."""
+    def open(self, rebuild: Callable[[str, dict], dict[str, DataFrame]] | None = None) -> StateStore:
+        """Create, bring to the current layout, and finish or clear what a crash left.
+
+        ``rebuild`` makes a run's tables from its id and its published report.
+        """
         for name in ("runs", "status", "tables", "cache"):
             os.makedirs(os.path.join(self.folder, name), exist_ok=True)
         self._migrate()
-        self.recover()
+        self.recover(rebuild)
         return self
 
     def _at(self, *parts: str) -> str:
@@ -78,21 +82,35 @@ class StateStore:
         publish.write_new(self._at("status", run_id), publish.json_bytes({"run_id": run_id, "status": "running", "created_at": created_at}))
 
     def run(self, run_id: str) -> dict | None:
-        try:
-            with open(self._at("status", run_id)) as f:
-                return json.load(f)
-        except (FileNotFoundError, ValueError):
-            return None
+        for name in (f"{run_id}.end", run_id):
+            try:
+                with open(self._at("status", name)) as f:
+                    return json.load(f)
+            except (FileNotFoundError, ValueError):
+                continue
+        return None
 
     def status(self, run_id: str) -> str | None:
         return (self.run(run_id) or {}).get("status")
 
     def mark(self, run_id: str, status: str, **more) -> bool:
-        """Turn a running run into another status; False if it no longer runs."""
+        """Turn a running run into another status; False if it no longer runs.
+
+        The end is written aside and linked into place, which fails if another process was first.
+        """
         row = self.run(run_id)
         if not row or row["status"] != "running":
             return False
-        self._replace(self._at("status", run_id), publish.json_bytes(row | {"status": status} | more))
+        end = self._at("status", f"{run_id}.end")
+        fresh = f"{end}.{publish.uuid7()}"
+        publish.write_new(fresh, publish.json_bytes(row | {"status": status} | more))
+        try:
+            os.link(fresh, end)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(fresh)
+        publish.sync_folder(os.path.dirname(end))
         return True
 
     def runs(self) -> list[dict]:
@@ -120,20 +138,31 @@ class StateStore:
     def run_folder(self, run_id: str) -> str:
         return self._at("runs", run_id)
 
-    def recover(self) -> None:
-        """Remove half-written folders; complete runs whose documents were published but not recorded."""
+    def recover(self, rebuild: Callable[[str, dict], dict[str, DataFrame]] | None = None) -> list[str]:
+        """Remove half-written folders; finalize runs whose documents were published but not recorded; their ids.
+
+        Manifest, run and report must name the same run and the same set.  Without ``rebuild`` such a run
+        stays as it is, for a process that can store its tables.
+        """
         publish.recover_staging(self._at("runs"))
+        found = []
         for row in self.runs():
             folder = self.run_folder(row["run_id"])
-            if row["status"] != "running" or not os.path.isdir(folder):
+            if row["status"] != "running" or not os.path.isdir(folder) or rebuild is None:
+                continue
+            inspected = publish.inspect_scan(folder)
+            if inspected.status != "committed":
                 continue
-            found = publish.inspect_scan(folder)
-            if found.status != "committed":
+            documents = {}
+            for name in ("run", "report"):
+                with open(os.path.join(folder, f"{name}.json")) as f:
+                    documents[name] = json.load(f)
+            report, run, manifest = documents["report"], documents["run"], inspected.manifest
+            if len({row["run_id"], manifest["run_id"], run["run_id"], report["run"]["run_id"]}) > 1 or len({manifest["set_id"], run["artifact_set_id"], report["artifact_set_id"]}) > 1:
                 continue
-            with open(os.path.join(folder, "report.json")) as f:
-                report = json.load(f)
-            if found.manifest["run_id"] == row["run_id"] == report["run"]["run_id"]:
-                self.mark(row["run_id"], "completed", completed_at=publish.now(), report_folder=folder)
+            self.finalize(row["run_id"], rebuild(row["run_id"], report), folder)
+            found.append(row["run_id"])
+        return found
 
     # --- cache
 

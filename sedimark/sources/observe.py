@@ -22,7 +22,7 @@ from sedimark.operators.relate import size_frequency
 from sedimark.operators.stability import classify
 from sedimark.schemas import OBSERVATION, column_names, struct_type
 from sedimark.sources import processes
-from sedimark.sources.filesystem import ScanOptions, allocation, signature
+from sedimark.sources.filesystem import ScanOptions, allocation, signature, stopped_by
 
 _COLUMNS = column_names(OBSERVATION)
 READ = 1 << 20
@@ -43,7 +43,7 @@ def _compare(expected: dict, found: dict, content_change: str, where: str) -> No
         raise Unstable(kind, "stale", f"the file changed {where}")
 
 
-def _attempt(path: bytes, expected: dict, needs_hash: bool, cached: dict | None, options: ScanOptions, runner, hook: Callable[[str, bytes], None]) -> dict:
+def _attempt(path: bytes, expected: dict, needs_hash: bool, cached: dict | None, options: ScanOptions, runner, hook: Callable[[str, bytes], None], cancelled: Callable[[], bool]) -> dict:
     try:
         before = os.lstat(path)
     except FileNotFoundError as error:
@@ -64,7 +64,7 @@ def _attempt(path: bytes, expected: dict, needs_hash: bool, cached: dict | None,
         else:
             row = _analyse(fd, options, runner)
         if needs_hash:
-            row["content_hash"] = _hash(fd)
+            row["content_hash"] = _hash(fd, cancelled)
         hook("after_evidence", path)
         _compare(expected, signature(os.fstat(fd)), "changed_during_hash" if needs_hash else "changed_during_probe", "while it was read")
         try:
@@ -95,16 +95,25 @@ def _analyse(fd: int, options: ScanOptions, runner) -> dict:
     return {"content_type": content_type, "media_kind": kind, "status": status, "media": described, "content_hash": None, "warnings": warnings}
 
 
-def _hash(fd: int) -> str:
+class Cancelled(Exception):
+    """The command that wants the observation has been stopped."""
+
+
+def _hash(fd: int, cancelled: Callable[[], bool]) -> str:
     os.lseek(fd, 0, os.SEEK_SET)
     digest = blake3.Hasher()
     while piece := os.read(fd, READ):
+        if cancelled():
+            raise Cancelled
         digest.update(piece)
     return digest.hexdigest()
 
 
-def observe_file(row: dict, options: ScanOptions, runner=None, hook: Callable[[str, bytes], None] = lambda stage, path: None) -> dict:
-    """The observation of one discovered file (columns of the discovered row, needs_hash, cached_...)."""
+def observe_file(row: dict, options: ScanOptions, runner=None, hook: Callable[[str, bytes], None] = lambda stage, path: None, cancelled: Callable[[], bool] = lambda: False) -> dict:
+    """The observation of one discovered file (columns of the discovered row, needs_hash, cached_...).
+
+    ``cancelled`` is asked before each block that is hashed; if it holds, :class:`Cancelled` is raised.
+    """
     path = to_bytes(row["path"])
     expected = {
         "is_symlink": False, "filesystem_id": str(row["device_id"]), "file_id": str(row["inode"]), "link_count": row["link_count"],
@@ -114,7 +123,7 @@ def observe_file(row: dict, options: ScanOptions, runner=None, hook: Callable[[s
     failed: Unstable | None = None
     for attempt in range(1, ATTEMPTS + 1):
         try:
-            got = _attempt(path, expected, bool(row["needs_hash"]), cached, options, runner, hook)
+            got = _attempt(path, expected, bool(row["needs_hash"]), cached, options, runner, hook, cancelled)
         except Unstable as error:
             failed = error
             cached = None
@@ -147,14 +156,18 @@ def _observation(row: dict) -> dict:
 
 
 def with_needs(found: DataFrame) -> DataFrame:
-    """``found`` with needs_hash: whether another discovered path has the same size."""
+    """``found`` with needs_hash: whether another discovered path has the same size.
+
+    ``found`` must be a stored table: then both sides of the join have the same sizes, and no file is lost.
+    """
     return found.join(size_frequency(found).select("size_bytes", (F.col("file_count") > 1).alias("needs_hash")), "size_bytes")
 
 
-def observe(found: DataFrame, options: ScanOptions, run_id: str) -> DataFrame:
+def observe(found: DataFrame, options: ScanOptions, run_id: str, stop: str | None = None) -> DataFrame:
     """Observations of discovered files (with needs_hash, and cached columns and cache_hit if looked up).
 
     A retried task observes its files anew, so the result must be stored before several queries read it.
+    Tasks end early, with an error, once the file ``stop`` is there.
     """
     ddl = struct_type(OBSERVATION)
     schema = to_arrow_schema(ddl)
@@ -162,9 +175,11 @@ def observe(found: DataFrame, options: ScanOptions, run_id: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]):
         import shutil
 
-        runner = processes.Runner() if options.probe_media and shutil.which("ffprobe") else None
+        runner, cancelled = processes.Runner() if options.probe_media and shutil.which("ffprobe") else None, stopped_by(stop)
         for batch in batches:
-            rows = [observe_file(row, options, runner) | {"run_id": run_id} for row in batch.to_pylist()]
+            if cancelled():
+                raise Cancelled
+            rows = [observe_file(row, options, runner, cancelled=cancelled) | {"run_id": run_id} for row in batch.to_pylist()]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

@@ -8,6 +8,7 @@ import sys
 import pytest
 
 from sedimark import cli
+from sedimark.functions import blake3
 from sedimark.operators import cache, diagnostics, graph
 from sedimark.runs import policy, publish
 from sedimark.runs.contracts import ContractError, problems, validate
@@ -81,9 +82,109 @@ def test_a_crash_after_publication_is_recovered(engine, collection):
 
     with pytest.raises(Crash):
         engine.scan([str(collection)], hook)
-    (row,) = StateStore(engine.spark, engine.state_directory).runs()
+    store = StateStore(engine.spark, engine.state_directory)
+    (row,) = store.runs()
     assert row["status"] == "running"
     assert engine.report(row["run_id"]).outcome == "success"
+    assert store.status(row["run_id"]) == "completed"
+    (group,) = store.table("duplicate_groups", row["run_id"]).collect()
+    assert (group.member_count, group.size_bytes) == (2, 23) and store.table("plan_paths").count() == 2 and store.table("observed").count() == 3
+
+
+@pytest.mark.parametrize("gone", ["run", "report"])
+def test_a_set_of_another_run_is_not_recovered(engine, collection, gone):
+    class Crash(BaseException):
+        pass
+
+    def hook(stage):
+        if stage == "published":
+            raise Crash
+
+    with pytest.raises(Crash):
+        engine.scan([str(collection)], hook)
+    store = StateStore(engine.spark, engine.state_directory)
+    (row,) = store.runs()
+    # another set's document with a marker that fits it byte by byte
+    folder = store.run_folder(row["run_id"])
+    document = json.load(open(f"{folder}/{gone}.json"))
+    (document if gone == "run" else document["run"])["run_id"] = publish.uuid7()
+    content = publish.json_bytes(document)
+    open(f"{folder}/{gone}.json", "wb").write(content)
+    marker = json.load(open(f"{folder}/{publish.MARKER}"))
+    for m in marker["members"]:
+        if m["kind"] == gone:
+            m["size_bytes"], m["digest"]["value"] = len(content), blake3.hash_one(content)
+    open(f"{folder}/{publish.MARKER}", "wb").write(publish.json_bytes(marker))
+    assert engine.report(row["run_id"]).exit_code == 5 and store.status(row["run_id"]) == "running"
+
+
+def test_a_run_ends_once(engine):
+    store = engine._store()
+    store.begin("r", publish.now())
+    other = StateStore(engine.spark, engine.state_directory)
+    assert store.mark("r", "interrupted") and not other.mark("r", "failed") and other.status("r") == "interrupted"
+    # both saw it running: the link decides
+    store.begin("s", publish.now())
+    seen = store.run("s")
+    assert other.mark("s", "failed")
+    store.run = lambda run_id: seen
+    assert not store.mark("s", "completed") and other.status("s") == "failed"
+    assert [r["run_id"] for r in other.runs()] == ["r", "s"]
+
+
+@pytest.mark.parametrize("change", ["grow", "appear", "vanish"])
+def test_no_file_is_lost_between_walk_and_observation(engine, collection, change):
+    def hook(stage):
+        if stage != "discovered":
+            return
+        if change == "grow":
+            (collection / "unique.bin").write_bytes(b"now as long as the others"[:23])
+        elif change == "appear":
+            (collection / "later.bin").write_bytes(b"different fixture")
+        else:
+            (collection / "second.bin").unlink()
+
+    scan = engine.scan([str(collection)], hook)
+    names = {o["path"]["value"].rpartition("/")[2]: o["evidence_validity"] for o in scan.result["observations"]}
+    assert set(names) == {"first-🌌.bin", "second.bin", "unique.bin"}
+    assert names["second.bin"] == ("unavailable" if change == "vanish" else "current")
+
+
+def test_large_trees_are_split(tmp_path):
+    for i in range(12):
+        (tmp_path / f"r/{i}/deep/er").mkdir(parents=True)
+        (tmp_path / f"r/{i}/deep/er/f").write_text("x")
+        (tmp_path / f"r/{i}/g").write_text("x")
+    (tmp_path / "r/top").write_text("x")
+    root, options = os.fsencode(tmp_path / "r"), filesystem.ScanOptions()
+    whole = sorted(row["path_key"] for _, row in filesystem.walk(root, options))
+    for wanted in (1, 2, 10, 20, 1000):
+        walks = filesystem.split_walks([root], options, wanted=wanted)
+        assert sorted(row["path_key"] for w in walks for _, row in filesystem.walk(w, options)) == whole and len(whole) == 25
+        assert len(walks) >= min(wanted, 37)
+
+
+def test_walks_and_hashes_stop_when_told(tmp_path):
+    for i in range(5):
+        (tmp_path / f"r/{i}").mkdir(parents=True)
+        (tmp_path / f"r/{i}/f").write_bytes(b"x" * 10)
+    stop, seen = tmp_path / "stop", []
+    for _, row in filesystem.walk(os.fsencode(tmp_path / "r"), filesystem.ScanOptions(), cancelled=filesystem.stopped_by(str(stop))):
+        seen.append(row)
+        stop.touch()
+    assert len(seen) == 1
+    with pytest.raises(observe.Cancelled):
+        observe.observe_file(discovered(tmp_path / "r/1/f"), filesystem.ScanOptions(), cancelled=filesystem.stopped_by(str(stop)))
+
+
+def test_metadata_by_path(tmp_path):
+    (tmp_path / "f").write_bytes(b"x" * 5000)
+    got = filesystem.allocation_of_path(os.fsencode(tmp_path / "f"), 5000)
+    assert got["allocation"]["allocated_size_bytes"] >= 512 and got["identity"]["link_count"] == 1 and got["warnings"] == []
+    lost = filesystem.allocation_of_path(os.fsencode(tmp_path / "gone"), 7)
+    assert (lost["allocation"]["logical_size_bytes"], lost["allocation"]["allocation_source"], lost["identity"], len(lost["warnings"])) == (7, "unavailable", None, 1)
+    bare = filesystem.bare_signature(os.lstat(tmp_path / "f"))
+    assert bare["size_bytes"] == 5000 and bare["file_id"] is None and bare["changed_unix_ns"] is None
 
 
 def test_a_signal_interrupts(engine, collection):
