@@ -37,7 +37,7 @@ def _scalar(header: Column, key: str) -> Column:
 
 def _items(header: Column, key: str) -> Column:
     block = F.regexp_extract(header, _LIST.format(key), 1)
-    return F.transform(F.regexp_extract_all(block, F.lit(r"  - (.+)"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(block, F.lit(r"  - (.+)"), 1), lambda item: F.trim(item))
 
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
