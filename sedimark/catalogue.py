@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimark import catalogue_files
 from sedimark.functions import blake3, media, paths
 from sedimark.operators import account, cache, diagnostics, graph, layers, relate, stability
 from sedimark.plans import duplicates
@@ -535,8 +536,8 @@ def corpus_fingerprint(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | catalogue_files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalogue_files.oracle_sql()
