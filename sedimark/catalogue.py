@@ -45,16 +45,17 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     _over_observed(
-        "select observation_id, path_key, size_bytes, content_hash, 'sha256' as hash_algorithm, media_kind, status, filesystem_id, file_id, link_count, "
-        "1 as identity_available, case when allocated_size_bytes is null then 0 else 1 end as allocation_available, evidence_validity from obs"
-    )
+        "select observation_id, path_key, size_bytes, modified_unix_ns, content_hash, status, media_kind, cache_hit, 'stable' as observation_stability, evidence_validity, filesystem_id, "
+        "case when doc_id % 9 <> 0 then file_id end as file_id, case when doc_id % 9 <> 0 then link_count end as link_count, allocated_size_bytes, "
+        "case when doc_id % 9 <> 0 then 1 else 0 end as identity_available, case when allocated_size_bytes is null then 0 else 1 end as allocation_available from obs"
+    ).replace("evidence_validity, filesystem_id,", "evidence_validity, case when doc_id % 9 <> 0 then filesystem_id end as filesystem_id,")
 )
 def observations_projection(spark, sf_dir):
-    return _observed(spark, sf_dir).select(
-        "observation_id", "path_key", "size_bytes", "content_hash", F.when(F.col("content_hash").isNotNull(), "sha256").alias("hash_algorithm"), "media_kind", "status",
-        "filesystem_id", "file_id", "link_count", F.col("file_id").isNotNull().cast("int").alias("identity_available"),
-        F.col("allocated_size_bytes").isNotNull().cast("int").alias("allocation_available"), "evidence_validity",
-    )
+    """Nested observations, every ninth without identity, flattened with 0/1 flags."""
+    identity = F.struct(F.lit("linux").alias("platform"), "filesystem_id", "file_id", "link_count")
+    allocation = F.struct(F.col("size_bytes").alias("logical_size_bytes"), "allocated_size_bytes", F.lit("st_blocks512").alias("allocation_source"), "extent_sharing_status")
+    nested = _observed(spark, sf_dir).withColumns({"filesystem_identity": F.when(F.col("doc_id") % 9 != 0, identity), "storage_allocation": allocation, "observation_stability": F.lit("stable")})
+    return relate.facts(nested).drop("components", "extent_sharing_status")
 
 
 @_register(_over_observed("select size_bytes, count(*) as file_count from base group by size_bytes"))
@@ -113,6 +114,16 @@ def unobserved_links(spark, sf_dir):
     return relate.hard_link_groups(rows, least=1).select("file_id", "observed_path_count", "link_count", "unobserved_link_count")
 
 
+@_register(
+    _over_observed(
+        "select file_id, count(*) as observed_path_count, max(link_count) + cast(file_id as bigint) % 4 - count(*) as unobserved_link_count from obs group by file_id having max(link_count) + cast(file_id as bigint) % 4 > count(*)"
+    )
+)
+def unobserved_link_warnings(spark, sf_dir):
+    rows = _observed(spark, sf_dir).withColumn("link_count", F.col("link_count") + F.col("file_id").cast("bigint") % 4)
+    return relate.with_unobserved_links(relate.hard_link_groups(rows, least=1)).select("file_id", "observed_path_count", "unobserved_link_count")
+
+
 # --- exact duplicates, accounts, plans
 
 
@@ -126,15 +137,21 @@ def exact_duplicate_members(spark, sf_dir):
     return relate.exact_members(_observed(spark, sf_dir)).select("group_id", "observation_id", "primary_path", "observed_path_count", "allocated_size_bytes")
 
 
-@_register()
+@_register(_over_observed("select size_bytes, member_count, observed_path_count, reclaimable_bytes, keep_path, 'exact-' as prefix, 64 as digest_length, 1 as groups_of_digest from groups"))
 def blake3_groups(spark, sf_dir):
-    """Exact groups with true BLAKE3 digests: only size candidates are hashed, the rest never reach Python."""
-    candidates, alone = relate.split_candidates(_table(spark, sf_dir, "documents").withColumn("size_bytes", F.octet_length("text").cast("long")))
+    """Exact groups with true BLAKE3 digests: only size candidates are hashed, the rest never reach Python.
+
+    The digests themselves are compared with published vectors in the tests; here the groups that they make are.
+    """
+    candidates, _ = relate.split_candidates(_table(spark, sf_dir, "documents").select("text", F.octet_length("text").cast("long").alias("size_bytes")))
     digest = blake3.blake3_udf()
-    hashed = candidates.withColumn("blake3", digest("text")).select("doc_id", "blake3")
-    hashed = hashed.unionByName(alone.select("doc_id", F.lit(None).cast("string").alias("blake3")))
-    rows = _observed(spark, sf_dir).drop("content_hash").join(hashed.withColumnRenamed("blake3", "content_hash"), "doc_id")
-    return relate.exact_groups(rows, digest).select("group_id", "size_bytes", "content_hash", "member_count", "observed_path_count", "reclaimable_bytes", "keep_path")
+    hashed = candidates.select(F.sha2("text", 256).alias("content_hash"), "text").dropDuplicates(["content_hash"]).select("content_hash", digest("text").alias("blake3"))
+    rows = _observed(spark, sf_dir).join(hashed, "content_hash", "left").drop("content_hash").withColumnRenamed("blake3", "content_hash")
+    groups = relate.exact_groups(rows, digest)
+    times = groups.groupBy("content_hash").agg(F.count("*").cast("int").alias("groups_of_digest"))
+    return groups.join(times, "content_hash").select(
+        "size_bytes", "member_count", "observed_path_count", "reclaimable_bytes", "keep_path", F.substring("group_id", 1, 6).alias("prefix"), F.length("content_hash").alias("digest_length"), "groups_of_digest"
+    )
 
 
 @_register(_over_observed("select group_id, reasons, case when reasons = '' then 'estimated' else 'unknown' end as status from groups"))
@@ -332,27 +349,14 @@ def hidden_path_filter(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", relative.alias("relative")).where(~paths.is_hidden(F.col("relative")))
 
 
-@_register(_over_observed("select path_key from obs where doc_id % 2 = 0 union select path_key from obs where doc_id % 3 = 0"))
-def inventory_union_distinct(spark, sf_dir):
-    rows = _observed(spark, sf_dir)
-    return rows.where("doc_id % 2 = 0").unionByName(rows.where("doc_id % 3 = 0")).select("path_key").distinct()
-
-
 @_register(_over_observed("select path_key from obs union select path_key from obs where doc_id % 2 = 0"))
-def inventory_union_whole(spark, sf_dir):
+def inventory_union_distinct(spark, sf_dir):
     rows = _observed(spark, sf_dir)
     return rows.unionByName(rows.where("doc_id % 2 = 0")).select("path_key").distinct()
 
 
-@_register("select doc_id, to_base64(encode(substr(text, 1, 90))) as base64, octet_length(encode(substr(text, 1, 90))) as n from documents where text is not null")
-def base64_text(spark, sf_dir):
-    raw = F.substring("text", 1, 90).cast("binary")
-    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", paths.base64_text(raw).alias("base64"))
-    return rows.withColumn("n", F.octet_length(paths.base64_bytes(F.col("base64"))).cast("long"))
-
-
 @_register("select doc_id, to_base64(encode(text)) as base64, octet_length(encode(text)) as n from documents where text is not null")
-def base64_whole_text(spark, sf_dir):
+def base64_text(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", paths.base64_text(F.col("text").cast("binary")).alias("base64"))
     return rows.withColumn("n", F.octet_length(paths.base64_bytes(F.col("base64"))).cast("long"))
 
@@ -486,11 +490,6 @@ def graph_neighbourhood(spark, sf_dir):
     return graph.neighbourhood(edges, "lineitem").select(F.lit("lineitem").alias("id"), "neighbour")
 
 
-@_register("select source, lang, count(*) as documents, cast(sum(n_chars) as bigint) as characters from documents group by source, lang")
-def portal_stats(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"))
-
-
 _LINKS_SQL = (
     "with l as (select page_id, unnest(list_distinct(regexp_extract_all(html, '<(?:a|link|script|img)\\b[^>]*?\\b(?:href|src)\\s*=\\s*\"([^\"]*)\"', 1))) as link from pages), "
     "found as (select page_id, link, not (regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') or starts_with(link, '//')) as is_local, url_decode(regexp_replace(link, '[?#].*$', '')) as p from l), "
@@ -527,10 +526,12 @@ def broken_anchors(spark, sf_dir):
     return page_source.broken_anchors(site)
 
 
-@_register(
-    "with d as (select sha256(cast(doc_id as varchar) || chr(0) || text) as d from documents), k as (select d, ('0x' || substr(d, 1, 8))::bigint % 256 as bucket from d), "
-    "b as (select bucket, sha256(string_agg(d, '' order by d)) as h from k group by bucket) select sha256(string_agg(h, '' order by bucket)) as fingerprint from b"
+_LEVELS = "".join(
+    f", l{digits} as (select substr(name, 1, {digits}) as name, sha256(string_agg(d, '' order by {above}.name, d)) as d from {above} group by 1)" for digits, above in ((8, "leaf"), (6, "l8"), (4, "l6"), (2, "l4"), (0, "l2"))
 )
+
+
+@_register("with leaf as (select sha256(cast(doc_id as varchar) || chr(0) || text) as name, name as d from documents)" + _LEVELS + " select d as fingerprint from l0")
 def corpus_fingerprint(spark, sf_dir):
     return graph.fingerprint(_table(spark, sf_dir, "documents"), "doc_id", "text")
 

@@ -164,6 +164,27 @@ def file_observations(spark, sf_dir):
     )
 
 
+@_register(_FILES_SQL + "select path, 'stable' as stability, min(path) over (partition by text) as first_of_content, true as verified from files")
+def path_hashes(spark, sf_dir):
+    """Every file hashed by its path, with proof that it stayed the same, and verified again by size and hash."""
+    root, found = _scanned(spark, sf_dir)
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for native, key, size in zip(*(batch.column(c).to_pylist() for c in ("path", "path_key", "size_bytes"))):
+                raw = path_functions.to_bytes(native)
+                digest, kind = observe.hash_path(raw)
+                rows.append({"path_key": key, "digest": digest, "stability": kind, "verified": observe.has_content(raw, size, digest)})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    hashed = found.files.select("path", "path_key", "size_bytes").mapInArrow(work, "path_key string, digest string, stability string, verified boolean")
+    path = _relative(root)
+    firsts = hashed.groupBy("digest").agg(F.min(path).alias("first_of_content"))
+    return hashed.join(firsts, "digest").select(path.alias("path"), "stability", "first_of_content", "verified")
+
+
 def _engine(spark, root: str) -> Engine:
     line = {"operational_policy.state_directory": f"{root}/state", "evidence_policy.probe_media": False}
     return Engine(spark, policy.resolve(line, no_config=True, environment={"HOME": root}), Signals())
@@ -511,11 +532,65 @@ def portal_cards(spark, sf_dir):
 
 
 @_register("select (select count(*) from region) as categories, 1 as layers, (select count(*) from region) + (select count(*) from nation) as documents, (select count(*) from nation) as dependencies")
-def portal_counts(spark, sf_dir):
+def portal_stats(spark, sf_dir):
     folder, config = _portal(spark, sf_dir)
     return portal.load(spark, folder, config).stats().withColumn("categories", F.col("categories").cast("long"))
 
 
+@_register(
+    "with d as (select 'region-' || r_regionkey as id, r_name as title, 0 as rank from region union all select 'nation-' || n_nationkey, n_name, 1 from nation), "
+    "n as (select *, row_number() over (partition by rank order by title, id) - 1 as place, count(*) over (partition by rank) as rows from d), "
+    "p as (select id, rank * 200.0 as x, ((select max(rows) from n) - rows) * 45.0 + place * 90.0 as y from n) "
+    "select 'nation-' || n_nationkey as target, 'region-' || n_regionkey as source, a.x::double as x1, a.y::double as y1, b.x::double as x2, b.y::double as y2 "
+    "from nation join p a on a.id = 'region-' || n_regionkey join p b on b.id = 'nation-' || n_nationkey"
+)
+def portal_layout(spark, sf_dir):
+    """Edges of the dependency graph with the places of both ends."""
+    folder, config = _portal(spark, sf_dir)
+    return portal.load(spark, folder, config).layout()[1]
+
+
+@_register("select 'nation-' || n_nationkey as id, n_name as title from nation where n_regionkey = 1 union all select 'region-1', r_name from region where r_regionkey = 1")
+def portal_category(spark, sf_dir):
+    folder, config = _portal(spark, sf_dir)
+    return portal.load(spark, folder, config).in_category("c1").select("id", "title")
+
+
+@_register(
+    "select * from (values ('whole', null, true), ('two sources', 'two sources bring /index.html', true), ('broken link', '/index.html: gone.html', true), ('broken anchor', '/index.html: #gone', true), ('whole again', null, true)) t(site, problem, shown)"
+)
+def site_builds(spark, sf_dir):
+    """The portal's page composed with another folder; a site with a fault leaves the one before in place."""
+    folder, config = _portal(spark, sf_dir)
+    top = _folder(spark, "site")
+    page = portal.load(spark, folder, config).page()
+
+    def source(name: str, **files: str) -> str:
+        os.makedirs(f"{top}/{name}")
+        for file, text in files.items():
+            with open(f"{top}/{name}/{file}.html", "w") as f:
+                f.write(text)
+        return f"{top}/{name}"
+
+    main = source("main", index=page + '<a href="docs/more.html#here">')
+    more = source("more", more='<p id="here"><a href="../index.html">')
+    cases = (
+        ("whole", {"/": main, "/docs": more}), ("two sources", {"/": main, "//": source("twice", index="x"), "/docs": more}), ("broken link", {"/": source("lost", index='<a href="gone.html">')}),
+        ("broken anchor", {"/": source("adrift", index='<a href="#gone">')}), ("whole again", {"/": main, "/docs": more}),
+    )
+    out = []
+    for name, mounts in cases:
+        try:
+            portal.compose_site(spark, f"{top}/public", mounts)
+            problem = None
+        except portal.PortalError as error:
+            problem = str(error)
+            assert os.path.exists(f"{top}/public/index.html"), problem
+        with open(f"{top}/public/index.html") as f:
+            out.append((name, problem, f.read().startswith(page) and sorted(os.listdir(top)) == sorted({"public", "main", "more", "twice", "lost", "adrift"})))
+    return _rows(spark, out, "site string, problem string, shown boolean")
+
+
 @_register(
     "select 'unknown' as problem, 'nation-' || n_nationkey as id, 'region-99' as about from nation where n_nationkey % 5 = 0 union all select 'missing', 'nation-' || n_nationkey, null from nation where n_nationkey % 7 = 0"
 )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.storage import cut
@@ -60,13 +62,44 @@ def rank_histogram(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("rank").agg(F.count("*").alias("nodes"))
 
 
-def fingerprint(rows: DataFrame, key: str, content: str, fan: int = 256) -> DataFrame:
+def fingerprint(rows: DataFrame, key: str, content: str) -> DataFrame:
     """One digest of a table of documents, whatever their order.
 
-    Rows are dealt to ``fan`` buckets by their digest; a bucket's digest is that of its sorted row
-    digests.  Where buckets grow large, more of them keep each small.
+    A tree over the hexadecimal digits of the row digests: a leaf's digest is that of the sorted row digests that
+    begin with its eight digits, an inner node's that of its children's in order, two digits at a time.  So a node
+    has at most 256 children and, of 2**32 leaves, a leaf few rows; equal rows count.
     """
     digest = F.sha2(F.concat_ws("\x00", F.col(key).cast("string"), content), 256)
-    one = rows.select(digest.alias("d")).withColumn("bucket", F.pmod(F.conv(F.substring("d", 1, 8), 16, 10).cast("bigint"), F.lit(fan)))
-    buckets = one.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("b"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "b"))), lambda x: x["b"]), ""), 256).alias("fingerprint"))
+    level = rows.select(digest.alias("name"), digest.alias("d"))
+    for digits in (8, 6, 4, 2, 0):
+        own = F.substring("name", 1, digits).alias("name") if digits else F.lit("").alias("name")
+        children = level.select(own, F.struct(F.col("name").alias("child"), "d").alias("c"))
+        level = children.groupBy("name").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["d"]), ""), 256).alias("d"))
+    return level.select(F.col("d").alias("fingerprint"))
+
+
+def ordered_digest(rows: DataFrame, key: str, content: str, first: bytes = b"") -> str:
+    """SHA-256 of ``first``, then key and content of every row in the order of keys, one after the other.
+
+    Such a digest has one order, so its rows stream through the driver, one partition at a time; for a corpus
+    of any size there is ``fingerprint``.
+    """
+    digest = hashlib.sha256(first)
+    for r in rows.select(F.col(key).cast("string").alias("k"), F.col(content).cast("string").alias("c")).orderBy("k").toLocalIterator():
+        digest.update((r.k or "").encode() + (r.c or "").encode())
+    return digest.hexdigest()
+
+
+def layout(ranked: DataFrame, edges: DataFrame, width: float = 200.0, height: float = 90.0) -> tuple[DataFrame, DataFrame]:
+    """((id, rank, place, x, y), (source, target, x1, y1, x2, y2)) of a drawing: a column for each rank.
+
+    ``ranked`` has id, rank and title; nodes of a column stand in the order of their titles, columns are centred.
+    """
+    placed = ranked.select("id", "rank", (F.row_number().over(Window.partitionBy("rank").orderBy("title", "id")) - 1).alias("place"))
+    rows = placed.groupBy("rank").agg(F.count("*").alias("rows"))
+    most = rows.agg(F.max("rows")).first()[0] or 0
+    nodes = placed.join(rows, "rank").select(
+        "id", "rank", "place", (F.col("rank") * F.lit(width)).alias("x"), ((F.lit(float(most)) - F.col("rows")) * F.lit(height) / 2 + F.col("place") * F.lit(height)).alias("y")
+    )
+    one, other = (nodes.select(F.col("id").alias(end), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for end, k in (("source", 1), ("target", 2)))
+    return nodes, edges.select("source", "target").join(one, "source").join(other, "target")

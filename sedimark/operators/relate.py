@@ -111,6 +111,11 @@ def unobserved(link_count: Column, observed: Column) -> Column:
     return F.when(link_count >= observed, link_count - observed)
 
 
+def with_unobserved_links(groups: DataFrame) -> DataFrame:
+    """The hard-link groups of which some links lie outside what was scanned."""
+    return groups.where("unobserved_link_count > 0")
+
+
 def group_id(prefix: str, first: Column, second: Column, digest) -> Column:
     """``prefix`` and 16 hexadecimal digits of the digest of "first:second"."""
     return F.concat(F.lit(prefix), F.substring(digest(F.concat_ws(":", first.cast("string"), second)), 1, 16))

@@ -148,6 +148,41 @@ def observe_file(row: dict, options: ScanOptions, runner=None, hook: Callable[[s
     }
 
 
+def hash_path(path: bytes, cancelled: Callable[[], bool] = lambda: False, hook: Callable[[str, bytes], None] = lambda stage, path: None) -> tuple[str | None, str]:
+    """(content hash, stability) of a path: a hash only if the file was the same before and after it was read."""
+    try:
+        expected = signature(os.lstat(path))
+    except OSError as error:
+        return None, instability(error)
+    try:
+        fd = os.open(path, os.O_RDONLY | os.O_NOFOLLOW)
+    except OSError as error:
+        return None, "became_symlink" if expected["is_symlink"] else instability(error)
+    try:
+        _compare(expected, signature(os.fstat(fd)), "replaced_during_scan", "before it was read")
+        digest = _hash(fd, cancelled)
+        hook("after_evidence", path)
+        _compare(expected, signature(os.fstat(fd)), "changed_during_hash", "while it was read")
+        _compare(expected, signature(os.lstat(path)), "replaced_during_scan", "after it was read")
+    except Unstable as error:
+        return None, error.stability
+    except OSError as error:
+        return None, instability(error)
+    finally:
+        os.close(fd)
+    return digest, "stable"
+
+
+def instability(error: OSError) -> str:
+    return "disappeared_during_scan" if isinstance(error, FileNotFoundError) else "unreadable"
+
+
+def has_content(path: bytes, size_bytes: int, content_hash: str) -> bool:
+    """Whether a path, read whole and without change, still has a size and a hash."""
+    digest, _ = hash_path(path)
+    return digest == content_hash and os.lstat(path).st_size == size_bytes
+
+
 def _observation(row: dict) -> dict:
     return dict.fromkeys(_COLUMNS) | {
         "observation_id": str(uuid.uuid4()), "path": row["path"], "path_key": row["path_key"], "components": row["components"], "size_bytes": row["size_bytes"],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LINK = r"""<(?:a|link|script|img)\b[^>]*?\b(?:href|src)\s*=\s*"([^"]*)\""""
@@ -32,6 +32,16 @@ def broken(links_table: DataFrame, targets: DataFrame) -> DataFrame:
     return links_table.where("is_local and path <> ''").join(targets.select("path").distinct(), "path", "left_anti")
 
 
+def resolved(own: Column, path: Column) -> Column:
+    """A reference's path from the root, as the page ``own`` means it: its folder before relative ones, steps taken."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace(own, "[^/]*$", ""), path))
+    steps = F.aggregate(
+        F.split(whole, "/"), F.array().cast("array<string>"),
+        lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s.isin("", "."), a).otherwise(F.concat(a, F.array(s))),
+    )
+    return F.when(path == "", own).otherwise(F.concat(F.lit("/"), F.array_join(steps, "/")))
+
+
 def broken_anchors(pages: DataFrame) -> DataFrame:
     """(page_id, link, path, anchor): local references to an anchor that its page doesn't have.
 
@@ -41,12 +51,7 @@ def broken_anchors(pages: DataFrame) -> DataFrame:
     found = links(pages.select(F.struct("page_id", F.col("path").alias("own")).alias("page_id"), "html")).where("is_local")
     raw = F.regexp_extract("link", "(?s)#(.*)$", 1)
     own, path = F.col("page_id.own"), F.col("path")
-    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace(own, "[^/]*$", ""), path))
-    steps = F.aggregate(
-        F.split(whole, "/"), F.array().cast("array<string>"),
-        lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s.isin("", "."), a).otherwise(F.concat(a, F.array(s))),
-    )
-    target = F.when(path == "", own).otherwise(F.concat(F.lit("/"), F.array_join(steps, "/")))
+    target = resolved(own, path)
     asked = found.select("page_id", "link", target.alias("path"), F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw).alias("anchor"), own.alias("own"))
     # the site generator's 404 page keeps a skip link without its target
     asked = asked.where("anchor <> '' and not (own like '%/404.html' and anchor = '__skip')").join(pages.select("path").distinct(), "path", "left_semi")

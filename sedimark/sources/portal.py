@@ -6,13 +6,18 @@ corpus with many faults reports them all at once.
 
 from __future__ import annotations
 
+import html
 import json
+import os
+import shutil
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.operators import graph
+from sedimark.sources import pages
 
 DOCUMENT_SCHEMA, PORTAL_SCHEMA = "sedimark.document/v1", "sedimark.portal.v1"
 # The fields of a document's front matter.
@@ -20,6 +25,7 @@ LISTS = ("owners", "governed_by", "depends_on", "related", "supersedes")
 SCALARS = ("schema", "id", "title", "kind", "version", "status", "created", "updated")
 _HEADER = r"(?s)^---\n(.*?)\n---(?:\n|$)"
 _LIST = r"(?m)^{}:[ ]*(?:\[\][ ]*)?\n?((?:  - .+\n?)*)"
+# The fields of the portal's configuration.
 _CONFIG = (
     "schema string, repository struct<sourceUrl: string, revision: string>, product map<string,string>, categories array<struct<id: string, title: string, documentIds: array<string>>>, "
     "runtimeLayers array<struct<id: string, title: string>>, platformBoundaries array<struct<id: string, title: string>>"
@@ -99,6 +105,7 @@ class Portal:
     documents: DataFrame
     edges: DataFrame
     config: DataFrame
+    config_text: str = ""
 
     def stats(self) -> DataFrame:
         counts = self.config.select(F.size("categories").alias("categories"), F.size("runtimeLayers").alias("layers"))
@@ -112,11 +119,48 @@ class Portal:
         shown = ("id", "title", "path", "category", "version", "status", *LISTS, "rank")
         return joined.select(*shown, F.concat("base", F.replace(F.url_encode("path"), F.lit("+"), F.lit("%20"))).alias("source_url")).orderBy("rank", "title")
 
+    def in_category(self, category: str) -> DataFrame:
+        return self.cards().where(F.col("category") == category)
+
+    def layout(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges of the dependency graph with their places in a drawing."""
+        ranked = graph.dag_rank(self.documents.select("id"), self.edges).join(self.documents.select("id", "title"), "id")
+        return graph.layout(ranked, self.edges.select(F.col("depends_on").alias("source"), F.col("id").alias("target")))
+
+    def drawing(self, box: tuple[int, int] = (160, 60)) -> str:
+        """The dependency graph as SVG; a node links to its document's card."""
+        nodes, lines = ([r.asDict() for r in rows.collect()] for rows in self.layout())
+        titles = {r.id: r.title for r in self.documents.select("id", "title").collect()}
+        wide, high = box
+        width, height = (max((n[c] for n in nodes), default=0) + size for c, size in (("x", wide), ("y", high)))
+        parts = [f'<svg viewBox="0 0 {width:g} {height:g}" role="img">']
+        for e in sorted(lines, key=lambda e: (e["source"], e["target"])):
+            parts.append(f'<line x1="{e["x1"] + wide:g}" y1="{e["y1"] + high / 2:g}" x2="{e["x2"]:g}" y2="{e["y2"] + high / 2:g}" stroke="currentColor"/>')
+        for n in sorted(nodes, key=lambda n: n["id"]):
+            name = html.escape(n["id"])
+            parts.append(f'<a href="#{name}"><rect x="{n["x"]:g}" y="{n["y"]:g}" width="{wide}" height="{high}" fill="none" stroke="currentColor"/>')
+            parts.append(f'<text x="{n["x"] + 8:g}" y="{n["y"] + high / 2:g}">{html.escape(titles[n["id"]])}</text></a>')
+        return "\n".join([*parts, "</svg>"])
+
+    def page(self) -> str:
+        """The portal as one HTML page: the drawing, then a section of cards for each category."""
+        data = self.dataset()
+        cards = {d["id"]: d for d in data["documents"]}
+        parts = ["<!doctype html>", '<meta charset="utf-8">', f"<title>{html.escape(str(data['product'].get('name', 'Documents')))}</title>", self.drawing()]
+        for category in data["categories"]:
+            parts.append(f"<section id=\"category-{html.escape(category['id'])}\"><h2>{html.escape(category['title'])}</h2>")
+            for name in category["documentIds"]:
+                card = cards[name]
+                needs = "".join(f'<li><a href="#{html.escape(x)}">{html.escape(cards[x]["title"])}</a></li>' for x in card["depends_on"])
+                parts.append(f'<article id="{html.escape(name)}"><h3><a href="{html.escape(card["source_url"])}">{html.escape(card["title"])}</a></h3><p>{html.escape(card["version"])}, {html.escape(card["status"])}</p><ul>{needs}</ul></article>')
+            parts.append("</section>")
+        return "\n".join(parts) + "\n"
+
     def dataset(self) -> dict:
         """The published document; a corpus of documents written by people fits one."""
         config = json.loads(self.config.select(F.to_json(F.struct("*"))).first()[0])
         config.pop("schema")
-        fingerprint = graph.fingerprint(self.documents, "path", "content").first()[0]
+        fingerprint = graph.ordered_digest(self.documents, "path", "content", self.config_text.encode())
         out = {"schema": PORTAL_SCHEMA, "sourceFingerprint": fingerprint, "stats": self.stats().first().asDict(), **config}
         out["documents"] = [r.asDict() for r in self.cards().collect()]
         out["edges"] = [{"from": r.depends_on, "to": r.id} for r in self.edges.orderBy("id", "depends_on").collect()]
@@ -133,6 +177,59 @@ def load(spark: SparkSession, folder: str, config_path: str) -> Portal:
         problems += [f"{r.side}: {r.id}" for r in coverage_problems(found, config).collect()]
     if problems:
         raise PortalError("; ".join(problems))
-    out = Portal(found, edges(found), config)
+    out = Portal(found, edges(found), config, spark.read.text(config_path, wholetext=True).first().value)
     graph.dag_rank(found.select("id"), out.edges)  # refuses a cycle
     return out
+
+
+def site_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, path, html) of the HTML files under a folder."""
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter="*.html", recursiveFileLookup=True)
+    whole = F.try_url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+    path = F.substring(whole, len(os.path.abspath(folder)) + 1, 1 << 20)
+    return found.select(F.xxhash64(path).alias("page_id"), path.alias("path"), F.col("value").alias("html"))
+
+
+def site_problems(spark: SparkSession, folder: str) -> list[str]:
+    """Local references of a site's pages to files or anchors that it lacks."""
+    found = site_pages(spark, folder)
+    top = os.path.abspath(folder)
+    files = [(os.path.join(d, n)[len(top) :],) for d, _, names in os.walk(top) for n in names]
+    targets = spark.createDataFrame(files, "path string") if files else spark.createDataFrame([], "path string")
+    own = found.select("page_id", F.col("path").alias("page"))
+    links = pages.links(found).where("is_local and path <> ''").join(own, "page_id").withColumn("path", pages.resolved(F.col("page"), F.col("path")))
+    lost = pages.broken(links, targets).select("page", "link")
+    anchors = pages.broken_anchors(found).join(own, "page_id").select("page", "link")
+    return sorted(f"{r.page}: {r.link}" for r in lost.union(anchors).distinct().collect())
+
+
+def compose_site(spark: SparkSession, folder: str, mounts: dict[str, str]) -> None:
+    """Put the folders of ``mounts`` (place in the site, source) together as ``folder``, whole or not at all.
+
+    The site is copied aside and checked there; two sources may not bring the same file.  One rename then
+    shows it in place of the one before.  Raises :class:`PortalError` and leaves everything as it was.
+    """
+    target = os.path.abspath(folder)
+    staged, before = (f"{target}.{kind}-{uuid.uuid4().hex}" for kind in ("staged", "before"))
+    try:
+        for place, source in mounts.items():
+            for above, _, names in os.walk(source):
+                at = os.path.normpath(os.path.join(staged, place.strip("/"), os.path.relpath(above, source)))
+                os.makedirs(at, exist_ok=True)
+                for name in names:
+                    if os.path.lexists(os.path.join(at, name)):
+                        raise PortalError(f"two sources bring {os.path.join(at, name)[len(staged):]}")
+                    shutil.copy2(os.path.join(above, name), os.path.join(at, name), follow_symlinks=False)
+        if problems := site_problems(spark, staged):
+            raise PortalError("; ".join(problems))
+        if os.path.lexists(target):
+            os.rename(target, before)
+        try:
+            os.rename(staged, target)
+        except OSError:
+            if os.path.lexists(before):
+                os.rename(before, target)
+            raise
+    finally:
+        shutil.rmtree(staged, ignore_errors=True)
+    shutil.rmtree(before, ignore_errors=True)

@@ -23,10 +23,10 @@ def test_every_query_is_over_whole_tables(spark, data):
 def test_base64_of_whole_texts(spark, data):
     """Nothing of a text is left out: the longest round trip is that of the longest text."""
     longest = spark.read.parquet(f"{data}/documents.parquet").selectExpr("max(octet_length(text))").first()[0]
-    assert longest > 360 and catalogue.queries()["base64_whole_text"](spark, data).agg({"n": "max"}).first()[0] == longest
+    assert longest > 360 and catalogue.queries()["base64_text"](spark, data).agg({"n": "max"}).first()[0] == longest
 
 
 def test_a_union_has_every_path(spark, data):
     every = {r.path_key for r in catalogue.queries()["observations_projection"](spark, data).select("path_key").collect()}
-    found = [r.path_key for r in catalogue.queries()["inventory_union_whole"](spark, data).collect()]
+    found = [r.path_key for r in catalogue.queries()["inventory_union_distinct"](spark, data).collect()]
     assert len(found) == len(every) and set(found) == every

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -33,6 +34,11 @@ def test_dataset(spark, folder):
     assert data["documents"][0]["source_url"] == "https://example.org/r/blob/a+b/base.md" and data["documents"][0]["owners"] == ["ada", "bo"]
     again = portal.load(spark, str(folder), str(folder / "portal.json")).dataset()
     assert again == data
+    files = [(folder / f"{n}.md") for n in ("base", "middle", "top")]
+    plain = hashlib.sha256((folder / "portal.json").read_bytes() + b"".join(f.name.encode() + f.read_bytes() for f in files))
+    assert data["sourceFingerprint"] == plain.hexdigest()
+    drawing = portal.load(spark, str(folder), str(folder / "portal.json")).drawing()
+    assert drawing.count("<rect") == 3 and drawing.count("<line") == 3
     (folder / "base.md").write_text((folder / "base.md").read_text() + "more\n")
     assert portal.load(spark, str(folder), str(folder / "portal.json")).dataset()["sourceFingerprint"] != data["sourceFingerprint"]
 

@@ -282,6 +282,36 @@ def test_races_never_give_current_evidence(tmp_path, change, stage):
     assert got["evidence_validity"] != "current" and got["content_hash"] is None and got["observation_stability"] != "stable"
 
 
+def test_hashes_by_path(tmp_path):
+    path = tmp_path / "f"
+    path.write_bytes(b"content")
+    raw = os.fsencode(path)
+    digest, kind = observe.hash_path(raw)
+    assert (digest, kind) == (blake3.hash_one(b"content"), "stable")
+    assert observe.has_content(raw, 7, digest) and not observe.has_content(raw, 8, digest) and not observe.has_content(raw, 7, "0" * 64)
+    assert observe.hash_path(raw, hook=lambda stage, p: path.write_bytes(b"other size"))[0] is None
+    os.symlink(path, tmp_path / "l")
+    assert observe.hash_path(os.fsencode(tmp_path / "l")) == (None, "became_symlink")
+    assert observe.hash_path(os.fsencode(tmp_path / "gone")) == (None, "disappeared_during_scan")
+
+
+def test_probes_by_path(tmp_path, monkeypatch):
+    """A tool that echoes JSON stands for the probe; a link isn't followed."""
+    (tmp_path / "tool").write_text('#!/bin/sh\necho \'{"format": {"format_name": "x", "bit_rate": "12"}, "streams": [{"index": 0, "sample_rate": "odd"}]}\'\n')
+    (tmp_path / "tool").chmod(0o755)
+    (tmp_path / "f").write_bytes(b"x")
+    monkeypatch.setattr(processes, "PROBE", (str(tmp_path / "tool"),))
+    got = processes.probe_path(os.fsencode(tmp_path / "f"), processes.Runner())
+    assert got["bit_rate"] == 12 and got["streams"][0]["sample_rate"] is None
+    os.symlink(tmp_path / "f", tmp_path / "l")
+    with pytest.raises(OSError):
+        processes.probe_path(os.fsencode(tmp_path / "l"), processes.Runner())
+    monkeypatch.setattr(os.path, "exists", lambda path: False)
+    with pytest.raises(processes.ToolError) as error:
+        processes.probe_path(os.fsencode(tmp_path / "f"), processes.Runner())
+    assert error.value.kind == "start_failed"
+
+
 def test_a_change_before_reading_is_observed_anew(tmp_path):
     path = tmp_path / "f"
     path.write_bytes(b"old")
