@@ -12,6 +12,8 @@ raw bytes.
 Index: a bucket of keys holds a :class:`LevelFamily`.  Each part of the documents is a batch; its sorted
 entries are merge-scanned against every level, the later of two equal entries is reported as removed,
 and what remains becomes a level; levels of like size merge, so there are O(log n) of them.
+:class:`RepeatIndex` keeps the families and the texts in a folder: documents that come later are a new
+batch of entries, scanned against the levels that are there, and lose what an earlier batch has.
 
 Two passes: whole segments first; then, for anchors whose K-byte string has several different segments,
 the single windows.  A part sends an entry once however often it holds it, and sends one mark for an
@@ -19,18 +21,24 @@ anchor string that it holds with several segments: a passage in a third of all d
 one entry a part in any bucket.  Fingerprints have 96 bits between parts.
 
 Edge cases: null or short texts lose nothing; null ``doc_id`` counts as smaller than all others; rows
-that repeat a ``doc_id`` are ordered by a hash of id and text; an empty table gives no rows; other columns are ignored.
+that repeat a ``doc_id`` are ordered by a hash of id and text; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSelector
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import cut, fan_out, mix64, slices, text_bytes
-from sedimark.llm.parts import ASK, answer_batches, ask_rows, ask_table, asked, deal, each_part, ids_of, in_order, joined, pack, payloads, runs_of, split_by, take, unpack, with_answers
+from sedimark.llm.common import cut, fan_out, filesystem, mix64, release, slices, text_bytes
+from sedimark.llm.parts import ANSWER, ASK, answer_batches, ask_rows, ask_table, asked, deal, each_part, ids_of, in_order, joined, pack, payloads, runs_of, split_by, take, unpack, with_answers
 from sedimark.llm.prints import span_names, window_names
 
 LENGTH = 100
@@ -39,8 +47,8 @@ K = 32
 SLICE = 1 << 19
 REMOVED, WINDOWS, SEGMENT, MARK = range(4)
 SPAN = {"row": "u4", "start": "u4", "length": "u4"}
-ENTRY = {"key": "u8", "check": "u4", "doc": "i8", "row": "u4", "start": "u4", "more": "u1"}
-HELD = ENTRY | {"part": "i4", "mark": "?"}
+ENTRY = {"key": "u8", "check": "u4", "doc": "i8", "row": "u4", "start": "u4", "more": "u1", "epoch": "u4"}
+HELD = ENTRY | {"part": "i4"}
 RESULT = "doc_id long, kept binary, n_bytes long, spans array<struct<start: long, end: long>>"
 
 
@@ -102,22 +110,26 @@ def first_of_each(entries: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarra
 
 def _before(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
     out = a["start"] < b["start"]
-    for c in ("row", "part", "doc"):
+    for c in ("row", "part", "doc", "epoch"):
         out = (a[c] < b[c]) | (a[c] == b[c]) & out
     return out
 
 
 class LevelFamily:
-    """Levels of sorted entries; an insert finds matches in every level and merges like-sized levels."""
+    """Levels of sorted entries; an insert finds matches in every level and merges like-sized levels.
+
+    Levels may come from files; those are never changed, since later batches don't come before them.
+    """
 
-    def __init__(self):
-        self.levels: list[dict[str, np.ndarray]] = []
+    def __init__(self, levels=(), files=()):
+        self.levels: list[dict[str, np.ndarray]] = list(levels)
+        self.files: list[str | None] = list(files)
 
     def insert(self, batch: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
         """Adds a batch without equal entries; the entries, old or new, that have an earlier equal."""
         lost = []
         batch = take(batch, np.argsort(batch["key"], kind="stable"))
-        for level in self.levels:
+        for k, level in enumerate(self.levels):
             if not len(batch["key"]):
                 return lost
             at = np.minimum(np.searchsorted(level["key"], batch["key"]), len(level["key"]) - 1)
@@ -127,25 +139,69 @@ class LevelFamily:
             mine, theirs = take(batch, same), take(level, at[same])
             sooner = _before(mine, theirs)
             lost += [take(mine, ~sooner), take(theirs, sooner)]
-            places = at[same][sooner]
-            for c in level:
-                level[c][places] = mine[c][sooner]
+            if sooner.any():
+                places = at[same][sooner]
+                for c in level:
+                    level[c][places] = mine[c][sooner]
+                self.files[k] = None
             batch = take(batch, ~same)
         if len(batch["key"]):
             self.levels.append(batch)
+            self.files.append(None)
         while len(self.levels) > 1 and len(self.levels[-2]["key"]) <= 2 * len(self.levels[-1]["key"]):
             self._merge()
         return lost
 
     def _merge(self) -> None:
         b, a = self.levels.pop(), self.levels.pop()
+        self.files[-2:] = [None]
         both = {c: np.concatenate([a[c], b[c]]) for c in a}
         self.levels.append(take(both, np.argsort(both["key"], kind="stable")))
 
     def all(self) -> dict[str, np.ndarray]:
-        while len(self.levels) > 1:
-            self._merge()
-        return self.levels[0] if self.levels else joined([], HELD)
+        return joined(self.levels, HELD)
+
+
+class _Kept:
+    """The kept family of one bucket in one pass: level files, and the anchor strings whose windows are indexed.
+
+    A bucket's list of files has the number of the batch that wrote it, so a batch that failed leaves the list
+    before it as it was; levels that a batch didn't touch keep their files.
+    """
+
+    def __init__(self, folder: str | None, name: str, epoch: int, bucket: int):
+        self.folder, self.epoch = f"{folder}/{name}/bucket-{bucket}", epoch
+        self.on = folder is not None
+
+    def load(self) -> tuple[LevelFamily, np.ndarray]:
+        if not self.on or not self.epoch:
+            return LevelFamily(), np.zeros(0, np.uint32)
+        files, top = filesystem(self.folder)
+        with files.open_input_stream(f"{top}/list-{self.epoch - 1}.json") as f:
+            listed = json.loads(f.read())
+        levels = []
+        for name in listed["levels"]:
+            with files.open_input_stream(f"{top}/{name}") as f:
+                levels.append(unpack(pa.py_buffer(f.read()), HELD))
+        with files.open_input_stream(f"{top}/{listed['marks']}") as f:
+            marks = np.frombuffer(f.read(), np.uint32)
+        return LevelFamily(levels, listed["levels"]), marks
+
+    def save(self, family: LevelFamily, marks: np.ndarray) -> None:
+        if not self.on:
+            return
+        files, top = filesystem(self.folder)
+        files.create_dir(top, recursive=True)
+
+        def write(name: str, raw: bytes) -> str:
+            with files.open_output_stream(f"{top}/{name}") as f:
+                f.write(raw)
+            return name
+
+        names = [old or write(f"level-{uuid.uuid4().hex}", pack(level, HELD)) for level, old in zip(family.levels, family.files)]
+        listed = {"levels": names, "marks": write(f"marks-{uuid.uuid4().hex}", marks.astype(np.uint32).tobytes())}
+        fresh = write(f"list-{uuid.uuid4().hex}", json.dumps(listed).encode())
+        files.move(f"{top}/{fresh}", f"{top}/list-{self.epoch}.json")  # a task that runs twice names its own files
 
 
 def _spans(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -154,12 +210,13 @@ def _spans(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 ASKED = {"row": "u4", "start": "u4", "more": "u1"}
+OLD = ASKED | {"part": "i4"}
 
 
-def _entry_rows(part: int, kind: int, entries: dict[str, np.ndarray], by: str, n: int) -> list[tuple]:
+def _entry_rows(part: int, kind: int, entries: dict[str, np.ndarray], by: str, n: int, epoch: int) -> list[tuple]:
     """Entries to their buckets; the half of the check that chose no bucket travels along."""
     bucket = (entries[by] % np.uint64(n)).astype(np.int64)
-    return ask_rows(part, kind, entries | {"check": entries["check"] >> np.uint64(32)}, bucket, ENTRY)
+    return ask_rows(part, kind, entries | {"check": entries["check"] >> np.uint64(32), "epoch": np.full(len(bucket), epoch)}, bucket, ENTRY)
 
 
 def _entries(docs: pa.Table, work) -> dict[str, np.ndarray]:
@@ -176,7 +233,7 @@ def _entries(docs: pa.Table, work) -> dict[str, np.ndarray]:
     return out
 
 
-def _to_buckets(n: int):
+def _to_buckets(n: int, epoch: int = 0):
     def ask(docs: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return ask_table([])
@@ -190,29 +247,33 @@ def _to_buckets(n: int):
         several = times[back] > 1
         if several.any():
             rows.append((part, part, WINDOWS, pack(take(found, several), ASKED)))
-            rows += _entry_rows(part, MARK, take(found, where[times > 1]), "check", n)
-        rows += _entry_rows(part, SEGMENT, take(found, ~several), "check", n)
+            rows += _entry_rows(part, MARK, take(found, where[times > 1]), "check", n, epoch)
+        rows += _entry_rows(part, SEGMENT, take(found, ~several), "check", n, epoch)
         return ask_table(rows)
 
     return ask
 
 
-def _held(raw, part: int, mark: bool) -> dict[str, np.ndarray]:
+def _held(raw, part: int) -> dict[str, np.ndarray]:
     got = unpack(raw, ENTRY)
-    n = len(got["key"])
-    return got | {"part": np.full(n, part, np.int32), "mark": np.full(n, mark)}
+    return got | {"part": np.full(len(got["key"]), part, np.int32)}
 
 
-def _match(last: bool):
-    """The work of a bucket: what is removed goes back as spans, segments to look into as WINDOWS."""
+def _match(last: bool, folder: str | None = None, epoch: int = 0):
+    """The work of a bucket: what is removed goes back as spans, segments to look into as WINDOWS.
+
+    Segments of an earlier batch are asked for under the negative number of their epoch, their part beside it.
+    """
 
     def match(batches):
-        family, lost, marks = LevelFamily(), [], []
+        kept = _Kept(folder, "windows" if last else "segments", epoch, TaskContext.get().partitionId() if folder else 0)
+        family, opened = kept.load()
+        lost, marks = [], [opened]
         for batch in batches:
             through = []
             for part, kind, raw in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("payload")):
                 if kind == SEGMENT:
-                    lost += family.insert(_held(raw.as_buffer(), part, False))
+                    lost += family.insert(_held(raw.as_buffer(), part))
                 elif kind == MARK:
                     marks.append(np.unique(unpack(raw.as_buffer(), ENTRY)["check"]))
                 else:
@@ -220,41 +281,63 @@ def _match(last: bool):
             yield from answer_batches(through)
         out = joined(lost, HELD)
         rows = [(p, REMOVED, pack(_spans(x), SPAN)) for p, x in split_by(out, out["part"])] if len(out["key"]) else []
-        if not last:
-            kept = family.all()
-            if len(kept["key"]):
-                _, back, times = np.unique(kept["check"], return_inverse=True, return_counts=True)
-                look = times[back] > 1
-                if marks:
-                    look |= np.isin(kept["check"], np.concatenate(marks))
-                again = take(kept, look)
-                rows += [(p, WINDOWS, pack(x, ASKED)) for p, x in split_by(again, again["part"])]
+        if not last and family.levels:
+            held = family.all()
+            _, back, times = np.unique(held["check"], return_inverse=True, return_counts=True)
+            look = times[back] > 1
+            look |= np.isin(held["check"], np.concatenate(marks))
+            marks.append(np.unique(held["check"][look]))
+            now = held["epoch"] == epoch
+            again = take(held, look & now)
+            rows += [(p, WINDOWS, pack(x, ASKED)) for p, x in split_by(again, again["part"])]
+            # those of earlier batches, unless an earlier one has looked into them already
+            again = take(held, look & ~now & ~np.isin(held["check"], opened))
+            for e, some in split_by(again, again["epoch"].astype(np.int64)):
+                rows += [(-1 - e, WINDOWS, pack(x, OLD)) for _, x in split_by(some, some["part"])]
             # a mark alone is a string that two parts or more hold with several segments: both ask already
+        kept.save(family, np.unique(np.concatenate(marks)))
         yield from answer_batches(rows)
 
     return match
 
 
-def _ask_windows(n: int):
+def _windows_of(docs: pa.Table, wanted: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The single windows of the wanted segments of a part's documents, which are in order."""
+    wanted = take(wanted, np.lexsort((wanted["start"], wanted["row"])))
+
+    def work(first, last, raw, offsets):
+        a, b = np.searchsorted(wanted["row"], [first, last])
+        return windows(raw, offsets, {"row": wanted["row"][a:b].astype(np.int64) - first, "start": wanted["start"][a:b], "more": wanted["more"][a:b]}) if b > a else None
+
+    return _entries(docs, work)
+
+
+def _ask_windows(n: int, epoch: int = 0):
     def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
             return ask_table([])
         part = docs.column("part")[0].as_py()
-        wanted = payloads(answers, WINDOWS, ASKED)
-        wanted = take(wanted, np.lexsort((wanted["start"], wanted["row"])))
         removed = payloads(answers, REMOVED, SPAN)
-
-        def work(first, last, raw, offsets):
-            a, b = np.searchsorted(wanted["row"], [first, last])
-            return windows(raw, offsets, {"row": wanted["row"][a:b].astype(np.int64) - first, "start": wanted["start"][a:b], "more": wanted["more"][a:b]}) if b > a else None
-
-        found = _entries(in_order(docs), work)
+        found = _windows_of(in_order(docs), payloads(answers, WINDOWS, ASKED))
         first, again = first_of_each(found)
         spans = _spans(take(found, again))
         all_spans = dict(zip(SPAN, runs_of(*(np.concatenate([removed[c].astype(np.int64), spans[c].astype(np.int64)]) for c in SPAN))))
         rows = [(part, part, REMOVED, pack(all_spans, SPAN))] if len(all_spans["row"]) else []
-        found = take(found, first)
-        return ask_table(rows + _entry_rows(part, SEGMENT, found, "key", n))
+        return ask_table(rows + _entry_rows(part, SEGMENT, take(found, first), "key", n, epoch))
+
+    return ask
+
+
+def _ask_old_windows(n: int, epoch: int):
+    """As _ask_windows for a part of an earlier batch: its windows go to the index, nothing of it is removed."""
+
+    def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows or not answers.num_rows:
+            return ask_table([])
+        part = docs.column("part")[0].as_py()
+        found = _windows_of(in_order(docs), payloads(answers, WINDOWS, OLD))
+        first, _ = first_of_each(found)
+        return ask_table(_entry_rows(part, SEGMENT, take(found, first), "key", n, epoch))
 
     return ask
 
@@ -285,6 +368,61 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return with_answers(parts, by_window, _finish, RESULT)
 
 
+class RepeatIndex:
+    """A family of levels and the texts behind it, kept in a folder that all executors share.
+
+    ``add`` takes a batch of documents as later than all before it: what one of its documents shares with an
+    earlier batch, or with an earlier document of its own, is removed from it.  Buckets are as many as the first
+    batch makes them, or as ``buckets`` says.  A batch that fails changes nothing and can be added again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+
+    def _state(self) -> dict:
+        files, top = filesystem(self.folder)
+        found = [x.base_name for x in files.get_file_info(FileSelector(top, allow_not_found=True)) if x.base_name.startswith("added-")]
+        if not found:
+            return {"epoch": 0, "n": self.buckets}
+        with files.open_input_stream(f"{top}/{max(found)}") as f:
+            return json.loads(f.read())
+
+    def _texts(self, epoch: int) -> str:
+        return f"{self.folder}/texts/epoch-{epoch}"
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Per document of the batch: as from ``remove_repeats``."""
+        state = self._state()
+        epoch, n = state["epoch"], state["n"] or fan_out(docs)
+        deal(docs, n).write.mode("overwrite").parquet(self._texts(epoch))
+        by_part = F.col("part")
+
+        def stored(e: int) -> DataFrame:
+            return self.spark.read.schema("part int, doc_id long, turn long, print long, text string").parquet(self._texts(e)).repartitionById(n, by_part)
+
+        parts = stored(epoch)
+        asks = each_part(parts, _to_buckets(n, epoch))
+        answers = cut(asks.repartitionById(n, F.col("bucket")).mapInArrow(_match(False, self.folder, epoch), ANSWER), "repeats-segments")
+        asks = with_answers(parts, answers.where("part >= 0").repartitionById(n, by_part), _ask_windows(n, epoch), ASK)
+        for e in sorted(-1 - r.part for r in answers.where("part < 0").select("part").distinct().collect()):
+            # the part that an old ask is for stands in its payload's own column
+            old = answers.where(F.col("part") == -1 - e).mapInArrow(_old_parts, ANSWER).repartitionById(n, by_part)
+            asks = asks.unionAll(with_answers(stored(e), old, _ask_old_windows(n, e), ASK))
+        found = cut(asks.repartitionById(n, F.col("bucket")).mapInArrow(_match(True, self.folder, epoch), ANSWER), "repeats-windows")
+        out = cut(with_answers(parts, found.repartitionById(n, by_part), _finish, RESULT), "repeats-kept")
+        release(answers, found)
+        files, top = filesystem(self.folder)
+        with files.open_output_stream(f"{top}/added-{epoch + 1:09d}.json") as f:
+            f.write(json.dumps({"epoch": epoch + 1, "n": n}).encode())
+        return out
+
+
+def _old_parts(batches):
+    for batch in batches:
+        rows = [(int(unpack(raw.as_buffer(), OLD)["part"][0]), kind, raw.as_py()) for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("payload"))]
+        yield from answer_batches(rows)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and the digest of what stays."""
     return remove_repeats(docs).select(

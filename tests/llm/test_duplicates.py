@@ -1,6 +1,7 @@
 """Line, string and near duplicates against brute force."""
 
 import hashlib
+import json
 import re
 from collections import Counter, defaultdict
 
@@ -19,9 +20,9 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(_FOLD))
 
 
-def brute_repeats(rows):
+def brute_repeats(rows, in_order=ordered):
     seen, out = set(), []
-    for doc_id, text in ordered(rows):
+    for doc_id, text in in_order(rows):
         raw = (text or "").encode()
         gone = bytearray(len(raw))
         for i in range(len(raw) - 99):
@@ -57,13 +58,46 @@ def test_repeats_at_every_offset(spark):
     check_repeats(frame(spark, rows), rows)
 
 
+def test_later_batches_meet_the_kept_index(spark, rows_of, tmp_path):
+    """Batches in any order of ids: what comes later loses what an earlier batch has, byte by byte."""
+    draw = np.random.default_rng(11)
+    source = "".join(map(chr, draw.integers(97, 123, 3000)))
+    # the same anchors in other surroundings, so that old segments have to be looked into
+    planted = [(10_000 + i, "".join(map(chr, draw.integers(97, 123, 40))) + source[37 * i : 37 * i + 90 + 3 * i] + "!" * 30) for i in range(40)]
+    rows = [*rows_of, *planted, (20_000, source)]
+    order = draw.permutation(len(rows))
+    batches = [[rows[i] for i in order[k::4]] for k in range(4)]
+    index = repeats.RepeatIndex(spark, str(tmp_path / "index"), buckets=5)
+    got = []
+    for some in batches:
+        kept = index.add(frame(spark, some, False)).collect()
+        got += [(str(r.doc_id), r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in kept]
+    expected = brute_repeats(None, lambda _: [r for some in batches for r in ordered(some)])
+    assert sorted(got) == expected
+    lists = [json.loads(p.read_text()) for p in (tmp_path / "index/segments").glob("bucket-*/list-3.json")]
+    assert len(lists) == 5 and all(len(x["levels"]) <= 12 for x in lists)
+
+
+def test_a_batch_that_fails_can_be_added_again(spark, tmp_path, monkeypatch):
+    rows = [[(1, "x" * 50 + BASE), (2, PASSAGE)], [(0, BASE + PASSAGE)]]
+    index = repeats.RepeatIndex(spark, str(tmp_path / "index"), buckets=3)
+    index.add(frame(spark, rows[0], False))
+    with monkeypatch.context() as patch:
+        patch.setattr(repeats, "_finish", None)
+        with pytest.raises(Exception):
+            index.add(frame(spark, rows[1], False))
+    (one,) = index.add(frame(spark, rows[1], False)).collect()
+    expected = brute_repeats(None, lambda _: [r for some in rows for r in ordered(some)])
+    assert (str(one.doc_id), one.n_bytes, one.n_bytes - len(one.kept), len(one.spans), hashlib.sha256(one.kept).hexdigest()) == expected[0]
+
+
 def test_the_level_family_keeps_few_levels():
     family = repeats.LevelFamily()
     draw = np.random.default_rng(1)
     for i in range(200):
         keys = np.unique(draw.integers(0, 1 << 60, 50)).astype("u8")
         n = len(keys)
-        family.insert({"key": keys, "check": np.zeros(n, "u4"), "doc": np.full(n, i), "row": np.zeros(n, "u4"), "start": np.zeros(n, "u4"), "more": np.zeros(n, "u1"), "part": np.zeros(n, "i4"), "mark": np.zeros(n, bool)})
+        family.insert({"key": keys, "check": np.zeros(n, "u4"), "doc": np.full(n, i), "row": np.zeros(n, "u4"), "start": np.zeros(n, "u4"), "more": np.zeros(n, "u1"), "epoch": np.zeros(n, "u4"), "part": np.zeros(n, "i4")})
     assert len(family.levels) <= 10
     assert all((np.diff(level["key"].astype("f8")) >= 0).all() for level in family.levels)
 
