@@ -37,8 +37,8 @@ from sedimark.llm.elias_fano import EliasFano
 _MAGIC = b"SMTB"
 _HEAD = struct.Struct("<4sBBHQq")
 #: Distinct pre-tokens that one worker remembers before it starts anew, and characters in them.
-MEMO_WORDS = 1_500_000
-MEMO_CHARS = 48 << 20
+MEMO_WORDS = 1_000_000
+MEMO_CHARS = 32 << 20
 #: Characters below this have had the same classes in all Unicode versions since 5.0.
 _SETTLED = 0x250
 #: Text of one shard, about.
@@ -221,7 +221,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0)
     manifest count, so a lost executor or a speculative copy leaves at most files that nothing reads.  An
     id with very many rows is spread by the beginning of the text, and a task closes a shard when it is full.
     """
-    order = ["doc_id", F.substring("text", 1, 64)]
+    order = ["doc_id", F.substring("text", 1, 8)]
     most = SHARD_BYTES
     ranged = doc_rows(docs).repartitionByRange(fan_out(docs, most), *order).sortWithinPartitions(*order, "text")
 
