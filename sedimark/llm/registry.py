@@ -14,8 +14,8 @@ from sedimark.llm.lines import line_report, line_sql
 from sedimark.llm.media import media_columns
 from sedimark.llm.pieces import encoding_report
 from sedimark.llm.quality import quality
-from sedimark.llm.repeats import repeats
-from sedimark.llm.secrets import secret_scan
+from sedimark.llm.repeats import REPEATS_SQL, repeats
+from sedimark.llm.secrets import scan_sql, secret_scan
 from sedimark.llm.token_binary import token_binary
 
 #: Bytes of text from which a run counts in op2_line_dedup_long_runs.
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_sql(), "op2_line_dedup_long_runs": line_sql(LONG_RUN), "op5_jaccard": JACCARD_SQL, "op7_decontaminate": MATCHES_SQL}
+    return {"op3_repeats": REPEATS_SQL, "op2_line_dedup": line_sql(), "op2_line_dedup_long_runs": line_sql(LONG_RUN), "op5_jaccard": JACCARD_SQL, "op7_decontaminate": MATCHES_SQL, "op10_secret_scan": scan_sql()}

@@ -432,3 +432,25 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: The same by definition: every window of every text, cut from blocks of its bytes in hexadecimal.
+REPEATS_SQL = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n from documents),
+blocks as (
+  select doc_id, k * 500 as base, substr(h, k * 1000 + 1, 1000 + {2 * LENGTH}) as piece, least(500, n - {LENGTH - 1} - k * 500) as windows
+  from (select *, unnest(range(0, cast(ceil((n - {LENGTH - 1}) / 500.0) as bigint))) as k from d where n >= {LENGTH})),
+w as (select doc_id, base + i as p, md5(substr(piece, 2 * i + 1, {2 * LENGTH})) as m from (select *, unnest(range(0, windows)) as i from blocks)),
+firsts as (select m, min((doc_id, p)) as f from w group by m having count(*) > 1),
+later as (select doc_id, p from w join firsts using (m) where (doc_id, p) <> f),
+marked as (select *, case when p > lag(p) over (partition by doc_id order by p) + {LENGTH} then 1 else 0 end as fresh from later),
+islands as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as k from marked),
+spans as (select doc_id, min(p) as a, max(p) + {LENGTH} as b from islands group by doc_id, k),
+gaps as (
+  select doc_id, lag(b, 1, 0) over (partition by doc_id order by a) as s, a as e from spans
+  union all select doc_id, max(b), 1000000000000 from spans group by doc_id),
+kept as (select doc_id, string_agg(substr(h, 2 * s + 1, 2 * (least(e, n) - s)), '' order by s) as rest from gaps join d using (doc_id) group by doc_id),
+lost as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from spans group by doc_id)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(rest, h))) as kept_sha256
+from d left join lost using (doc_id) left join kept using (doc_id)
+"""

@@ -215,3 +215,30 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return doc_rows(docs).mapInArrow(scan, RESULT)
+
+
+# The rules once more in RE2's spelling, where a letter in either case is a class of two.
+_RE2 = {
+    "assign": r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+}
+
+
+def scan_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same by definition: every rule over every whole text; a match starts where the gaps and matches before it end."""
+    parts = []
+    for k, rule in enumerate(rules):
+        pattern = _RE2.get(rule.kind, rule.pattern).replace("'", "''")
+        kept = f"length(regexp_extract(m, '{pattern}', {rule.group}))" if rule.group else "length(m)"
+        parts.append(
+            f"select doc_id, {k} as k, '{rule.kind}' as kind, p, p + length(m) as q from (select doc_id, m, cast(coalesce(sum(length(gap) + length(m)) over w, 0) + length(gap) as bigint) as p "
+            f"from (select doc_id, unnest(regexp_extract_all(t, '{pattern}')) as m, unnest(regexp_split_to_array(t, '{pattern}')) as gap, generate_subscripts(regexp_split_to_array(t, '{pattern}'), 1) as i from d) "
+            f"window w as (partition by doc_id order by i rows between unbounded preceding and 1 preceding)) where m is not null and {kept} >= {rule.least}"
+        )
+    base = ", ".join(f"'{k}'" for k in BASE)
+    counts = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in BASE)
+    span = "kind || ':' || p || ':' || q"
+    return (
+        "with d as (select doc_id, coalesce(text, '') as t from documents), s as (" + " union all ".join(parts) + ") "
+        f"select d.doc_id, {counts}, sha256(coalesce(string_agg({span}, ',' order by p, k) filter (where kind in ({base})), '')) as base_sha256, "
+        f"coalesce(string_agg({span}, ',' order by p, k), '') as spans from d left join s using (doc_id) group by d.doc_id"
+    )
