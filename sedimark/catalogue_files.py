@@ -23,7 +23,8 @@ from sedimark.operators import cache, diagnostics, relate
 from sedimark.runs import policy, publish
 from sedimark.runs.engine import Engine, Signals
 from sedimark.runs.outcome import CommandResult, Diagnostic, Refused, blocking, coalesced, escaped
-from sedimark.runs.state import StateStore
+from sedimark.runs.state import MIGRATIONS, StateStore
+from sedimark.schemas import column_names
 from sedimark.sources import filesystem, observe, pages, portal, processes
 from sedimark.storage import scratch_path
 from sedimark.streaming import incremental
@@ -660,6 +661,50 @@ def odd_paths(spark, sf_dir):
     return _rows(spark, out, "n int, key_rank int, round_trip boolean, is_utf8 boolean, printable boolean")
 
 
+@_register(
+    "with p as (select '/' || page_id || '.html' as path, html from pages), r as (select '/' || page_id || '.html' as path, unnest([url, 'href=\"https://', 'required word']) as copy from pages union all select '/absent.html', 'x') "
+    "select r.path, r.copy from r left join p using (path) where p.path is null or not contains(p.html, r.copy)"
+)
+def required_copy(spark, sf_dir):
+    """What pages must say and don't: their own address, a link, a word; and a page that isn't there."""
+    path = F.concat(F.lit("/"), F.col("page_id").cast("string"), F.lit(".html"))
+    held = spark.read.parquet(f"{sf_dir}/pages.parquet").select(path.alias("path"), "html", "url")
+    asked = held.select("path", F.explode(F.array("url", F.lit('href="https://'), F.lit("required word"))).alias("copy"))
+    asked = asked.unionAll(spark.createDataFrame([("/absent.html", "x")], "path string, copy string"))
+    return pages.missing_copy(held, asked)
+
+
+@_register(
+    "select v as version, 5 as migrated, (select count(*) from documents) as kept, case when v = 5 then (select count(*) from documents) else 0 end as hits, (select count(*) from documents) as after "
+    "from (select unnest([1, 2, 3, 4, 5]) as v)"
+)
+def state_migrations(spark, sf_dir):
+    """A cache written in each older layout: it opens, its rows stay, those without a whole signature are no hits, and new ones take their places."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    nothing = {"content_type": "string", "media_kind": "string", "status": "string", "warnings": "array<string>", "probe_signature": "string"}
+    out = []
+    for version, _ in MIGRATIONS:
+        store = StateStore(spark, _folder(spark, f"state-{version}"))
+        store.open()
+        rows = docs.select(
+            F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path_key"), F.lit(3).cast("long").alias("size_bytes"), F.lit(7).cast("long").alias("modified_unix_ns"), F.lit("h").alias("content_hash"),
+            F.lit("d").alias("filesystem_id"), F.col("doc_id").cast("string").alias("file_id"), F.lit("current").alias("evidence_validity"), F.lit(9).cast("long").alias("changed_unix_ns"),
+            F.lit(None).cast(dict(store.cache().dtypes)["media"]).alias("media"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()),
+        )
+        held = [c for number, ddl in MIGRATIONS for c in column_names(ddl) if number <= version]
+        rows.select(*held).write.parquet(store._at("cache", "old"))
+        with open(store._at("cache", "CURRENT"), "w") as f:
+            f.write("old")
+        with open(store._at("version.json"), "w") as f:
+            json.dump({"version": version}, f)
+        store.open()
+        kept = store.cache().count()
+        hits = cache.lookup(rows.select("path_key", *cache.SIGNATURE), store.cache().select("path_key", *cache.SIGNATURE, "content_hash")).where("cache_hit").count()
+        store.remember(rows)
+        out.append((version, store.version(), kept, hits, store.cache().count()))
+    return _rows(spark, out, "version int, migrated int, kept long, hits long, after long")
+
+
 @_register("select doc_id, doc_id % 2 = 0 and coalesce(octet_length(encode(text)), 0) > 0 as hit from documents")
 def cache_by_state_store(spark, sf_dir):
     """The stored cache after an upsert: a signature that has changed, or lacks its identity, isn't a hit."""

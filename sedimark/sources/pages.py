@@ -57,3 +57,9 @@ def broken_anchors(pages: DataFrame) -> DataFrame:
     asked = asked.where("anchor <> '' and not (own like '%/404.html' and anchor = '__skip')").join(pages.select("path").distinct(), "path", "left_semi")
     held = anchors(pages.select(F.col("path").alias("page_id"), "html")).withColumnRenamed("page_id", "path")
     return asked.join(held, ["path", "anchor"], "left_anti").select("page_id.page_id", "link", "path", "anchor")
+
+
+def missing_copy(pages: DataFrame, required: DataFrame) -> DataFrame:
+    """The rows of ``required`` (path, copy) whose page is absent or doesn't hold the copy as its text stands."""
+    held = required.join(pages.select("path", "html"), "path").where(F.contains("html", "copy")).select("path", "copy")
+    return required.select("path", "copy").join(held, ["path", "copy"], "left_anti")
