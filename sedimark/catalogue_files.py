@@ -180,7 +180,8 @@ def path_hashes(spark, sf_dir):
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
-    hashed = found.files.select("path", "path_key", "size_bytes").mapInArrow(work, "path_key string, digest string, stability string, verified boolean")
+    spread = found.files.select("path", "path_key", "size_bytes").repartition(4 * spark.sparkContext.defaultParallelism)
+    hashed = spread.mapInArrow(work, "path_key string, digest string, stability string, verified boolean")
     path = _relative(root)
     firsts = hashed.groupBy("digest").agg(F.min(path).alias("first_of_content"))
     return hashed.join(firsts, "digest").select(path.alias("path"), "stability", "first_of_content", "verified")

@@ -218,4 +218,5 @@ def observe(found: DataFrame, options: ScanOptions, run_id: str, stop: str | Non
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return found.mapInArrow(work, ddl)
+    # rows are small and work isn't: tasks are as many as keep all cores busy, not as the rows' bytes would make them
+    return found.repartition(4 * found.sparkSession.sparkContext.defaultParallelism).mapInArrow(work, ddl)
