@@ -145,7 +145,7 @@ def blake3_groups(spark, sf_dir):
     """
     candidates, _ = relate.split_candidates(_table(spark, sf_dir, "documents").select("text", F.octet_length("text").cast("long").alias("size_bytes")))
     digest = blake3.blake3_udf()
-    hashed = candidates.select(F.sha2("text", 256).alias("content_hash"), "text").dropDuplicates(["content_hash"]).select("content_hash", digest("text").alias("blake3"))
+    hashed = candidates.select(F.sha2("text", 256).alias("content_hash"), digest("text").alias("blake3")).dropDuplicates(["content_hash"])
     rows = _observed(spark, sf_dir).join(hashed, "content_hash", "left").drop("content_hash").withColumnRenamed("blake3", "content_hash")
     groups = relate.exact_groups(rows, digest)
     times = groups.groupBy("content_hash").agg(F.count("*").cast("int").alias("groups_of_digest"))
