@@ -25,8 +25,10 @@ stands for a space in pieces, comes back as a space, as in the library.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -114,6 +116,7 @@ class Pieces:
         if any("\n" in x or SPACE in x.lstrip(SPACE) for x in names):
             raise ValueError("pieces cross words")
         self.longest = max(map(len, names))
+        self.index = {x: i for i, x in enumerate(names)}
         flat = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(x) for x in names])
         prints = _Sums(flat)
@@ -279,42 +282,42 @@ def encode_words(pieces: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarr
 
 
 def _long_word(pieces: Pieces, word: str) -> np.ndarray:
-    """Ids of one long word; its BPE merges come from a heap, so the time stays near linear."""
+    """Ids of one long word; its BPE merges come from a heap, so the time stays near linear.
+
+    Of its lattice only the edges of neighbouring symbols are looked up, as they come to stand side by side, so
+    the memory is some tens of bytes a character.
+    """
     if pieces.kind != BPE:
         return encode_words(pieces, [word])[0]
-    import heapq
-
-    lattice, _ = edges(pieces, [word])
-    n = len(word)
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = [True] * n
-    heap: list[tuple[int, int, int]] = []
-
-    def offer(a: int) -> None:
-        b = end[a]
-        if b < n and end[b] - a <= pieces.longest and (piece := lattice[a, end[b] - a - 1]) >= 0:
-            heapq.heappush(heap, (-int(pieces.rank[piece]), a, end[b]))
-
+    n, longest, find, rank = len(word), pieces.longest, pieces.index.get, pieces.rank.tolist()
+    end, before, alive = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), bytearray(b"\1") * n
+    most, heap = max(rank), []
     for a in range(n - 1):
-        offer(a)
+        if (piece := find(word[a : a + 2])) is not None:
+            heap.append((most - rank[piece]) << 80 | a << 40 | a + 2)
+    heapq.heapify(heap)
+    low = (1 << 40) - 1
     while heap:
-        _, a, stop = heapq.heappop(heap)
-        if not alive[a] or end[a] >= n or end[end[a]] != stop:
+        top = heapq.heappop(heap)
+        a, stop = top >> 40 & low, top & low
+        b = end[a]
+        if not alive[a] or b >= n or end[b] != stop:
             continue
-        alive[end[a]] = False
+        alive[b] = 0
         end[a] = stop
         if stop < n:
             before[stop] = a
-        if before[a] >= 0:
-            offer(before[a])
-        offer(a)
-    out: list[np.ndarray] = []
-    a = 0
+        for x in (before[a], a):
+            if x >= 0 and (y := end[x]) < n and end[y] - x <= longest and (piece := find(word[x : end[y]])) is not None:
+                heapq.heappush(heap, (most - rank[piece]) << 80 | x << 40 | end[y])
+    out, a = array("i"), 0
+    ids, bytes_of = pieces.ids.tolist(), pieces.byte.tolist()
     while a < n:
-        piece = lattice[a, end[a] - a - 1] if end[a] - a <= pieces.longest else -1
-        out.append(pieces.ids[piece : piece + 1] if piece >= 0 else pieces.byte[np.frombuffer(word[a : end[a]].encode("utf-8", "surrogatepass"), np.uint8)])
+        symbol = word[a : end[a]]
+        piece = find(symbol) if len(symbol) <= longest else None
+        out.extend([ids[piece]] if piece is not None else [bytes_of[x] for x in symbol.encode("utf-8", "surrogatepass")])
         a = end[a]
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
+    return np.frombuffer(out, np.int32) if len(out) else np.zeros(0, np.int32)
 
 
 class _Numbered(dict):

@@ -213,6 +213,22 @@ def test_pieces_equal_the_library(rows_of):
         assert raw[a:b].tobytes().decode() == text.replace("▁", " ")
 
 
+def test_long_words_equal_the_library(rows_of):
+    """Text without spaces is one word a line: its merges come from a heap, in memory in proportion to it."""
+    import sentencepiece
+    import tracemalloc
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=model), pieces.Encoder(model)
+    long = "".join(t for _, t in rows_of if t).replace(" ", "").replace("\n", "")[:200_000]
+    for text in (long, "ñ日" * 20_000, "a" * 50_000):
+        tracemalloc.start()
+        ids, _ = own.encode([text])
+        assert tracemalloc.get_traced_memory()[1] < 250 * len(text)
+        tracemalloc.stop()
+        assert ids.tolist() == library.encode(text)
+
+
 def test_viterbi_is_the_best_path():
     """Against a plain search over all paths; ids decode to the word."""
     own = pieces.Pieces(tokenizer_path("piece_bpe_32k.model"))
