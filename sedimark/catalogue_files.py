@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark import cli
+from sedimark.functions import blake3, media
 from sedimark.functions import paths as path_functions
-from sedimark.operators import cache, diagnostics, relate
+from sedimark.operators import cache, diagnostics, graph, relate
 from sedimark.runs import policy, publish
+from sedimark.runs.contracts import SCHEMAS, problems
 from sedimark.runs.engine import Engine, Signals
-from sedimark.runs.outcome import CommandResult, Diagnostic, Refused, blocking, coalesced, escaped
+from sedimark.runs.outcome import CommandResult, Diagnostic, Refused, blocking, coalesced, escaped, human
 from sedimark.runs.state import MIGRATIONS, StateStore
 from sedimark.schemas import column_names
 from sedimark.sources import filesystem, observe, pages, portal, processes
@@ -723,6 +725,207 @@ def cache_by_state_store(spark, sf_dir):
     return cache.lookup(again, store.cache().select("path_key", *cache.SIGNATURE, "content_hash")).select("doc_id", F.col("cache_hit").alias("hit"))
 
 
+@_register(_FILES_SQL + "select path, size_bytes, true as same_by_handle, false as bare_identity, 0 as warnings from files union all select '/absent', 7, true, false, 1")
+def file_metadata(spark, sf_dir):
+    """Allocation and identity by path and by open file; a path that isn't there is a warning."""
+    root, found = _scanned(spark, sf_dir)
+
+    def one(path: str, size: int) -> dict:
+        raw = path.encode()
+        got = filesystem.allocation_of_path(raw, size)
+        same, bare = True, None
+        if got["identity"]:
+            fd = os.open(raw, os.O_RDONLY)
+            try:
+                handle = filesystem.metadata_of_file(fd)
+            finally:
+                os.close(fd)
+            same = all(handle[k] == v for k, v in (got["allocation"] | got["identity"]).items() if k != "platform")
+            bare = filesystem.bare_signature(os.lstat(raw))["file_id"]
+        return {"path": path, "size_bytes": got["allocation"]["logical_size_bytes"], "same_by_handle": same, "bare_identity": bare is not None, "warnings": len(got["warnings"])}
+
+    def work(batches):
+        schema = pa.schema([("path", pa.string()), ("size_bytes", pa.int64()), ("same_by_handle", pa.bool_()), ("bare_identity", pa.bool_()), ("warnings", pa.int32())])
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([one(p, n) for p, n in zip(*(batch.column(c).to_pylist() for c in ("path_key", "size_bytes")))], schema=schema)
+
+    asked = found.files.select("path_key", "size_bytes").unionAll(spark.createDataFrame([(f"{root}/absent", 7)], "path_key string, size_bytes long"))
+    return asked.mapInArrow(work, "path string, size_bytes long, same_by_handle boolean, bare_identity boolean, warnings int").withColumn("path", _relative(root, "path"))
+
+
+@_register(
+    "select * from (values ('handle', 12, 'video', null, true), ('path', 12, 'video', null, true), ('link', null, null, 'refused', false), ('status', null, 'tool 1.0', null, true), ('no tool', null, null, 'absent', false)) t(how, bit_rate, told, problem, found)"
+)
+def media_probes(spark, sf_dir):
+    """A probe through an open file, by path and by link, and where the tool is; a script stands for the tool."""
+    top = _folder(spark, "probe")
+    with open(f"{top}/ffprobe", "w") as f:
+        f.write('#!/bin/sh\nif [ "$1" = "-version" ]; then echo "tool 1.0"; exit; fi\necho \'{"format": {"bit_rate": "12"}, "streams": [{"codec_type": "video", "sample_rate": "odd"}]}\'\n')
+    os.chmod(f"{top}/ffprobe", 0o755)
+    with open(f"{top}/file", "w") as f:
+        f.write("x")
+    os.symlink(f"{top}/file", f"{top}/link")
+    before, runner, out = os.environ.get("PATH", ""), processes.Runner(), []
+    os.environ["PATH"] = f"{top}:{before}"
+    try:
+        with open(f"{top}/file", "rb") as f:
+            got = processes.probe(f.fileno(), runner)
+        out.append(("handle", got["bit_rate"], got["streams"][0]["codec_type"], None, got["streams"][0]["sample_rate"] is None))
+        got = processes.probe_path(f"{top}/file".encode(), runner)
+        out.append(("path", got["bit_rate"], got["streams"][0]["codec_type"], None, got["streams"][0]["sample_rate"] is None))
+        try:
+            processes.probe_path(f"{top}/link".encode(), runner)
+        except OSError:
+            out.append(("link", None, None, "refused", False))
+        status = processes.tool_status("ffprobe", "media metadata")
+        out.append(("status", None, status["version"], None, status["available"]))
+        status = processes.tool_status("no-such-tool", "nothing")
+        out.append(("no tool", None, status["version"], None if status["available"] else "absent", status["available"]))
+    finally:
+        os.environ["PATH"] = before
+    return _rows(spark, out, "how string, bit_rate int, told string, problem string, found boolean")
+
+
+_RACES = ("replace", "truncate", "grow", "chmod", "link", "remove")
+
+
+@_register(
+    "select change, stage, false as is_current, false as has_hash, case when change = 'none' then 1 else 2 end as attempts from (select unnest(['replace', 'truncate', 'grow', 'chmod', 'link', 'remove']) as change), "
+    "(select unnest(['after_open', 'after_evidence']) as stage) union all select 'none', 'after_open', true, true, 1 union all select 'before', 'after_open', true, true, 2"
+)
+def observation_races(spark, sf_dir):
+    """A file that changes while it is read, at every attempt, never gives current evidence; one that changed before does at the second."""
+    top, out = _folder(spark, "races"), []
+
+    def changed(change: str, path: str) -> None:
+        if change == "replace":
+            with open(f"{path}.new", "wb") as f:
+                f.write(b"content")
+            os.replace(f"{path}.new", path)
+        elif change == "truncate":
+            os.truncate(path, max(0, os.path.getsize(path) - 1))
+        elif change == "grow":
+            with open(path, "ab") as f:
+                f.write(b"more")
+        elif change == "chmod":
+            os.chmod(path, os.stat(path).st_mode ^ 0o040)
+        elif change == "link":
+            os.link(path, f"{path}.{publish.uuid7()}")
+        elif change == "remove" and os.path.exists(path):
+            os.rename(path, f"{path}.gone")
+            with open(path, "wb") as f:
+                f.write(b"another")
+
+    for change in (*_RACES, "none", "before"):
+        for stage in ("after_open", "after_evidence") if change in _RACES else ("after_open",):
+            path = f"{top}/{change}-{stage}"
+            with open(path, "wb") as f:
+                f.write(b"content")
+            row = filesystem.file_row(path.encode(), os.lstat(path)) | {"needs_hash": True, "cache_hit": False}
+            if change == "before":
+                changed("grow", path)
+
+            def hook(at, _path, change=change, stage=stage, path=path):
+                if at == stage:
+                    changed(change, path)
+
+            got = observe.observe_file(row, filesystem.ScanOptions(probe_media=False), hook=hook)
+            out.append((change, stage, got["evidence_validity"] == "current", got["content_hash"] is not None, got["attempt_count"]))
+    return _rows(spark, out, "change string, stage string, is_current boolean, has_hash boolean, attempts int")
+
+
+@_register("select * from (values ('success', 'c: success', ''), ('partial', 'c: partial success, coverage partial', ''), ('escaped', 'c: invalid input', 'error: bad\\x1b[31m (2 times)')) t(name, first_line, errors)")
+def command_text(spark, sf_dir):
+    """What a person reads: one line for the outcome, diagnostics with their counts, nothing that acts on a terminal."""
+    cases = (("success", {}), ("partial", {"coverage": "partial", "result": {"summary": {"file_count": 1}}}), ("escaped", {"diagnostics": [blocking("a", "input", "bad\x1b[31m")] * 2}))
+    out = []
+    for name, told in cases:
+        text, errors = human(CommandResult.resolve("c", **told))
+        out.append((name, text.splitlines()[0], errors.strip()))
+    return _rows(spark, out, "name string, first_line string, errors string")
+
+
+@_register(
+    "select * from (values ('config', 'whole', true), ('config', 'unknown key', false), ('config', 'odd value', false), ('command_result', 'whole', true), ('command_result', 'success with code 2', false), "
+    "('command_result', 'failure with code 0', false), ('effective_policy', 'whole', true), ('effective_policy', 'without fingerprints', false)) t(contract, document, valid)"
+)
+def contract_checks(spark, sf_dir):
+    config = {"schema": policy.CONFIG_SCHEMA, "scan": {"probe_media": True}}
+    result = CommandResult.resolve("c").as_dict()
+    whole = policy.resolve(no_config=True, environment={"HOME": "/"}).policy
+    cases = (
+        ("config", "whole", config), ("config", "unknown key", config | {"more": 1}), ("config", "odd value", config | {"output": {"format": "xml"}}), ("command_result", "whole", result),
+        ("command_result", "success with code 2", result | {"exit_code": 2}), ("command_result", "failure with code 0", result | {"outcome": "internal_failure"}), ("effective_policy", "whole", whole),
+        ("effective_policy", "without fingerprints", {k: v for k, v in whole.items() if k != "fingerprints"}),
+    )
+    return _rows(spark, [(contract, name, not list(problems(SCHEMAS[contract], document))) for contract, name, document in cases], "contract string, document string, valid boolean")
+
+
+@_register(
+    "with b as (select doc_id, encode(coalesce(text, '')) as raw from documents) select doc_id, case doc_id % 4 when 0 then 'image/png' when 1 then 'application/pdf' when 2 then 'video/mp4' end as content_type, "
+    "case doc_id % 4 when 0 then 'image' when 1 then 'other' when 2 then 'video' else 'unknown' end as media_kind, case when doc_id % 2 = 0 then 'analyzed' else 'unsupported' end as status from b"
+)
+def media_sniffing(spark, sf_dir):
+    """Texts behind the first bytes of a format, and behind none."""
+    n = F.col("doc_id") % 4
+    mark = F.when(n == 0, F.lit(b"\x89PNG\r\n\x1a\n")).when(n == 1, F.lit(b"%PDF")).when(n == 2, F.lit(b"\0\0\0\x18ftypisom")).otherwise(F.lit(b"plain "))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(mark, F.coalesce("text", F.lit("")).cast("binary")).alias("raw"))
+    kinds = rows.select("doc_id", media.sniffed(F.col("raw")).alias("content_type"))
+    kinds = kinds.withColumn("media_kind", media.media_kind(F.col("content_type")))
+    return kinds.withColumn("status", media.status(F.col("media_kind")))
+
+
+@_register("select * from (values ('time', true), ('unique', true), ('ordered', true), ('version', true), ('variant', true)) t(property, holds)")
+def run_identifiers(spark, sf_dir):
+    """Identifiers that sort by time, and times with their zone."""
+    import datetime
+    import time
+    import uuid
+
+    made = []
+    for _ in range(20):
+        made.append(uuid.UUID(publish.uuid7()))
+        time.sleep(0.002)
+    told = datetime.datetime.fromisoformat(publish.now())
+    near = told.tzinfo is not None and abs((datetime.datetime.now(datetime.UTC) - told).total_seconds()) < 60
+    out = [("time", near), ("unique", len(set(made)) == 20), ("ordered", made == sorted(made)), ("version", {x.version for x in made} == {7}), ("variant", {x.variant for x in made} == {uuid.RFC_4122})]
+    return _rows(spark, out, "property string, holds boolean")
+
+
+# Published BLAKE3 test vectors, of bytes 0..250 repeated, by length.
+_VECTORS = (
+    (0, "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"), (1, "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213"), (1024, "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7"),
+    (1025, "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444"), (3072, "b98cb0ff3623be03326b373de6b9095218513e64f1ee2edd2525c7ad1e5cffd2"), (31744, "62b6960e1a44bcc1eb1a611a8d6235b6b4b78f32e7abc4fb4c6cdcce94895c47"),
+)
+
+
+@_register("select * from (values " + ", ".join(f"({n}, '{digest}', true)" for n, digest in _VECTORS) + ") t(n, digest, same_in_pieces)")
+def blake3_digests(spark, sf_dir):
+    """True BLAKE3 in a column, and in pieces as files are read."""
+    messages = [(n, bytes(i % 251 for i in range(n))) for n, _ in _VECTORS]
+    rows = spark.createDataFrame(messages, "n int, raw binary").select("n", blake3.blake3_udf()("raw").alias("digest"))
+    pieces = []
+    for n, message in messages:
+        whole = blake3.Hasher()
+        for at in range(0, n, 700):
+            whole.update(message[at : at + 700])
+        pieces.append((n, whole.hexdigest()))
+    return rows.join(spark.createDataFrame(pieces, "n int, in_pieces string"), "n").select("n", "digest", (F.col("digest") == F.col("in_pieces")).alias("same_in_pieces"))
+
+
+@_register("select * from (values ('none', null), ('self', '1 nodes depend on each other'), ('pair', '2 nodes depend on each other'), ('behind a cycle', '3 nodes depend on each other')) t(name, problem)")
+def dependency_cycles(spark, sf_dir):
+    cases = (("none", [("b", "a"), ("c", "b")]), ("self", [("b", "a"), ("c", "c")]), ("pair", [("b", "c"), ("c", "b")]), ("behind a cycle", [("a", "b"), ("b", "c"), ("c", "b")]))
+    nodes, out = spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), []
+    for name, edges in cases:
+        try:
+            graph.dag_rank(nodes, spark.createDataFrame(edges, "id string, depends_on string"))
+            out.append((name, None))
+        except graph.CycleError as error:
+            out.append((name, str(error)))
+    return _rows(spark, out, "name string, problem string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

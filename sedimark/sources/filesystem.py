@@ -71,6 +71,12 @@ def bare_signature(info: os.stat_result) -> dict:
     }
 
 
+def metadata_of_file(fd: int) -> dict:
+    """Signature and allocation of an open file."""
+    info = os.fstat(fd)
+    return signature(info) | allocation(info)
+
+
 def allocation_of_path(path: bytes, logical_size: int) -> dict:
     """Allocation and identity of a path; what can't be read is a warning and unknown figures, never an error."""
     try:
