@@ -88,7 +88,7 @@ def wants_probe(kind: Column, probing: bool, tool: bool) -> Column:
 
 
 def probe_warning(status_column: Column, probing: bool, tool: bool) -> Column:
-    return F.when(F.lit(probing and not tool) & (status_column != "unsupported"), "ffprobe unavailable; media stream metadata was not collected")
+    return F.when(F.lit(probing and not tool) & (status_column != "unsupported"), "no ffprobe: the streams of this file stay undescribed")
 
 
 def lenient_long(text: Column) -> Column:

@@ -100,6 +100,7 @@ _PATH = {
 _SUMMARY = _closed({k: _COUNT for k in ("file_count", "total_bytes", "media_files", "unsupported_files", "unreadable_files", "exact_duplicate_groups", "exact_duplicate_files", "reclaimable_bytes", "cache_hits")}, {k: _COUNT for k in ("unique_object_count", "hard_link_alias_path_count", "unstable_observation_count")})
 _RUN = {"run_id": _TEXT, "created_at": _TEXT, "completed_at": _TEXT, "inputs": {"type": "array", "items": _TEXT, "minItems": 1}, "options": {"type": "object"}, "artifact_directory": _TEXT}
 
+# The field names of the documents that commands publish and read.
 SCHEMAS = {
     "run": _closed({"schema": {"const": "sedimark.run.v5"}, "artifact_set_id": _TEXT, **_RUN}),
     "report": {

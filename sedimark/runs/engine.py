@@ -218,7 +218,7 @@ class Engine:
     def _scanned(self, issued, options, report, artifacts) -> CommandResult:
         issues = [Diagnostic(i.code, i.severity, i.classification, i.impact, i.message, {"path": i.path}) for i in issued.collect()]
         if options.probe_media and shutil.which("ffprobe") is None:
-            issues.append(Diagnostic("optional_capability_unavailable", "warning", "capability", "none", "ffprobe is unavailable; optional stream metadata was not collected"))
+            issues.append(Diagnostic("optional_capability_unavailable", "warning", "capability", "none", "without ffprobe the streams of media files stay undescribed"))
         if unstable := report["summary"]["unstable_observation_count"]:
             issues.append(Diagnostic("result_produced_with_exclusions", "warning", "observation", "degrades_coverage", "observations that weren't stable were left out of exact conclusions", {"count": unstable}))
         partial = any(d.impact == "degrades_coverage" for d in issues)

@@ -28,6 +28,7 @@ SETTINGS = {
     "operational_policy.state_directory": ("state.directory", "SEDIMARK_STATE_DIRECTORY", "--state-directory", str),
     "presentation_policy.output_format": ("output.format", "SEDIMARK_OUTPUT_FORMAT", "--output-format / --json", str),
 }
+# What no source can change.
 LOCKED = {
     "evidence_policy.exact_grouping_profile": "blake3_complete_content",
     "evidence_policy.observation_stability": "required",

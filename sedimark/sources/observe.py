@@ -27,7 +27,7 @@ from sedimark.sources.filesystem import ScanOptions, allocation, signature, stop
 _COLUMNS = column_names(OBSERVATION)
 READ = 1 << 20
 ATTEMPTS = 2
-_MISSING_TOOL = "ffprobe unavailable; media stream metadata was not collected"
+_MISSING_TOOL = "no ffprobe: the streams of this file stay undescribed"
 
 
 class Unstable(Exception):
