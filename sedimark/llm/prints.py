@@ -3,6 +3,9 @@
 Short strings (words) are named by tabulation: a random value for each (place, byte), summed.  Windows of
 a text are named by a tree: the name of 2 w bytes mixes the names of its halves, so an order of bytes that
 cancels in a polynomial (Thue-Morse words do) doesn't cancel here.
+
+Edge cases: no words and no windows give no names; a text shorter than a window has none; equal strings have
+equal names wherever they stand; words of any length are named by all their bytes.
 """
 
 from __future__ import annotations
