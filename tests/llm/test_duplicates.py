@@ -372,3 +372,30 @@ def test_a_document_of_very_many_lines(spark):
     rows = [(1, text), (2, text + "\nnew"), (3, "own\n" + text)]
     got = {r.doc_id: (r.n_lines, r.n_deleted, len(r.text)) for r in lines.dedup_lines(frame(spark, rows, False)).collect()}
     assert got == {1: (60_000, 0, len(text)), 2: (60_001, 60_000, 3), 3: (60_001, 60_000, 3)}
+
+
+def test_names_of_odd_strings():
+    """Long words by all their bytes, spans by all theirs, and nothing where there is nothing."""
+    from sedimark.llm.prints import span_names, window_names
+    from sedimark.llm.shingles import words as named
+
+    def names(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return named(raw, np.array([0, len(raw)]))[0].tolist()
+
+    assert names("") == [] and names(" \n\t") == []
+    long = "x" * 63 + "y" * 300
+    assert names(long) == names(" " + long + " ") and len({*names(long), *names(long + "y"), *names(long[:-1] + "z"), *names("y" * 363), *names("x" * 127 + "y" * 236)}) == 5
+    raw = np.frombuffer(("ab" * 200 + "q" + "ab" * 200).encode(), np.uint8)
+    windows = window_names(raw, 32)
+    assert len(windows) == len(raw) - 31 and len(window_names(raw[:20], 32)) == 0
+    at, size = np.array([0, 401, 2, 1, 0, 300]), np.array([100, 100, 100, 100, 133, 133])
+    one, same, shifted, other, longer, across = span_names(windows, 32, at, size).tolist()
+    assert one == same == shifted and len({one, other, longer, across}) == 4
+
+
+def test_a_line_that_a_third_of_all_documents_hold(spark):
+    rows = [(i, f"own {i}\nthe same everywhere\n\nown too {i}" if i % 3 == 0 else f"own {i}\nalone {i}") for i in range(900)]
+    expected = brute_lines(rows)
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in lines.dedup_lines(frame(spark, rows, False)).collect()}
+    assert got == {d: expected[d, t] for d, t in rows} and sum(n for _, n, _ in got.values()) == 2 * 299
