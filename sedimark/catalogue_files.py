@@ -174,13 +174,10 @@ def path_hashes(spark, sf_dir):
 
     def work(batches):
         for batch in batches:
-            rows = []
-            for native, key, size in zip(*(batch.column(c).to_pylist() for c in ("path", "path_key", "size_bytes"))):
-                raw = path_functions.to_bytes(native)
-                digest, kind = observe.hash_path(raw)
-                rows.append({"path_key": key, "digest": digest, "stability": kind, "verified": observe.has_content(raw, size, digest)})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+            raws, keys, sizes = ([path_functions.to_bytes(x) for x in batch.column("path").to_pylist()], batch.column("path_key"), batch.column("size_bytes").to_pylist())
+            digests, kinds = zip(*observe.hash_paths(raws)) if raws else ((), ())
+            verified = list(observe.have_content(list(zip(raws, sizes, digests))))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(digests, pa.string()), pa.array(kinds, pa.string()), pa.array(verified, pa.bool_())], names=["path_key", "digest", "stability", "verified"])
 
     spread = found.files.select("path", "path_key", "size_bytes").repartition(4 * spark.sparkContext.defaultParallelism)
     hashed = spread.mapInArrow(work, "path_key string, digest string, stability string, verified boolean")

@@ -26,6 +26,8 @@ from sedimark.sources.filesystem import ScanOptions, allocation, signature, stop
 
 _COLUMNS = column_names(OBSERVATION)
 READ = 1 << 20
+#: Files up to so many bytes are hashed side by side, where that is asked for; contents held at once.
+SMALL, HELD = 1 << 18, blake3.SIDE_BY_SIDE
 ATTEMPTS = 2
 _MISSING_TOOL = "no ffprobe: the streams of this file stay undescribed"
 
@@ -43,7 +45,7 @@ def _compare(expected: dict, found: dict, content_change: str, where: str) -> No
         raise Unstable(kind, "stale", f"the file changed {where}")
 
 
-def _attempt(path: bytes, expected: dict, needs_hash: bool, cached: dict | None, options: ScanOptions, runner, hook: Callable[[str, bytes], None], cancelled: Callable[[], bool]) -> dict:
+def _attempt(path: bytes, expected: dict, needs_hash: bool, cached: dict | None, options: ScanOptions, runner, hook: Callable[[str, bytes], None], cancelled: Callable[[], bool], digest: Callable) -> dict:
     try:
         before = os.lstat(path)
     except FileNotFoundError as error:
@@ -64,7 +66,7 @@ def _attempt(path: bytes, expected: dict, needs_hash: bool, cached: dict | None,
         else:
             row = _analyse(fd, options, runner)
         if needs_hash:
-            row["content_hash"] = _hash(fd, cancelled)
+            row["content_hash"] = digest(fd, cancelled)
         hook("after_evidence", path)
         _compare(expected, signature(os.fstat(fd)), "changed_during_hash" if needs_hash else "changed_during_probe", "while it was read")
         try:
@@ -109,10 +111,47 @@ def _hash(fd: int, cancelled: Callable[[], bool]) -> str:
     return digest.hexdigest()
 
 
-def observe_file(row: dict, options: ScanOptions, runner=None, hook: Callable[[str, bytes], None] = lambda stage, path: None, cancelled: Callable[[], bool] = lambda: False) -> dict:
+def _small(fd: int, cancelled: Callable[[], bool]) -> bytes | str:
+    """A small file's bytes, to be hashed with others; the hash of any other file."""
+    if os.fstat(fd).st_size <= SMALL and len(content := os.pread(fd, SMALL + 1, 0)) <= SMALL:
+        # a short read would leave a rest, which is asked for until there is none
+        while more := os.pread(fd, SMALL + 1 - len(content), len(content)):
+            content += more
+            if len(content) > SMALL:
+                return _hash(fd, cancelled)
+        return content
+    return _hash(fd, cancelled)
+
+
+def _side_by_side(made: Iterator, column: str, cancelled: Callable[[], bool]) -> Iterator[list[dict]]:
+    """Lists of rows in which contents under ``column`` have become hashes; about ``HELD`` bytes of them are held."""
+    rows, size = [], 0
+
+    def hashed() -> list[dict]:
+        if cancelled():
+            raise Cancelled
+        raw = [r for r in rows if isinstance(r[column], bytes)]
+        for r, digest in zip(raw, blake3.hash_many([r[column] for r in raw])):
+            r[column] = digest
+        return rows
+
+    for row in made:
+        rows.append(row)
+        size += max(len(row[column]), blake3.CHUNK) if isinstance(row[column], bytes) else 0
+        if size >= HELD or len(rows) >= 10_000:
+            yield hashed()
+            rows, size = [], 0
+    if rows:
+        yield hashed()
+
+
+def observe_file(
+    row: dict, options: ScanOptions, runner=None, hook: Callable[[str, bytes], None] = lambda stage, path: None, cancelled: Callable[[], bool] = lambda: False, digest: Callable = _hash
+) -> dict:
     """The observation of one discovered file (columns of the discovered row, needs_hash, cached_...).
 
     ``cancelled`` is asked before each block that is hashed; if it holds, :class:`Cancelled` is raised.
+    ``digest`` hashes an open file, or gives its bytes for the caller to hash.
     """
     path = to_bytes(row["path"])
     expected = {
@@ -123,7 +162,7 @@ def observe_file(row: dict, options: ScanOptions, runner=None, hook: Callable[[s
     failed: Unstable | None = None
     for attempt in range(1, ATTEMPTS + 1):
         try:
-            got = _attempt(path, expected, bool(row["needs_hash"]), cached, options, runner, hook, cancelled)
+            got = _attempt(path, expected, bool(row["needs_hash"]), cached, options, runner, hook, cancelled, digest)
         except Unstable as error:
             failed = error
             cached = None
@@ -137,7 +176,7 @@ def observe_file(row: dict, options: ScanOptions, runner=None, hook: Callable[[s
         own = got["identity"]
         return _observation(row) | {
             "content_type": got["content_type"], "media_kind": got["media_kind"], "status": got["status"], "media": got["media"], "warnings": got["warnings"],
-            "content_hash": got["content_hash"], "hash_algorithm": "blake3" if got["content_hash"] else None, "cache_hit": cached is not None,
+            "content_hash": got["content_hash"], "hash_algorithm": "blake3" if got["content_hash"] is not None else None, "cache_hit": cached is not None,
             "size_bytes": own["size_bytes"], "modified_unix_ns": own["modified_unix_ns"], "changed_unix_ns": own["changed_unix_ns"],
             "filesystem_identity": {"platform": os.uname().sysname.lower(), "filesystem_id": own["filesystem_id"], "file_id": own["file_id"], "link_count": own["link_count"]},
             "storage_allocation": got["allocation"], "observation_stability": "stable", "evidence_validity": "current", "attempt_count": attempt,
@@ -148,7 +187,7 @@ def observe_file(row: dict, options: ScanOptions, runner=None, hook: Callable[[s
     }
 
 
-def hash_path(path: bytes, cancelled: Callable[[], bool] = lambda: False, hook: Callable[[str, bytes], None] = lambda stage, path: None) -> tuple[str | None, str]:
+def hash_path(path: bytes, cancelled: Callable[[], bool] = lambda: False, hook: Callable[[str, bytes], None] = lambda stage, path: None, digest: Callable = _hash) -> tuple[str | None, str]:
     """(content hash, stability) of a path: a hash only if the file was the same before and after it was read."""
     try:
         expected = signature(os.lstat(path))
@@ -160,7 +199,7 @@ def hash_path(path: bytes, cancelled: Callable[[], bool] = lambda: False, hook:
         return None, "became_symlink" if expected["is_symlink"] else instability(error)
     try:
         _compare(expected, signature(os.fstat(fd)), "replaced_during_scan", "before it was read")
-        digest = _hash(fd, cancelled)
+        found = digest(fd, cancelled)
         hook("after_evidence", path)
         _compare(expected, signature(os.fstat(fd)), "changed_during_hash", "while it was read")
         _compare(expected, signature(os.lstat(path)), "replaced_during_scan", "after it was read")
@@ -170,7 +209,14 @@ def hash_path(path: bytes, cancelled: Callable[[], bool] = lambda: False, hook:
         return None, instability(error)
     finally:
         os.close(fd)
-    return digest, "stable"
+    return found, "stable"
+
+
+def hash_paths(raws: list[bytes], cancelled: Callable[[], bool] = lambda: False) -> Iterator[tuple[str | None, str]]:
+    """:func:`hash_path` of many paths in order; each is proved as it is read, and small files are then hashed side by side."""
+    made = (dict(zip(("digest", "kind"), hash_path(raw, cancelled, digest=_small))) for raw in raws)
+    for rows in _side_by_side(made, "digest", cancelled):
+        yield from ((r["digest"], r["kind"]) for r in rows)
 
 
 def instability(error: OSError) -> str:
@@ -183,6 +229,12 @@ def has_content(path: bytes, size_bytes: int, content_hash: str) -> bool:
     return digest == content_hash and os.lstat(path).st_size == size_bytes
 
 
+def have_content(asked: list[tuple[bytes, int, str]]) -> Iterator[bool]:
+    """:func:`has_content` of many (path, size, hash), each read whole again."""
+    for (raw, size_bytes, content_hash), (digest, _) in zip(asked, hash_paths([a[0] for a in asked])):
+        yield digest is not None and digest == content_hash and os.lstat(raw).st_size == size_bytes
+
+
 def _observation(row: dict) -> dict:
     return dict.fromkeys(_COLUMNS) | {
         "observation_id": str(uuid.uuid4()), "path": row["path"], "path_key": row["path_key"], "components": row["components"], "size_bytes": row["size_bytes"],
@@ -214,8 +266,8 @@ def observe(found: DataFrame, options: ScanOptions, run_id: str, stop: str | Non
         for batch in batches:
             if cancelled():
                 raise Cancelled
-            rows = [observe_file(row, options, runner, cancelled=cancelled) | {"run_id": run_id} for row in batch.to_pylist()]
-            if rows:
+            made = (observe_file(row, options, runner, cancelled=cancelled, digest=_small) | {"run_id": run_id} for row in batch.to_pylist())
+            for rows in _side_by_side(made, "content_hash", cancelled):
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     # rows are small and work isn't: tasks are as many as keep all cores busy, not as the rows' bytes would make them
