@@ -8,7 +8,6 @@ commands then say is returned as rows, and SQL over the tables says what it must
 from __future__ import annotations
 
 import contextlib
-import io
 import json
 import os
 from collections.abc import Callable
@@ -21,7 +20,7 @@ from sedimark import cli
 from sedimark.functions import blake3, media
 from sedimark.functions import paths as path_functions
 from sedimark.operators import cache, diagnostics, graph, relate
-from sedimark.runs import policy, publish
+from sedimark.runs import documents, policy, publish
 from sedimark.runs.contracts import SCHEMAS, problems
 from sedimark.runs.engine import Engine, Signals
 from sedimark.runs.outcome import CommandResult, Diagnostic, Refused, blocking, coalesced, escaped, human
@@ -231,16 +230,18 @@ def scan_plan(spark, sf_dir):
     target = f"{_folder(spark, 'plan')}/plan.json"
     engine.plan(run, target)
     assert publish.inspect_plan(target).status == "committed"
-    with open(target) as f:
-        plan = json.load(f)
-    report = engine.report(run).result
-    primaries = {m["primary_path"] for g in report["duplicate_groups"] for m in g["members"]}
-    out = []
-    for a in plan["actions"]:
-        own = sorted(p for p in a["candidate_paths"] if p in primaries)
-        members = 1 + len(own)
-        out.append((a["keep_path"][len(root) :], members, " ".join(p[len(root) :] for p in own), a["potential_reclaimable_bytes"], len(a["preconditions"]), a["proposed_operation"], plan["safety"]["mutates_files"]))
-    return _rows(spark, out, "keep_path string, member_count long, candidates string, reclaimable_bytes long, preconditions long, operation string, mutates_files boolean")
+    plan, report = documents.load(target), engine.report(run).result
+    told = f"{_folder(spark, 'actions')}/actions.json"
+    with open(told, "w") as f:
+        # both are ordered by size and content; aliases of candidates aren't members
+        for a, g in zip(plan["actions"], report["duplicate_groups"], strict=True):
+            assert a["group_id"] == g["group_id"]
+            primaries = {m["primary_path"] for m in g["members"]}
+            own = sorted(p for p in a["candidate_paths"] if p in primaries)
+            row = {"keep_path": a["keep_path"][len(root) :], "member_count": 1 + len(own), "candidates": " ".join(p[len(root) :] for p in own), "reclaimable_bytes": a["potential_reclaimable_bytes"]}
+            row |= {"preconditions": len(a["preconditions"]), "operation": a["proposed_operation"], "mutates_files": plan["safety"]["mutates_files"]}
+            f.write(json.dumps(row) + "\n")
+    return spark.read.schema("keep_path string, member_count long, candidates string, reclaimable_bytes long, preconditions long, operation string, mutates_files boolean").json(told)
 
 
 @_register(
@@ -426,10 +427,11 @@ def command_line(spark, sf_dir):
 
     def run(*line: str) -> dict:
         result, shape = cli.run([*before, *line], spark)
-        printed = io.StringIO()
-        printed.write(json.dumps(result.as_dict(), ensure_ascii=False))
         assert shape == "json"
-        return json.loads(printed.getvalue())
+        printed = f"{_folder(spark, 'printed')}/envelope.json"
+        with open(printed, "w") as f:
+            f.writelines(documents.pieces(result.as_dict()))
+        return documents.load(printed)
 
     scan = run("scan", "--no-probe", root)
     run_id = scan["result"]["run"]["run_id"]

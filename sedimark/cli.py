@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 
-from sedimark.runs import policy
+from sedimark.runs import documents, policy
 from sedimark.runs.contracts import validate
 from sedimark.runs.outcome import CommandResult, Refused, blocking, human
 
@@ -91,7 +90,8 @@ def main(arguments: list[str] | None = None) -> int:
     envelope = result.as_dict()
     validate("command_result", envelope)
     if shape == "json":
-        sys.stdout.write(json.dumps(envelope, ensure_ascii=False) + "\n")
+        sys.stdout.writelines(documents.pieces(envelope))
+        sys.stdout.write("\n")
     else:
         out, err = human(result)
         sys.stdout.write(out)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
-_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+from sedimark.runs.documents import Items
+
+_TYPES = {"object": dict, "array": (list, Items), "string": str, "boolean": bool, "null": type(None)}
 
 
 class ContractError(ValueError):
@@ -52,7 +55,7 @@ def problems(schema: dict, value, root: dict | None = None, at: str = "$") -> It
                 yield f"{at}: {k} is unknown"
             elif isinstance(more, dict):
                 yield from problems(more, x, root, f"{at}.{k}")
-    if isinstance(value, list):
+    if isinstance(value, (list, Items)):
         if len(value) < schema.get("minItems", 0):
             yield f"{at}: too few items"
         if schema.get("uniqueItems") and any(_equal(a, b) for i, a in enumerate(value) for b in value[:i]):
@@ -81,7 +84,7 @@ def problems(schema: dict, value, root: dict | None = None, at: str = "$") -> It
 
 
 def validate(contract: str, document) -> None:
-    if found := list(problems(SCHEMAS[contract], document))[:5]:
+    if found := list(itertools.islice(problems(SCHEMAS[contract], document), 5)):
         raise ContractError(f"{contract}: " + "; ".join(found))
 
 

@@ -9,20 +9,24 @@ import signal
 import threading
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sedimark.functions import blake3
 from sedimark.operators import account, cache, diagnostics, relate
 from sedimark.plans import duplicates
+from sedimark.runs import documents, publish
 from sedimark.runs import policy as policies
-from sedimark.runs import publish
-from sedimark.runs.contracts import ContractError, validate
+from sedimark.runs.contracts import SCHEMAS, ContractError, problems, validate
 from sedimark.runs.outcome import CommandResult, Diagnostic, Refused, blocking
 from sedimark.runs.state import StateError, StateStore
-from sedimark.schemas import OBSERVATION_DEFAULTS, SUMMARY_DEFAULTS
+from sedimark.schemas import OBSERVATION_DEFAULTS, SUMMARY_DEFAULTS, struct_type
 from sedimark.sources import filesystem, observe
 from sedimark.sources.processes import tool_status
+from sedimark.storage import cut, release
 
 REPORT, RUN, PLAN = "sedimark.report.v5", "sedimark.run.v5", "sedimark.plan.v5"
 REPORT_VERSIONS = {f"sedimark.report.v{n}": n for n in range(1, 6)}
@@ -98,7 +102,26 @@ class Engine:
         if os.path.isdir(where):
             observed = self.spark.read.parquet(where)
             return self._tables(relate.facts(observed)) | {"observed": observed}
-        return self._tables(self.spark.createDataFrame([_fact(o) for o in report["observations"]], _FACTS))
+        return self._tables(self._facts(report["observations"], store._at("tables", "reported", f"run_id={run_id}")))
+
+    def _facts(self, observations, folder: str) -> DataFrame:
+        """Observations of a report as facts, stored block by block as they are read."""
+        os.makedirs(folder, exist_ok=True)
+        schema = to_arrow_schema(struct_type(_FACTS))
+        block, number = [], 0
+
+        def store() -> None:
+            columns = zip(*block) if block else [[]] * len(schema)
+            table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+            pq.write_table(table, os.path.join(folder, f"part-{number:05}.parquet"))
+
+        for o in observations:
+            block.append(_fact(o))
+            if len(block) == 20_000:
+                store()
+                block, number = [], number + 1
+        store()
+        return self.spark.read.schema(_FACTS).parquet(folder)
 
     def _guard(self, command: str, work) -> CommandResult:
         try:
@@ -126,6 +149,7 @@ class Engine:
         store.begin(run_id, created)
         folder = store.run_folder(run_id)
         self.signals.stop = store._at("status", f"{run_id}.stop")
+        spool = store.spool(run_id)
         try:
             hook("begun")
             self.signals.check()
@@ -141,17 +165,20 @@ class Engine:
             tables = self._observe(store, found, options, run_id)
             hook("observed")
             self.signals.check()
-            report, run = self._report(tables, inputs, options, run_id, set_id, created, folder)
+            report, run = self._report(tables, inputs, options, run_id, set_id, created, folder, spool)
             validate("run", run)
-            validate("report", report)
+            validate("report", report | {"observations": []})  # observations were checked where they became lines
             self.signals.check()
             policy = self.resolution.policy
             payloads = [
                 publish.Payload.of("effective_policy", policy["schema"], "effective-policy.json", policy),
                 publish.Payload.of("run", RUN, "run.json", run),
-                publish.Payload.of("report", REPORT, "report.json", report),
+                publish.Payload("report", REPORT, "report.json", source=os.path.join(spool, "report.json")),
             ]
             publish.commit_scan(folder, run_id, set_id, payloads)
+            for value in report.values():
+                if isinstance(value, documents.Items):
+                    value.path = os.path.join(folder, "report.json")
             hook("published")
         except Interrupted:
             store.mark(run_id, "interrupted", completed_at=publish.now())
@@ -162,9 +189,10 @@ class Engine:
                 return CommandResult.resolve("scan", diagnostics=[_interruption(self.signals, run_id=run_id)])
             if publish.inspect_scan(folder).status != "committed":
                 store.mark(run_id, "failed", completed_at=publish.now())
-            code = "artifact_validation_failed" if isinstance(error, ContractError) else "artifact_commit_failed" if isinstance(error, OSError) else "internal_invariant_violated"
+            code = "artifact_validation_failed" if isinstance(error, ContractError) or "ContractError" in str(error) else "artifact_commit_failed" if isinstance(error, OSError) else "internal_invariant_violated"
             return CommandResult.resolve("scan", diagnostics=[blocking(code, "internal" if code.startswith("internal") else "artifact", f"the scan failed: {error}", run_id=run_id)])
         finally:
+            shutil.rmtree(spool, ignore_errors=True)
             if os.path.exists(self.signals.stop):
                 os.unlink(self.signals.stop)
             self.signals.stop = None
@@ -193,26 +221,28 @@ class Engine:
         digest = blake3.blake3_udf()
         return {"facts": facts, "duplicate_groups": relate.exact_groups(facts, digest), "plan_paths": duplicates.paths(facts, digest), "hard_link_groups": relate.hard_link_groups(facts)}
 
-    def _report(self, tables, inputs, options, run_id, set_id, created, folder) -> tuple[dict, dict]:
-        """The report document.  It lists every observation, so it suits what one file can hold; the
-        stored tables hold the same rows for collections of any size."""
-        facts = tables["facts"]
+    def _report(self, tables, inputs, options, run_id, set_id, created, folder, spool) -> tuple[dict, dict]:
+        """The report document, written to ``spool``.  Its lists come from tables line by line, so the driver
+        holds none of them; members of a group are lines of their own."""
+        facts, groups, links = (tables[k] for k in ("facts", "duplicate_groups", "hard_link_groups"))
         digest = blake3.blake3_udf()
-        members: dict[str, list] = {}
-        for m in relate.exact_members(facts, digest).select("group_id", "observation_id", "primary_path", "observed_path_count", "own_path").collect():
-            members.setdefault(m.group_id, []).append(m.asDict())
-        groups = [
-            _plain(g) | {"members": [{k: v for k, v in m.items() if k not in ("group_id", "own_path")} for m in sorted(members[g.group_id], key=lambda m: m["own_path"])]}
-            for g in tables["duplicate_groups"].orderBy("size_bytes", "content_hash").collect()
-        ]
-        links = [_plain(h) for h in tables["hard_link_groups"].select(relate.group_id("hl-", F.col("filesystem_id"), F.col("file_id"), digest).alias("group_id"), "*").orderBy("group_id").collect()]
-        reclaim = _plain(account.run_reclaimability(tables["duplicate_groups"]).first())
+        size, content, nothing = F.col("size_bytes"), F.col("content_hash"), F.lit("")
+        members = relate.exact_members(facts, digest).select("group_id", "observation_id", "primary_path", "observed_path_count", "own_path", "size_bytes", "content_hash")
+        links = links.select(relate.group_id("hl-", F.col("filesystem_id"), F.col("file_id"), digest).alias("group_id"), "*")
+        lists = {
+            "duplicate_groups": documents.lines(groups, size, content, 0, nothing, lambda g: _json(g)[:-1] + ', "members": [')
+            .unionAll(documents.lines(members, size, content, 1, F.col("own_path"), lambda m: _json({k: m[k] for k in ("observation_id", "primary_path", "observed_path_count")})))
+            .unionAll(documents.marks(groups, size, content, 2, "]}")),
+            "hard_link_groups": documents.lines(links, F.lit(0), F.col("group_id"), 0, nothing, _json),
+            "observations": documents.lines(tables["observed"].drop("components"), F.lit(0), F.col("path_key"), 0, nothing, _checked),
+        }
+        reclaim = _plain(account.run_reclaimability(groups).first())
         run = {"run_id": run_id, "created_at": created, "completed_at": publish.now(), "inputs": list(inputs), "options": vars(options), "artifact_directory": folder}
-        report = {
+        head = {
             "schema": REPORT, "generated_at": publish.now(), "artifact_set_id": set_id, "run": run, "summary": _plain(account.scan_summary(facts).first()),
-            "storage": _plain(account.storage_summary(facts).first()) | {"physical_reclaimability": reclaim}, "duplicate_groups": groups, "hard_link_groups": links,
-            "observations": [_plain(o) for o in tables["observed"].drop("components").orderBy("path_key").collect()],
+            "storage": _plain(account.storage_summary(facts).first()) | {"physical_reclaimability": reclaim},
         }
+        report = documents.write(os.path.join(spool, "report.json"), head, lists, spool)
         return report, {"schema": RUN, "artifact_set_id": set_id, **run}
 
     def _scanned(self, issued, options, report, artifacts) -> CommandResult:
@@ -240,12 +270,7 @@ class Engine:
                 stopped = row is not None and row["status"] == "interrupted"
                 raise Refused(blocking("source_run_interrupted" if stopped else "stored_run_not_found", "state", "the run was interrupted" if stopped else "no completed run has this id", run_id=reference))
             path = os.path.join(row["report_folder"], "report.json")
-        try:
-            with open(path, "rb") as f:
-                raw = f.read()
-        except OSError as error:
-            raise Refused(blocking("stored_state_incompatible", "state", f"the report can't be read: {error}", path=path)) from error
-        report = decode_report(raw, path)
+        report = decode_report(path)
         if report["schema"] != REPORT:
             return report, path, None
         found = publish.inspect_scan(os.path.dirname(os.path.abspath(path)))
@@ -288,13 +313,18 @@ class Engine:
             store = self._store()
             report, path, manifest = self.load_report(store, reference)
             run_id = report["run"]["run_id"]
-            document = self._plan_document(report, manifest)
             target = os.path.abspath(output or os.path.join(os.path.dirname(os.path.abspath(path)), "plan-exact-duplicates.json"))
-            validate("plan", document)
+            spool = store.spool("plan")
             try:
-                publish.commit_plan(target, run_id, manifest["set_id"] if manifest else None, publish.Payload.of("plan", PLAN, os.path.basename(target), document))
-            except OSError as error:
-                raise Refused(blocking("output_destination_invalid", "input", f"the plan can't be written there: {error}", path=target)) from error
+                document = self._plan_document(report, manifest, spool)
+                validate("plan", document)
+                try:
+                    publish.commit_plan(target, run_id, manifest["set_id"] if manifest else None, publish.Payload("plan", PLAN, os.path.basename(target), source=document["actions"].path))
+                except OSError as error:
+                    raise Refused(blocking("output_destination_invalid", "input", f"the plan can't be written there: {error}", path=target)) from error
+            finally:
+                shutil.rmtree(spool, ignore_errors=True)
+            document["actions"].path = target
             told = self._source(report, path)
             partial = any(d.impact == "degrades_coverage" for d in told)
             artifacts = [{"kind": "plan", "run_id": run_id, "path": target}, {"kind": "artifact_set", "run_id": run_id, "path": publish.plan_marker(target)}]
@@ -302,27 +332,40 @@ class Engine:
 
         return self._guard("plan", work)
 
-    def _plan_document(self, report: dict, manifest: dict | None) -> dict:
-        """From the report alone, as it was stored."""
-        rows = self.spark.createDataFrame([_fact(o) for o in report["observations"]], _FACTS) if report["observations"] else self.spark.createDataFrame([], _FACTS)
+    def _plan_document(self, report: dict, manifest: dict | None, spool: str) -> dict:
+        """From the report alone, as it was stored; written to ``spool``, a path of a group at a time."""
+        rows = self._facts(report["observations"], os.path.join(spool, "facts"))
         digest = blake3.blake3_udf()
-        by_group: dict[str, list] = {}
-        for p in duplicates.paths(rows, digest).orderBy("path_key").collect():
-            by_group.setdefault(p.group_id, []).append(p.asDict())
-        acts = []
-        for a in duplicates.actions(rows, digest).orderBy("size_bytes", "content_hash").collect():
-            own = by_group[a.group_id]
-            acts.append({
-                "action_id": publish.uuid7(), "group_id": a.group_id, "classification": a.classification, "proposed_operation": a.proposed_operation, "keep_path": a.keep_path,
-                "keep_alias_paths": [p["path_key"] for p in own if p["role"] == "keep" and p["path_key"] != a.keep_path], "candidate_paths": [p["path_key"] for p in own if p["role"] == "candidate"],
-                "potential_reclaimable_bytes": a.potential_reclaimable_bytes, "physical_reclaimability": {"status": a.reclaim_status, "reason_codes": list(a.reasons)},
-                "preconditions": [{k: v for k, v in p.items() if k not in ("group_id", "role")} for p in own],
-            })
-        summary = {"action_count": len(acts), "candidate_file_count": sum(len(a["candidate_paths"]) for a in acts), "potential_reclaimable_bytes": sum(a["potential_reclaimable_bytes"] for a in acts)}
-        return {
+        acts = cut(duplicates.actions(rows, digest), "actions")
+        paths = cut(duplicates.paths(rows, digest).join(acts.select("group_id", "keep_path"), "group_id"), "plan-paths")
+        size, content, path = F.col("expected_size_bytes"), F.col("expected_content_hash"), F.col("path_key")
+        of = (F.col("size_bytes"), F.col("content_hash"))
+
+        def action(a: dict) -> str:
+            head = {"action_id": publish.uuid7()} | {k: a[k] for k in ("group_id", "classification", "proposed_operation", "keep_path", "potential_reclaimable_bytes")}
+            return _json(head | {"physical_reclaimability": {"status": a["reclaim_status"], "reason_codes": a["reasons"]}})[:-1] + ', "keep_alias_paths": ['
+
+        def told(p: dict) -> str:
+            return json.dumps(p["path_key"], ensure_ascii=False)
+
+        lines = (
+            documents.lines(acts, *of, 0, F.lit(""), action)
+            .unionAll(documents.lines(paths.where("role = 'keep' and path_key <> keep_path"), size, content, 1, path, told))
+            .unionAll(documents.marks(acts, *of, 2, '], "candidate_paths": ['))
+            .unionAll(documents.lines(paths.where("role = 'candidate'"), size, content, 3, path, told))
+            .unionAll(documents.marks(acts, *of, 4, '], "preconditions": ['))
+            .unionAll(documents.lines(paths, size, content, 5, path, lambda p: _json({k: v for k, v in p.items() if k not in ("group_id", "role", "keep_path")})))
+            .unionAll(documents.marks(acts, *of, 6, "]}"))
+        )
+        totals = acts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("potential_reclaimable_bytes").cast("decimal(38,0)")), F.lit(0)).alias("bytes")).first()
+        summary = {"action_count": totals.n, "candidate_file_count": paths.where("role = 'candidate'").count(), "potential_reclaimable_bytes": int(totals.bytes)}
+        head = {
             "schema": PLAN, "plan_id": publish.uuid7(), "source_run_id": report["run"]["run_id"], "source_artifact_set_id": manifest["set_id"] if manifest else None,
-            "created_at": publish.now(), "mode": "review_only", "safety": duplicates.SAFETY, "summary": summary, "actions": acts,
+            "created_at": publish.now(), "mode": "review_only", "safety": duplicates.SAFETY, "summary": summary,
         }
+        document = documents.write(os.path.join(spool, "plan.json"), head, {"actions": lines}, spool)
+        release(acts, paths)
+        return document
 
     # --- the rest
 
@@ -363,19 +406,41 @@ def _fact(o: dict) -> tuple:
     )
 
 
-def decode_report(raw: bytes, path: str) -> dict:
-    """A stored report in the current shape: what its version lacked gets its default."""
+def _json(row: dict) -> str:
+    return json.dumps(_plain(row), ensure_ascii=False)
+
+
+def _checked(row: dict) -> str:
+    """The JSON of an observation that keeps the report's contract."""
+    value = _plain(row)
+    if found := next(problems(SCHEMAS["report"]["properties"]["observations"]["items"], value), None):
+        raise ContractError(f"report: {found}")
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _current(o: dict) -> dict:
+    """An observation in the current shape."""
+    o = o | {k: v for k, v in OBSERVATION_DEFAULTS.items() if o.get(k) is None}
+    # a text is from before paths were lossless
+    return o | {"path": {"encoding": "utf8", "value": o["path"]}} if isinstance(o.get("path"), str) else o
+
+
+def decode_report(path: str) -> dict:
+    """A stored report in the current shape: what its version lacked gets its default.  Long lists stay in the file."""
     try:
-        report = json.loads(raw)
+        report = documents.load(path)
+    except OSError as error:
+        raise Refused(blocking("stored_state_incompatible", "state", f"the report can't be read: {error}", path=path)) from error
     except ValueError as error:
         raise Refused(blocking("invalid_command_input", "input", f"the report isn't JSON: {error}", path=path)) from error
     if not isinstance(report, dict) or report.get("schema") not in REPORT_VERSIONS:
         raise Refused(blocking("stored_state_incompatible", "state", "the report has an unknown version", path=path))
     report["summary"] = SUMMARY_DEFAULTS | report.get("summary", {})
-    for o in report.get("observations", ()):
-        o.update({k: v for k, v in OBSERVATION_DEFAULTS.items() if o.get(k) is None})
-        if isinstance(o.get("path"), str):  # before paths were lossless
-            o["path"] = {"encoding": "utf8", "value": o["path"]}
+    observations = report.get("observations")
+    if isinstance(observations, documents.Items):
+        observations.each = _current
+    elif observations is not None:
+        report["observations"] = [_current(o) for o in observations]
     report.setdefault("hard_link_groups", [])
     report.setdefault("storage", None)
     if report["schema"] == REPORT:

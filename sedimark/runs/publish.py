@@ -17,6 +17,7 @@ from datetime import UTC, datetime
 
 from sedimark.functions import blake3
 from sedimark.functions.paths import from_bytes, to_bytes
+from sedimark.runs import documents
 from sedimark.runs.contracts import ContractError, validate
 
 MARKER = "artifact-set.json"
@@ -27,15 +28,38 @@ SCAN_KINDS, PLAN_KINDS = ("effective_policy", "report", "run"), ("plan",)
 
 @dataclass(frozen=True)
 class Payload:
+    """A document as bytes, or as a file that is moved into the set."""
+
     kind: str
     schema: str
     file_name: str
-    content: bytes
+    content: bytes = b""
+    source: str | None = None
 
     @classmethod
     def of(cls, kind: str, schema: str, file_name: str, document) -> Payload:
         return cls(kind, schema, file_name, json_bytes(document))
 
+    def put(self, path: str) -> None:
+        """Make the document a new file."""
+        if self.source is None:
+            write_new(path, self.content)
+        else:
+            try:
+                os.link(self.source, path)  # refuses a path that is there; its bytes were flushed when it was written
+            except FileExistsError:
+                raise
+            except OSError:  # another file system, or one without links
+                with open(self.source, "rb") as f, open(path, "xb") as g:
+                    shutil.copyfileobj(f, g, 1 << 20)
+                    g.flush()
+                    os.fsync(g.fileno())
+            os.unlink(self.source)
+
+    def measured(self) -> tuple[int, str]:
+        """(bytes, digest)."""
+        return measured(self.source) if self.source else (len(self.content), blake3.hash_one(self.content))
+
 
 @dataclass(frozen=True)
 class Inspection:
@@ -48,6 +72,16 @@ def json_bytes(document) -> bytes:
     return (json.dumps(document, indent=2, ensure_ascii=False) + "\n").encode()
 
 
+def measured(path: str) -> tuple[int, str]:
+    """(bytes, digest) of a file, read piece by piece."""
+    digest, size = blake3.Hasher(), 0
+    with open(path, "rb") as f:
+        while piece := f.read(1 << 20):
+            digest.update(piece)
+            size += len(piece)
+    return size, digest.hexdigest()
+
+
 def now() -> str:
     return datetime.now(UTC).isoformat()
 
@@ -86,9 +120,10 @@ def _kinds(found: list[str], expected: tuple[str, ...]) -> None:
 
 
 def _manifest(kind: str, run_id: str, set_id: str, payloads: list[Payload], source: str | None = None) -> dict:
-    members = [
-        {"kind": p.kind, "schema": p.schema, "path": _named(p.file_name), "size_bytes": len(p.content), "digest": {"algorithm": "blake3-256", "value": blake3.hash_one(p.content)}} for p in sorted(payloads, key=lambda p: p.kind)
-    ]
+    members = []
+    for p in sorted(payloads, key=lambda p: p.kind):
+        size, digest = p.measured()
+        members.append({"kind": p.kind, "schema": p.schema, "path": _named(p.file_name), "size_bytes": size, "digest": {"algorithm": "blake3-256", "value": digest}})
     out = {"schema": SET_SCHEMA, "set_id": set_id, "set_kind": kind, "run_id": run_id, "created_at": now(), "state": "committed", "source_set_id": source, "members": members}
     validate("artifact_set", out)
     return out
@@ -108,10 +143,10 @@ def commit_scan(folder: str, run_id: str, set_id: str, payloads: list[Payload],
     staging = os.path.join(above, f".{name}{_STAGING}{set_id}")
     os.mkdir(staging)
     try:
+        manifest = _manifest("scan", run_id, set_id, payloads)
         for p in payloads:
-            write_new(os.path.join(staging, p.file_name), p.content)
+            p.put(os.path.join(staging, p.file_name))
             hook("member")
-        manifest = _manifest("scan", run_id, set_id, payloads)
         write_new(os.path.join(staging, MARKER), json_bytes(manifest))
         sync_folder(staging)
         hook("staged")
@@ -142,10 +177,10 @@ def commit_plan(path: str, run_id: str, source_set_id: str | None, payload: Payl
         raise FileNotFoundError(f"{above} isn't a folder for a plan")
     set_id = uuid7()
     staged = os.path.join(above, f".{name}{_STAGING}{set_id}")
-    own = Payload(payload.kind, payload.schema, name, payload.content)
+    own = Payload(payload.kind, payload.schema, name, payload.content, payload.source)
     manifest = _manifest("plan", run_id, set_id, [own], source_set_id)
     try:
-        write_new(staged, payload.content)
+        own.put(staged)
         hook("member")
         write_new(_pending_marker(path), json_bytes(manifest))
         sync_folder(above)
@@ -216,13 +251,11 @@ def _inspect(marker: str, folder: str, kind: str) -> Inspection:
         return Inspection("incompatible", None, str(error))
     for member, name in zip(manifest["members"], names):
         try:
-            with open(os.path.join(folder, name), "rb") as f:
-                content = f.read()
+            if os.path.getsize(os.path.join(folder, name)) != member["size_bytes"] or measured(os.path.join(folder, name)) != (member["size_bytes"], member["digest"]["value"]):
+                return Inspection("incomplete", manifest, f"{name} isn't what was committed")
         except OSError as error:
             return Inspection("incomplete", manifest, f"{name} can't be read: {error}")
-        if len(content) != member["size_bytes"] or blake3.hash_one(content) != member["digest"]["value"]:
-            return Inspection("incomplete", manifest, f"{name} isn't what was committed")
-        document = json.loads(content)
+        document = documents.members(os.path.join(folder, name), "schema", "artifact_set_id")
         if document.get("schema") != member["schema"]:
             return Inspection("incompatible", manifest, f"{name} has another schema than the marker says")
         bound = document.get("artifact_set_id", document.get("run", {}).get("artifact_set_id") if isinstance(document.get("run"), dict) else None)

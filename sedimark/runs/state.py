@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.operators import cache as cache_rows
-from sedimark.runs import publish
+from sedimark.runs import documents, publish
 from sedimark.schemas import MEDIA
 
 #: Each version of the layout, and the cache columns that it added.
@@ -135,6 +135,12 @@ class StateStore:
             raise StateError(f"no completed run has {name}")
         return self.spark.read.option("basePath", self._at("tables", name)).option("mergeSchema", "true").parquet(*paths)
 
+    def spool(self, name: str) -> str:
+        """A new folder for what is written before it is published; whoever asked removes it."""
+        path = self._at("spool", f"{name}-{publish.uuid7()}")
+        os.makedirs(path)
+        return path
+
     def run_folder(self, run_id: str) -> str:
         return self._at("runs", run_id)
 
@@ -153,11 +159,8 @@ class StateStore:
             inspected = publish.inspect_scan(folder)
             if inspected.status != "committed":
                 continue
-            documents = {}
-            for name in ("run", "report"):
-                with open(os.path.join(folder, f"{name}.json")) as f:
-                    documents[name] = json.load(f)
-            report, run, manifest = documents["report"], documents["run"], inspected.manifest
+            run, report = (documents.load(os.path.join(folder, f"{name}.json")) for name in ("run", "report"))
+            manifest = inspected.manifest
             if len({row["run_id"], manifest["run_id"], run["run_id"], report["run"]["run_id"]}) > 1 or len({manifest["set_id"], run["artifact_set_id"], report["artifact_set_id"]}) > 1:
                 continue
             self.finalize(row["run_id"], rebuild(row["run_id"], report), folder)
