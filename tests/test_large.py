@@ -40,3 +40,52 @@ def test_long_messages_in_pieces():
         for at in range(0, size, 700_001):
             whole.update(message[at : at + 700_001])
         assert whole.hexdigest() == blake3.hash_one(message)
+
+
+def test_long_lists_stay_in_their_file(tmp_path, monkeypatch):
+    """Any layout, items longer than what is read at once, and numbers and letters cut by the window."""
+    import json
+
+    from sedimark.runs import documents
+
+    monkeypatch.setattr(documents, "READ", 7)
+    monkeypatch.setattr(documents, "SHORT", 20)
+    whole = {"schema": "x", "short": [1], "run": {"long": [{"a": "é🌌\n" * i, "b": [i, -1.5e10]} for i in range(40)]}, "empty": [], "numbers": list(range(995, 1030))}
+    for layout in ({}, {"indent": 2, "ensure_ascii": False}):
+        path = str(tmp_path / f"d{len(layout)}.json")
+        with open(path, "w") as f:
+            json.dump(whole, f, **layout)
+        got = documents.load(path)
+        assert isinstance(got["run"]["long"], documents.Items) and isinstance(got["numbers"], documents.Items)
+        assert got == whole and got["run"]["long"][-1] == whole["run"]["long"][-1] and len(got["numbers"]) == 35
+        assert json.loads("".join(documents.pieces(got))) == whole
+        assert documents.members(path, "schema") == {"schema": "x"}
+
+
+def test_a_scan_and_its_plan_are_streams(spark, tmp_path, monkeypatch):
+    """Reports and plans in the order and shape of before, with lists that the driver doesn't hold."""
+    import json
+
+    from sedimark.runs import documents, policy
+    from sedimark.runs.engine import Engine, Signals
+
+    monkeypatch.setattr(documents, "SHORT", 0)
+    top = tmp_path / "files"
+    top.mkdir()
+    for i in range(6):
+        (top / f"f{i}").write_bytes(b"x" * (1 + i // 3))
+    os.link(top / "f0", top / "again")
+    os.link(top / "f5", top / "late")
+    line = {"operational_policy.state_directory": str(tmp_path / "state"), "evidence_policy.probe_media": False}
+    engine = Engine(spark, policy.resolve(line, no_config=True, environment={"HOME": str(tmp_path)}), Signals())
+    scan = engine.scan([str(top)]).result
+    assert all(isinstance(scan[k], documents.Items) for k in ("observations", "duplicate_groups", "hard_link_groups"))
+    with open(os.path.join(scan["run"]["artifact_directory"], "report.json")) as f:
+        stored = json.load(f)
+    assert scan == stored and engine.report(scan["run"]["run_id"]).result == stored
+    assert [o["path"]["value"].rpartition("/")[2] for o in stored["observations"]] == ["again", "f0", "f1", "f2", "f3", "f4", "f5", "late"]
+    assert [[m["primary_path"].rpartition("/")[2] for m in g["members"]] for g in stored["duplicate_groups"]] == [["again", "f1", "f2"], ["f3", "f4", "f5"]]
+    plan = engine.plan(scan["run"]["run_id"], str(tmp_path / "plan.json")).result
+    assert isinstance(plan["actions"], documents.Items) and plan["summary"]["candidate_file_count"] == 5
+    short = [{k: [p.rpartition("/")[2] for p in a[k]] for k in ("keep_alias_paths", "candidate_paths")} | {"n": len(a["preconditions"])} for a in plan["actions"]]
+    assert short == [{"keep_alias_paths": ["f0"], "candidate_paths": ["f1", "f2"], "n": 4}, {"keep_alias_paths": [], "candidate_paths": ["f4", "f5", "late"], "n": 4}]
