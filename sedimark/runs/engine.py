@@ -26,7 +26,7 @@ from sedimark.runs.state import StateError, StateStore
 from sedimark.schemas import OBSERVATION_DEFAULTS, SUMMARY_DEFAULTS, struct_type
 from sedimark.sources import filesystem, observe
 from sedimark.sources.processes import tool_status
-from sedimark.storage import cut, release
+from sedimark.storage import cut, joined_by_shuffles, release
 
 REPORT, RUN, PLAN = "sedimark.report.v5", "sedimark.run.v5", "sedimark.plan.v5"
 REPORT_VERSIONS = {f"sedimark.report.v{n}": n for n in range(1, 6)}
@@ -125,7 +125,8 @@ class Engine:
 
     def _guard(self, command: str, work) -> CommandResult:
         try:
-            return work()
+            with joined_by_shuffles(self.spark):
+                return work()
         except Refused as refused:
             return CommandResult.resolve(command, diagnostics=[refused.diagnostic])
         except (StateError, OSError) as error:

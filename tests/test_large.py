@@ -89,3 +89,30 @@ def test_a_scan_and_its_plan_are_streams(spark, tmp_path, monkeypatch):
     assert isinstance(plan["actions"], documents.Items) and plan["summary"]["candidate_file_count"] == 5
     short = [{k: [p.rpartition("/")[2] for p in a[k]] for k in ("keep_alias_paths", "candidate_paths")} | {"n": len(a["preconditions"])} for a in plan["actions"]]
     assert short == [{"keep_alias_paths": ["f0"], "candidate_paths": ["f1", "f2"], "n": 4}, {"keep_alias_paths": [], "candidate_paths": ["f4", "f5", "late"], "n": 4}]
+
+
+def test_a_command_broadcasts_no_table(spark, tmp_path, monkeypatch):
+    """Every path of a scan goes into the cache and a plan; the driver must not gather them for a join."""
+    from sedimark.operators import cache
+    from sedimark.runs import documents, policy
+    from sedimark.runs.engine import Engine, Signals
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    top, before, plans = tmp_path / "files", spark.conf.get(name), []
+    top.mkdir()
+    for i in range(4):
+        (top / f"f{i}").write_bytes(b"x")
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    upsert, lines = cache.upsert, documents.lines
+    monkeypatch.setattr(cache, "upsert", lambda *a: seen(upsert(*a)))
+    monkeypatch.setattr(documents, "lines", lambda rows, *a: lines(seen(rows), *a))
+    line = {"operational_policy.state_directory": str(tmp_path / "state"), "evidence_policy.probe_media": False}
+    engine = Engine(spark, policy.resolve(line, no_config=True, environment={"HOME": str(tmp_path)}), Signals())
+    run = engine.scan([str(top)]).result["run"]["run_id"]
+    assert engine.plan(run, str(tmp_path / "plan.json")).exit_code == 0
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert spark.conf.get(name) == before
