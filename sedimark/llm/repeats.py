@@ -210,13 +210,15 @@ def _spans(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 ASKED = {"row": "u4", "start": "u4", "more": "u1"}
+FOUND = {"key": "u8", "check": "u8"} | ASKED
 OLD = ASKED | {"part": "i4"}
 
 
-def _entry_rows(part: int, kind: int, entries: dict[str, np.ndarray], by: str, n: int, epoch: int) -> list[tuple]:
+def _entry_rows(part: int, kind: int, entries: dict[str, np.ndarray], ids: np.ndarray, by: str, n: int, epoch: int) -> list[tuple]:
     """Entries to their buckets; the half of the check that chose no bucket travels along."""
     bucket = (entries[by] % np.uint64(n)).astype(np.int64)
-    return ask_rows(part, kind, entries | {"check": entries["check"] >> np.uint64(32), "epoch": np.full(len(bucket), epoch)}, bucket, ENTRY)
+    sent = {"check": entries["check"] >> np.uint64(32), "doc": ids[entries["row"]], "epoch": np.full(len(bucket), epoch)}
+    return ask_rows(part, kind, entries | sent, bucket, ENTRY)
 
 
 def _entries(docs: pa.Table, work) -> dict[str, np.ndarray]:
@@ -227,18 +229,16 @@ def _entries(docs: pa.Table, work) -> dict[str, np.ndarray]:
         got = work(first, last, raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         if got is not None:
             got["row"] = got["row"] + first
-            found.append(got)
-    out = {c: np.concatenate([x[c] for x in found]) for c in found[0]} if found else {"key": np.zeros(0, np.uint64), "check": np.zeros(0, np.uint64), **{c: np.zeros(0, np.int64) for c in ("row", "start", "more")}}
-    out["doc"] = ids_of(docs)[out["row"]]
-    return out
+            found.append({c: got[c].astype(t, copy=False) for c, t in FOUND.items()})
+    return {c: np.concatenate([x.pop(c) for x in found]) if found else np.zeros(0, t) for c, t in FOUND.items()}
 
 
 def _to_buckets(n: int, epoch: int = 0):
     def ask(docs: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return ask_table([])
-        part = docs.column("part")[0].as_py()
-        found = _entries(in_order(docs), lambda first, last, raw, offsets: segments(raw, offsets))
+        part, docs = docs.column("part")[0].as_py(), in_order(docs)
+        ids, found = ids_of(docs), _entries(docs, lambda first, last, raw, offsets: segments(raw, offsets))
         first, again = first_of_each(found)
         rows = [(part, part, REMOVED, pack(_spans(take(found, again)), SPAN))] if len(again) else []
         found = take(found, first)
@@ -247,8 +247,8 @@ def _to_buckets(n: int, epoch: int = 0):
         several = times[back] > 1
         if several.any():
             rows.append((part, part, WINDOWS, pack(take(found, several), ASKED)))
-            rows += _entry_rows(part, MARK, take(found, where[times > 1]), "check", n, epoch)
-        rows += _entry_rows(part, SEGMENT, take(found, ~several), "check", n, epoch)
+            rows += _entry_rows(part, MARK, take(found, where[times > 1]), ids, "check", n, epoch)
+        rows += _entry_rows(part, SEGMENT, take(found, ~several), ids, "check", n, epoch)
         return ask_table(rows)
 
     return ask
@@ -312,18 +312,28 @@ def _windows_of(docs: pa.Table, wanted: dict[str, np.ndarray]) -> dict[str, np.n
     return _entries(docs, work)
 
 
+def _window_rows(part: int, docs: pa.Table, wanted: dict[str, np.ndarray], n: int, epoch: int) -> tuple[list[tuple], dict[str, np.ndarray]]:
+    """The wanted windows to their buckets, each once, and where the others are; sorted bucket by bucket, as windows may be as many as bytes."""
+    ids, found = ids_of(docs), _windows_of(docs, wanted)
+    rows, others = [], []
+    for _, some in split_by(found, (found["key"] % np.uint64(n)).astype(np.int32)):
+        first, again = first_of_each(some)
+        others.append({c: some[c][again] for c in ASKED})
+        rows += _entry_rows(part, SEGMENT, take(some, first), ids, "key", n, epoch)
+    return rows, joined(others, ASKED)
+
+
 def _ask_windows(n: int, epoch: int = 0):
     def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
             return ask_table([])
         part = docs.column("part")[0].as_py()
         removed = payloads(answers, REMOVED, SPAN)
-        found = _windows_of(in_order(docs), payloads(answers, WINDOWS, ASKED))
-        first, again = first_of_each(found)
-        spans = _spans(take(found, again))
+        asks, again = _window_rows(part, in_order(docs), payloads(answers, WINDOWS, ASKED), n, epoch)
+        spans = _spans(again)
         all_spans = dict(zip(SPAN, runs_of(*(np.concatenate([removed[c].astype(np.int64), spans[c].astype(np.int64)]) for c in SPAN))))
         rows = [(part, part, REMOVED, pack(all_spans, SPAN))] if len(all_spans["row"]) else []
-        return ask_table(rows + _entry_rows(part, SEGMENT, take(found, first), "key", n, epoch))
+        return ask_table(rows + asks)
 
     return ask
 
@@ -335,9 +345,7 @@ def _ask_old_windows(n: int, epoch: int):
         if not docs.num_rows or not answers.num_rows:
             return ask_table([])
         part = docs.column("part")[0].as_py()
-        found = _windows_of(in_order(docs), payloads(answers, WINDOWS, OLD))
-        first, _ = first_of_each(found)
-        return ask_table(_entry_rows(part, SEGMENT, take(found, first), "key", n, epoch))
+        return ask_table(_window_rows(part, in_order(docs), payloads(answers, WINDOWS, OLD), n, epoch)[0])
 
     return ask
 
@@ -348,12 +356,15 @@ def _finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
     spans = payloads(answers, REMOVED, SPAN)
     row, start, length = runs_of(*(spans[c].astype(np.int64) for c in SPAN))
     at = start + offsets[row]
-    steps = np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + length, minlength=len(raw) + 1) if len(row) else np.zeros(len(raw) + 1, np.int64)
-    keep = np.cumsum(steps[:-1]) == 0
-    kept = raw[keep]
-    ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    # one byte of memory a byte of text: spans of a document don't touch, so no two begin or end at one place
+    lost = np.zeros(len(raw) + 1, np.int8)
+    lost[at] = 1
+    lost[at + length] -= 1
+    np.cumsum(lost, dtype=np.int8, out=lost)
+    kept = raw[lost[:-1] == 0]
+    per_row = np.searchsorted(row, np.arange(docs.num_rows + 1)).astype(np.int32)
+    ends = offsets - np.concatenate([[0], np.cumsum(length)])[per_row]
     pieces = pa.Array.from_buffers(pa.binary(), docs.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(kept)])
-    per_row = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=docs.num_rows))]).astype(np.int32)
     both = pa.StructArray.from_arrays([pa.array(start), pa.array(start + length)], ["start", "end"])
     return pa.table({"doc_id": docs.column("doc_id"), "kept": pieces, "n_bytes": pa.array(np.diff(offsets)), "spans": pa.ListArray.from_arrays(per_row, both)})
 

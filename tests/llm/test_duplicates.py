@@ -3,9 +3,12 @@
 import hashlib
 import json
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +94,46 @@ def test_a_batch_that_fails_can_be_added_again(spark, tmp_path, monkeypatch):
     assert (str(one.doc_id), one.n_bytes, one.n_bytes - len(one.kept), len(one.spans), hashlib.sha256(one.kept).hexdigest()) == expected[0]
 
 
+def traced(work):
+    """What ``work`` returns, and the most bytes that it held at once."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def part_of(texts):
+    """A dealt part, as its tasks get it."""
+    return pa.table({"part": pa.array([0] * len(texts), pa.int32()), "doc_id": list(range(len(texts))), "turn": [0] * len(texts), "text": texts})
+
+
+def test_memory_of_what_stays_follows_the_text():
+    """Spans at both ends of documents, side by side over their borders and beside empty ones."""
+    texts = [t for k in range(100) for t in ("".join(map(chr, np.random.default_rng(k).integers(32, 127, 20_000))), "")]
+    row = np.repeat(np.arange(0, 200, 2), 3)
+    spans = {"row": row, "start": np.tile([0, 7_000, 19_900], 100), "length": np.tile([100, 150, 100], 100)}
+    answers = pa.table({"part": [0], "kind": [repeats.REMOVED], "payload": [repeats.pack(spans, repeats.SPAN)]})
+    out, most = traced(lambda: repeats._finish(part_of(texts), answers))
+    assert out.column("kept").to_pylist() == [(t[100:7_000] + t[7_150:19_900]).encode() for t in texts]
+    assert [[(x["start"], x["end"]) for x in some] for some in out.column("spans").to_pylist()] == [[(0, 100), (7_000, 7_150), (19_900, 20_000)] if t else [] for t in texts]
+    assert most < 5 * sum(map(len, texts))  # 26 times, when each byte had integers of eight
+
+
+def test_memory_of_single_windows_follows_them():
+    """A part whose every window is asked for, and has a copy in the part."""
+    half = ["".join(map(chr, np.random.default_rng(k).integers(32, 127, 20_035))) for k in range(30)]
+    start = np.arange(0, 20_035 - 99, 64)
+    wanted = {"row": np.repeat(np.arange(60), len(start)), "start": np.tile(start, 60), "more": np.tile(np.minimum(63, 20_035 - 100 - start), 60)}
+    answers = pa.table({"part": [0], "kind": [repeats.WINDOWS], "payload": [repeats.pack(wanted, repeats.ASKED)]})
+    out, most = traced(lambda: repeats._ask_windows(7)(part_of(half * 2), answers))
+    sent = [repeats.unpack(x.as_buffer(), repeats.ENTRY) for x in out.filter(pc.equal(out.column("kind"), repeats.SEGMENT)).column("payload")]
+    assert sorted((r, s) for x in sent for r, s in zip(x["row"].tolist(), x["start"].tolist())) == [(r, s) for r in range(30) for s in range(20_035 - 99)]
+    removed = repeats.payloads(out, repeats.REMOVED, repeats.SPAN)
+    assert [tuple(x) for x in zip(*(removed[c].tolist() for c in repeats.SPAN))] == [(r, 0, 20_035) for r in range(30, 60)]
+    assert most < 100 * 60 * (20_035 - 99)
+
+
 def test_the_level_family_keeps_few_levels():
     family = repeats.LevelFamily()
     draw = np.random.default_rng(1)
