@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import shutil
@@ -83,8 +84,8 @@ def _plain(value):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, resolution: policies.Resolution | None = None, signals: Signals | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession | None, resolution: policies.Resolution | None = None, signals: Signals | None = None):
+        self.spark = spark  # ``config`` works without one
         self.resolution = resolution or policies.resolve()
         self.signals = signals or Signals(spark)
 
@@ -125,7 +126,7 @@ class Engine:
 
     def _guard(self, command: str, work) -> CommandResult:
         try:
-            with joined_by_shuffles(self.spark):
+            with joined_by_shuffles(self.spark) if self.spark is not None else contextlib.nullcontext():
                 return work()
         except Refused as refused:
             return CommandResult.resolve(command, diagnostics=[refused.diagnostic])

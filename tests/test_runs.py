@@ -502,6 +502,35 @@ def test_command_line(tmp_path, monkeypatch, capsys):
     assert cli.main(["--no-config", "config", "explain", "scan.probe_media"]) == 0
 
 
+def test_configuration_needs_no_session(tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("HOME", str(tmp_path))
+    told = {}
+    for line in (["validate"], ["show"], ["explain", "scan.probe_media"], ["explain", "no.such"]):
+        code = cli.main(["--no-config", "--json", "config", *line])
+        told[" ".join(line)] = code, json.loads(capsys.readouterr().out)
+    assert [code for code, _ in told.values()] == [0, 0, 0, 2]
+    assert told["validate"][1]["result"] == {"valid": True, "loaded_sources": 0}
+    policy.verify_fingerprints({k: v for k, v in told["show"][1]["result"].items() if k not in ("sources", "shadowed")})
+    assert told["explain scan.probe_media"][1]["result"]["setting"] == "evidence_policy.probe_media"
+    assert [d["code"] for d in told["explain no.such"][1]["diagnostics"]] == ["configuration_setting_unknown"]
+
+
+@pytest.mark.parametrize("ends", ["well", "badly"])
+def test_a_command_leaves_the_session_as_it_was(engine, ends):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [engine.spark.conf.get(n, None) for n in names]
+    held = []
+
+    def work():
+        held.extend(engine.spark.conf.get(n) for n in names)
+        if ends == "badly":
+            raise OSError("m")
+        return CommandResult.resolve("c", result={})
+
+    assert engine._guard("c", work).exit_code == (0 if ends == "well" else 1)
+    assert held == ["-1", "-1"] and [engine.spark.conf.get(n, None) for n in names] == before
+
+
 # --- cache and graph
 
 
