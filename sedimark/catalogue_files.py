@@ -8,6 +8,7 @@ commands then say is returned as rows, and SQL over the tables says what it must
 from __future__ import annotations
 
 import contextlib
+import gzip
 import json
 import os
 from collections.abc import Callable
@@ -421,17 +422,19 @@ def command_outcomes(spark, sf_dir):
     "union all select 'cache status', 0, null, '1' union all select 'doctor', 0, null, 'true' union all select 'scan of nothing', 2, 'invalid_command_input', null"
 )
 def command_line(spark, sf_dir):
-    """The commands as their lines give them, JSON envelopes read back."""
+    """The commands as their lines give them, JSON envelopes read back from where they were printed, compressed."""
     root = _tree(spark, sf_dir)
     before = ["--no-config", "--json", "--state-directory", f"{root}/state"]
 
     def run(*line: str) -> dict:
         result, shape = cli.run([*before, *line], spark)
         assert shape == "json"
-        printed = f"{_folder(spark, 'printed')}/envelope.json"
-        with open(printed, "w") as f:
+        printed = f"{_folder(spark, 'printed')}/envelope.json.gz"
+        with gzip.open(printed, "wt", 1, "utf-8") as f:
             f.writelines(documents.pieces(result.as_dict()))
-        return documents.load(printed)
+        envelope = documents.load(printed, gzip.open)  # reads it to its end; nothing asks for the long lists again
+        os.unlink(printed)
+        return envelope
 
     scan = run("scan", "--no-probe", root)
     run_id = scan["result"]["run"]["run_id"]

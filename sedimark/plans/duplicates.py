@@ -31,14 +31,15 @@ def actions(rows: DataFrame, digest=sha256) -> DataFrame:
     )
 
 
-def paths(rows: DataFrame, digest=sha256) -> DataFrame:
+def paths(rows: DataFrame, digest=sha256, acts: DataFrame | None = None) -> DataFrame:
     """(group_id, path_key, role, precondition columns) for every path of every member.
 
     The kept member's paths have role "keep", all others "candidate".  Size and hash expected are the
-    group's, the modification time is the path's own.
+    group's, the modification time is the path's own.  ``acts`` are the actions on ``rows``, where they are a
+    table already; each row then has its group's ``keep_path`` too.
     """
     members = exact_members(rows, digest).select("group_id", "object", "primary_path", F.col("size_bytes").alias("expected_size_bytes"), F.col("content_hash").alias("expected_content_hash"))
-    kept = exact_groups(rows, digest).select("group_id", "keep_path")
+    kept = (exact_groups(rows, digest) if acts is None else acts).select("group_id", "keep_path")
     own = rows.select(object_key().alias("object"), "path_key", "modified_unix_ns")
     joined = members.join(kept, "group_id").join(own, "object")
     return joined.select(
@@ -48,6 +49,7 @@ def paths(rows: DataFrame, digest=sha256) -> DataFrame:
         "expected_size_bytes",
         F.col("modified_unix_ns").alias("expected_modified_unix_ns"),
         "expected_content_hash",
+        *([] if acts is None else ["keep_path"]),
     )
 
 

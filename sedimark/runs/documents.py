@@ -96,16 +96,16 @@ class _Text:
 
 
 class Items(Sequence):
-    """A list in a file, from the byte of its opening bracket on; ``each`` is applied to every item."""
+    """A list in a file, from the byte of its opening bracket on; ``each`` is applied to every item, ``opened`` opens the file."""
 
-    def __init__(self, path: str, start: int, count: int, each: Callable = lambda item: item):
-        self.path, self.start, self.count, self.each = path, start, count, each
+    def __init__(self, path: str, start: int, count: int, each: Callable = lambda item: item, opened: Callable = open):
+        self.path, self.start, self.count, self.each, self.opened = path, start, count, each, opened
 
     def __len__(self) -> int:
         return self.count
 
     def __iter__(self) -> Iterator:
-        with open(self.path, "rb") as f:
+        with self.opened(self.path, "rb") as f:
             yield from map(self.each, _Text(f, self.start).elements())
 
     def __getitem__(self, at):
@@ -122,7 +122,7 @@ class Items(Sequence):
     __hash__ = None
 
 
-def _skimmed(text: _Text, path: str, enough: Callable[[dict], bool] | None = None):
+def _skimmed(text: _Text, path: str, enough: Callable[[dict], bool] | None = None, opened: Callable = open):
     kind = text.peek()
     if kind == "{":
         out: dict = {}
@@ -135,7 +135,7 @@ def _skimmed(text: _Text, path: str, enough: Callable[[dict], bool] | None = Non
             if not isinstance(name, str):
                 raise ValueError(f"expected a name near byte {text.place()}")
             text.take(":")
-            out[name] = _skimmed(text, path)
+            out[name] = _skimmed(text, path, opened=opened)
             if enough and enough(out):
                 return out
             if text.peek() == "}":
@@ -149,15 +149,18 @@ def _skimmed(text: _Text, path: str, enough: Callable[[dict], bool] | None = Non
                 held.append(item)
                 size = text.place() - start if count % 64 == 0 else size
                 held = held if size <= SHORT else None
-        return held if held is not None and text.place() - start <= SHORT else Items(path, start, count)
+        return held if held is not None and text.place() - start <= SHORT else Items(path, start, count, opened=opened)
     return text.value()
 
 
-def load(path: str):
-    """The document of a file, with its long lists as :class:`Items`; ValueError if it isn't JSON."""
-    with open(path, "rb") as f:
+def load(path: str, opened: Callable = open):
+    """The document of a file, with its long lists as :class:`Items`; ValueError if it isn't JSON.
+
+    ``opened`` opens the file for reading bytes, as ``gzip.open`` does a compressed one.
+    """
+    with opened(path, "rb") as f:
         text = _Text(f)
-        found = _skimmed(text, path)
+        found = _skimmed(text, path, opened=opened)
         if text.peek():
             raise ValueError(f"more than one value, near byte {text.place()}")
     return found
@@ -206,7 +209,8 @@ def marks(rows: DataFrame, first, second, step: int, text: str) -> DataFrame:
 def write(path: str, head: dict, lists: dict[str, DataFrame], spool: str) -> dict:
     """Write ``head`` and the lists to a new file; the document as :func:`load` would give it, all lists as :class:`Items`.
 
-    ``spool`` is a folder that the executors share, for the sorted lines.
+    ``spool`` is a folder that the executors share, for the sorted lines; each of its files goes once it is copied,
+    so the disk never holds a list twice.
     """
     out = dict(head)
     with open(path, "xb") as f:
@@ -220,7 +224,7 @@ def write(path: str, head: dict, lists: dict[str, DataFrame], spool: str) -> dic
             start, count, before = f.tell(), 0, None
             f.write(b"[")
             for part in sorted(x for x in os.listdir(stored) if x.startswith("part-")):
-                with open(os.path.join(stored, part), "rb") as g:
+                with open(own := os.path.join(stored, part), "rb") as g:
                     for line in g:
                         step = line[0] - 48
                         if step == 0:
@@ -230,6 +234,7 @@ def write(path: str, head: dict, lists: dict[str, DataFrame], spool: str) -> dic
                             f.write(b",\n" if step % 2 and step == before else b"\n")
                         f.write(line[1:].rstrip(b"\n"))
                         before = step
+                os.unlink(own)
             f.write(b"\n]")
             out[name] = Items(path, start, count)
         f.write(b"\n}\n")

@@ -27,7 +27,7 @@ from sedimark.runs.state import StateError, StateStore
 from sedimark.schemas import OBSERVATION_DEFAULTS, SUMMARY_DEFAULTS, struct_type
 from sedimark.sources import filesystem, observe
 from sedimark.sources.processes import tool_status
-from sedimark.storage import cut, joined_by_shuffles, release
+from sedimark.storage import cut, joined_by_shuffles, release, shuffles_cleaned
 
 REPORT, RUN, PLAN = "sedimark.report.v5", "sedimark.run.v5", "sedimark.plan.v5"
 REPORT_VERSIONS = {f"sedimark.report.v{n}": n for n in range(1, 6)}
@@ -126,7 +126,10 @@ class Engine:
 
     def _guard(self, command: str, work) -> CommandResult:
         try:
-            with joined_by_shuffles(self.spark) if self.spark is not None else contextlib.nullcontext():
+            with contextlib.ExitStack() as held:
+                if self.spark is not None:
+                    held.enter_context(joined_by_shuffles(self.spark))
+                    held.enter_context(shuffles_cleaned(self.spark))
                 return work()
         except Refused as refused:
             return CommandResult.resolve(command, diagnostics=[refused.diagnostic])
@@ -339,7 +342,7 @@ class Engine:
         rows = self._facts(report["observations"], os.path.join(spool, "facts"))
         digest = blake3.blake3_udf()
         acts = cut(duplicates.actions(rows, digest), "actions")
-        paths = cut(duplicates.paths(rows, digest).join(acts.select("group_id", "keep_path"), "group_id"), "plan-paths")
+        paths = cut(duplicates.paths(rows, digest, acts), "plan-paths")
         size, content, path = F.col("expected_size_bytes"), F.col("expected_content_hash"), F.col("path_key")
         of = (F.col("size_bytes"), F.col("content_hash"))
 

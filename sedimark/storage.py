@@ -54,7 +54,8 @@ def _holding(spark: SparkSession, value: str, *names: str):
             spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
-def _shuffles_cleaned(spark: SparkSession):
+def shuffles_cleaned(spark: SparkSession):
+    """The shuffle files of a query are deleted as soon as it has ended; only for tables that no later query takes up again."""
     return _holding(spark, "true", _CLEANS)
 
 
@@ -75,7 +76,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     try:
-        with _shuffles_cleaned(spark):
+        with shuffles_cleaned(spark):
             df.write.mode("overwrite").parquet(path)
     except BaseException:
         files, where = _place(spark, path)

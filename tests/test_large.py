@@ -116,3 +116,45 @@ def test_a_command_broadcasts_no_table(spark, tmp_path, monkeypatch):
     assert engine.plan(run, str(tmp_path / "plan.json")).exit_code == 0
     assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
     assert spark.conf.get(name) == before
+
+
+def test_a_command_holds_each_list_once_on_disk(spark, tmp_path, monkeypatch):
+    """Sorted lines go as they are copied, shuffles as their query ends; a compressed document is read like a plain one."""
+    import gzip
+
+    from sedimark.runs import documents
+    from sedimark.runs.engine import Engine, Signals
+    from sedimark.runs.outcome import CommandResult
+
+    rows = spark.createDataFrame([(0, f"{i:02}", 0, "", f'{{"n": {i}}}') for i in range(40)], documents.LINES)
+    written = documents.write(str(tmp_path / "d.json"), {"schema": "x"}, {"numbers": rows.repartition(5)}, str(tmp_path / "spool"))
+    assert list(written["numbers"]) == [{"n": i} for i in range(40)]
+    assert not [x for x in os.listdir(tmp_path / "spool/numbers") if x.startswith("part-")]
+
+    monkeypatch.setattr(documents, "SHORT", 20)
+    with gzip.open(tmp_path / "d.gz", "wt", 1, "utf-8") as f:
+        f.writelines(documents.pieces(written))
+    read = documents.load(str(tmp_path / "d.gz"), gzip.open)
+    assert isinstance(read["numbers"], documents.Items) and read == written and read["numbers"][-1] == {"n": 39}
+
+    name, held = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(name)
+    Engine(spark, None, Signals())._guard("c", lambda: held.append(spark.conf.get(name)) or CommandResult.resolve("c", result={}))
+    assert held == ["true"] and spark.conf.get(name) == before
+
+
+def test_paths_of_a_plan_by_stored_actions(spark):
+    """Groups, aliases and an outdated observation; the same rows whether the actions are a table or not."""
+    from sedimark.plans import duplicates
+
+    ddl = (
+        "observation_id string, path_key string, components array<string>, size_bytes bigint, modified_unix_ns bigint, content_hash string, filesystem_id string, file_id string, link_count bigint, "
+        "allocated_size_bytes bigint, extent_sharing_status string, evidence_validity string"
+    )
+    told = [("/b", "h", "1"), ("/a", "h", "2"), ("/z", "h", "2"), ("/c", "k", "3"), ("/d", "k", None), ("/e", "k", None), ("/f", "m", "4")]
+    rows = spark.createDataFrame([(p, p, [p], 1, 5, h, "d" if n else None, n, 1, 512, "unknown", "changed" if p == "/e" else "current") for p, h, n in told], ddl)
+    plain = {tuple(r) for r in duplicates.paths(rows).collect()}
+    acts = duplicates.actions(rows)
+    keep = {a.group_id: a.keep_path for a in acts.collect()}
+    assert {tuple(r) for r in duplicates.paths(rows, acts=acts).collect()} == {(*r, keep[r[0]]) for r in plain}
+    assert {(r[1], r[2]) for r in plain} == {("/a", "keep"), ("/z", "keep"), ("/b", "candidate"), ("/c", "keep"), ("/d", "candidate")}
